@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import mixing
+from sparkloom.llm import langid, mixing, onebit
 from sparkloom.llm.sql import SQL  # noqa: F401
 from sparkloom.sources.tables import table
 
@@ -16,6 +17,21 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_onebit_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of every row whose id is divisible by 50."""
+    return onebit.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the rows that aren't held out; predict all."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_onebit_nearest": op2_onebit_nearest,
+    "op8_language_id": op8_language_id,
 }
