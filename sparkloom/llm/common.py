@@ -34,10 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, **options) -> DataFrame:
     """The same rows, written once as a Parquet table in the shared folder: columns can be pruned and sizes are known."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.options(**options).parquet(path)
     return spark.read.parquet(path)
 

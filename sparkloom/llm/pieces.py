@@ -9,17 +9,17 @@ white space (doubled, leading or trailing, or next to other white space) is enco
 
 from __future__ import annotations
 
+import functools
 import os
-from collections.abc import Callable
 
 import numpy as np
 
 #: Pieces that a worker remembers.
-REMEMBERED = 250_000
-
-
-class _Other(Exception):
-    """White space that the rule doesn't cover."""
+REMEMBERED = 1_000_000
+#: Texts whose unknown pieces are encoded in one call.
+TOGETHER = 128
+#: A word of letters and what closes it: the tokenizer always splits between the two.
+_CLOSING = ".,;:!?"
 
 
 def vocabulary(name: str) -> str:
@@ -31,53 +31,84 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Pieces(dict):
-    """Piece -> ids as bytes, encoding what is missing."""
-
-    def __init__(self, encode: Callable[[str], list[int]], lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Other
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.array(self.encode(self.lead + piece), np.uint32).tobytes()
-        self[piece] = ids
-        return ids
-
-
-_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
-
-
-def encoder(name: str) -> Callable[[str], np.ndarray]:
-    """A function from text to ids (uint32), one for each tokenizer and process."""
-    if name in _ENCODERS:
-        return _ENCODERS[name]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def whole(text: str) -> list[int]:
-        return t.encode(text, add_special_tokens=False).ids
-
-    first, spaced = _Pieces(whole, ""), _Pieces(whole, " ")
-    line_break = np.array(whole("\n"), np.uint32).tobytes()
-
-    def encode(text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        try:
-            lines = []
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                lines.append(first[head] + b"".join([spaced[p] for p in rest]))
-            return np.frombuffer(line_break.join(lines), np.uint32)
-        except _Other:
-            return np.array(whole(text), np.uint32)
-
-    _ENCODERS[name] = encode
-    return encode
+class Encoder:
+    """Texts to ids (uint32), remembering pieces."""
+
+    def __init__(self, name: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary(name))
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Ids as bytes, of a piece at the start of a line and of one after a space.
+        self.first: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.line_break = self._whole(["\n"])[0].tobytes()
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """Encode the pieces that aren't known. A closed word is put together from the word and its closing."""
+        new = pieces.difference(known)
+        if not new:
+            return
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = pieces
+        closed = {}
+        for piece in new:
+            word = piece.rstrip(_CLOSING)
+            if len(word) < len(piece) and word.isalpha():
+                closed[piece] = word
+        plain = list((new.difference(closed) | set(closed.values())).difference(known))
+        for piece, ids in zip(plain, self.tokenizer.encode_batch_fast([lead + p for p in plain], add_special_tokens=False), strict=True):
+            known[piece] = np.array(ids.ids, np.uint32).tobytes()
+        for piece, word in closed.items():
+            end = piece[len(word) :]
+            if (ids := self.ends.get(end)) is None:
+                ids = self.ends[end] = self._whole([end])[0].tobytes()
+            known[piece] = known[word] + ids
+
+    @functools.cached_property
+    def ends(self) -> dict[str, bytes]:
+        """Ids of what closes a word."""
+        return {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, in order."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), TOGETHER):
+            out += self._together(texts[at : at + TOGETHER])
+        return out
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [[line.split(" ") for line in text.split("\n")] if text else None for text in texts]
+        heads, rests = set(), set()
+        for lines in cut:
+            for line in lines or ():
+                heads.add(line[0])
+                rests.update(line[1:])
+        odd = {p for p in heads | rests if not p or p[0].isspace() or p[-1].isspace()}
+        self._learn(self.first, heads - odd, "")
+        self._learn(self.spaced, rests - odd, " ")
+        first, spaced, out, whole = self.first, self.spaced, [], []
+        for i, lines in enumerate(cut):
+            if lines is None:
+                out.append(np.empty(0, np.uint32))
+                continue
+            try:
+                ids = self.line_break.join([first[line[0]] + b"".join([spaced[p] for p in line[1:]]) for line in lines])
+                out.append(np.frombuffer(ids, np.uint32))
+            except KeyError:  # white space that the rule doesn't cover
+                out.append(np.empty(0, np.uint32))
+                whole.append(i)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
+
+
+@functools.lru_cache
+def encoder(name: str) -> Encoder:
+    """One encoder for each tokenizer and process."""
+    return Encoder(name)

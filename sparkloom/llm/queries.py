@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, mixing, onebit
+from sparkloom.llm import langid, mixing, onebit, superminhash, tokenfile
+from sparkloom.llm.common import shared_path
 from sparkloom.llm.sql import SQL  # noqa: F401
 from sparkloom.sources.tables import table
 
@@ -22,6 +23,13 @@ def op2_onebit_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
+def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents into a segment table, and read it back."""
+    path = shared_path(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path)
+    return tokenfile.read(spark, path)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the rows that aren't held out; predict all."""
     docs = table(spark, sf_dir, "documents")
@@ -30,8 +38,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on 2-word shingles."""
+    return superminhash.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_onebit_nearest": op2_onebit_nearest,
+    "op3_token_codes": op3_token_codes,
     "op8_language_id": op8_language_id,
+    "op10_superminhash": op10_superminhash,
 }

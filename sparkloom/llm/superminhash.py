@@ -81,7 +81,7 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
         for j in range(places):
             if not len(live):
                 break
-            x = mixed(h[live] + np.uint64(j + 1) * _GOLDEN)
+            x = mixed(h[live] + np.uint64((j + 1) * int(_GOLDEN) % 2**64))
             k = j + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(places - j)) >> np.uint64(32)).astype(np.int64)
             place = order[live, k].astype(np.int64)
             order[live, k] = order[live, j]

@@ -140,7 +140,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str = "byte_bpe_50k.json", t
     rows = rows.select(F.spark_partition_id().alias("part"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         part, seq, base, doc_ids, held, total = 0, 0, 0, [], [], 0
 
         def close() -> pd.DataFrame:
@@ -150,9 +150,8 @@ def write(docs: DataFrame, path: str, *, tokenizer: str = "byte_bpe_50k.json", t
             return pd.DataFrame([out]).astype({"first_doc": "Int64"})
 
         for pdf in batches:
-            for part_, doc_id, none, body in pdf.itertuples(index=False):
-                part = part_
-                ids = np.append(encode(body), np.uint32(end_id))
+            for part, doc_id, none, found in zip(pdf["part"], pdf["doc_id"], pdf["none"], encode(list(pdf["text"])), strict=True):
+                ids = np.append(found, np.uint32(end_id))
                 doc_ids.append(None if none else doc_id)
                 held.append(ids)
                 total += len(ids)
