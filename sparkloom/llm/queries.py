@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, mixing, onebit, superminhash, tokenfile
+from sparkloom.llm import decontam, langid, mixing, onebit, superminhash, tokenfile
 from sparkloom.llm.common import shared_path
 from sparkloom.llm.sql import SQL  # noqa: F401
 from sparkloom.sources.tables import table
@@ -38,6 +38,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in each document."""
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on 2-word shingles."""
     return superminhash.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
@@ -48,5 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_onebit_nearest": op2_onebit_nearest,
     "op3_token_codes": op3_token_codes,
     "op8_language_id": op8_language_id,
+    "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_superminhash": op10_superminhash,
 }
