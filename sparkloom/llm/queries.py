@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, langid, mixing, onebit, superminhash, tokenfile
+from sparkloom.llm import decontam, langid, mixing, onebit, superminhash, tokenfile, toxicity
 from sparkloom.llm.common import shared_path
 from sparkloom.llm.sql import SQL  # noqa: F401
 from sparkloom.sources.tables import table
@@ -30,6 +30,15 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the labels of rows that aren't held out; score all documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~langid.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.score(rows, model).select("doc_id", "held_out", "score", predicted, "spans")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the rows that aren't held out; predict all."""
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_onebit_nearest": op2_onebit_nearest,
     "op3_token_codes": op3_token_codes,
+    "op6_toxicity": op6_toxicity,
     "op8_language_id": op8_language_id,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_superminhash": op10_superminhash,
