@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -48,23 +50,21 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Encode the pieces that aren't known. A closed word is put together from the word and its closing."""
-        new = pieces.difference(known)
-        if not new:
-            return
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = pieces
-        closed = {}
+    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
+        """Encode pieces that aren't known. A closed word is put together from the word and its closing."""
+        plain, closed = [], []
         for piece in new:
-            word = piece.rstrip(_CLOSING)
-            if len(word) < len(piece) and word.isalpha():
-                closed[piece] = word
-        plain = list((new.difference(closed) | set(closed.values())).difference(known))
-        for piece, ids in zip(plain, self.tokenizer.encode_batch_fast([lead + p for p in plain], add_special_tokens=False), strict=True):
-            known[piece] = np.array(ids.ids, np.uint32).tobytes()
-        for piece, word in closed.items():
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                continue  # white space that the rule doesn't cover
+            if piece[-1] in _CLOSING and (word := piece.rstrip(_CLOSING)).isalpha():
+                closed.append((piece, word))
+                if word not in known and word not in new:
+                    plain.append(word)
+            else:
+                plain.append(piece)
+        found = self.tokenizer.encode_batch_fast([lead + p for p in plain], add_special_tokens=False)
+        known.update(zip(plain, [array("I", e.ids).tobytes() for e in found], strict=True))
+        for piece, word in closed:
             end = piece[len(word) :]
             if (ids := self.ends.get(end)) is None:
                 ids = self.ends[end] = self._whole([end])[0].tobytes()
@@ -83,22 +83,28 @@ class Encoder:
         return out
 
     def _together(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[line.split(" ") for line in text.split("\n")] if text else None for text in texts]
-        heads, rests = set(), set()
-        for lines in cut:
-            for line in lines or ():
-                heads.add(line[0])
-                rests.update(line[1:])
-        odd = {p for p in heads | rests if not p or p[0].isspace() or p[-1].isspace()}
-        self._learn(self.first, heads - odd, "")
-        self._learn(self.spaced, rests - odd, " ")
         first, spaced, out, whole = self.first, self.spaced, [], []
+        for known in (first, spaced):
+            if len(known) > REMEMBERED:
+                known.clear()
+        cut, heads, new = [], set(), set()
+        for text in texts:
+            lines = []
+            for line in text.split("\n"):
+                rest = line.split(" ")
+                head = rest.pop(0)
+                heads.add(head)
+                new.update(filterfalse(spaced.__contains__, rest))
+                lines.append((head, rest))
+            cut.append(lines)
+        self._learn(first, heads.difference(first), "")
+        self._learn(spaced, new, " ")
         for i, lines in enumerate(cut):
-            if lines is None:
+            if not texts[i]:
                 out.append(np.empty(0, np.uint32))
                 continue
             try:
-                ids = self.line_break.join([first[line[0]] + b"".join([spaced[p] for p in line[1:]]) for line in lines])
+                ids = self.line_break.join([first[head] + b"".join(map(spaced.__getitem__, rest)) for head, rest in lines])
                 out.append(np.frombuffer(ids, np.uint32))
             except KeyError:  # white space that the rule doesn't cover
                 out.append(np.empty(0, np.uint32))
