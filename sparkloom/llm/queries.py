@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, langid, mixing, onebit, superminhash, tokenfile, toxicity
+from sparkloom.llm import decontam, langid, mixing, onebit, pii, superminhash, tokenfile, toxicity
 from sparkloom.llm.common import shared_path
 from sparkloom.llm.sql import SQL  # noqa: F401
 from sparkloom.sources.tables import table
@@ -39,6 +39,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model).select("doc_id", "held_out", "score", predicted, "spans")
 
 
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal values replaced, and where these stood."""
+    found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "pii", (F.col("pii") != "").alias("has_pii"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the rows that aren't held out; predict all."""
     docs = table(spark, sf_dir, "documents")
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_onebit_nearest": op2_onebit_nearest,
     "op3_token_codes": op3_token_codes,
     "op6_toxicity": op6_toxicity,
+    "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
     "op8_language_id": op8_language_id,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_superminhash": op10_superminhash,
