@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sparkloom.llm.secret_scan import RULES
+
 SQL: dict[str, str] = {}
 
 SQL["op1_mix"] = r"""
@@ -67,3 +69,32 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(r.b), d.do
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id
 GROUP BY d.doc_id, n.n
 """
+
+
+def _secret_sql() -> str:
+    """Places of matches from the lengths of the matches and of what lies between them, one rule at a time."""
+    rules = [(i, r, r.pattern.replace("'", "''")) for i, r in enumerate(RULES)]
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {i} AS place, '{r.kind}' AS kind, {r.base} AS base, {r.least} AS least,
+             regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {r.group}) AS g,
+             string_split_regex(text, '{p}') AS b FROM documents"""
+        for i, r, p in rules
+    )
+    return f"""
+WITH f AS ({found}),
+e AS (
+  SELECT doc_id, place, kind, base, least, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(g) AS g, unnest(b[1:len(m)]) AS b FROM f WHERE len(m) > 0),
+p AS (
+  SELECT *, sum(length(b) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM e),
+s AS (
+  SELECT doc_id, place, kind, base, (stop - length(m))::BIGINT AS start, kind || ':' || (stop - length(m))::BIGINT || ':' || stop::BIGINT AS span
+  FROM p WHERE length(g) >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, place) FILTER (base), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, place), '') AS spans
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+SQL["op5_secrets"] = _secret_sql()
