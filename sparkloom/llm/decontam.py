@@ -201,11 +201,11 @@ def build(items: DataFrame, *, share: float = SHARE, text: str = "text", key: st
             yield pd.DataFrame(out, columns=["no", "id", "term", "words", "tf"])
 
     terms = cut(rows.mapInPandas(spelled, "no int, id long, term string, words int, tf int"))
-    size = terms.select("no", "words").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("words").alias("mean"))
+    n, mean = terms.select("no", "words").distinct().agg(F.count(F.lit(1)), F.avg("words")).first()
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.col("mean")))
-    weighed = terms.join(df, "term").crossJoin(F.broadcast(size)).withColumn("impact", weight)  # ``size`` is one row
+    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(mean or 1.0)))
+    weighed = terms.join(df, "term").withColumn("impact", weight)
     own = weighed.groupBy("no").agg(F.sum("impact").alias("own"))
     weighed = weighed.join(own, "no").select((F.col("no") / shard_items).cast("int").alias("shard"), "no", "term", (F.col("impact") / (share * F.col("own"))).alias("impact"))
     postings = weighed.groupBy("shard", "term").agg(F.array_sort(F.collect_list(F.struct("no", "impact"))).alias("p"))

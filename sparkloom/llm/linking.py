@@ -1,34 +1,89 @@
 """From band keys to verified links: what the two MinHash operators share.
 
 A node is a distinct set of shingles. Nodes that agree in a band meet in a bucket. A
-bucket may hold a third of all nodes, so pairs are never emitted within it. Instead:
+bucket may hold a third of all nodes, so its pairs are never made into rows. Instead:
 
 1. every member is paired with the bucket's smallest member, and the pairs that a
    verifier confirms are joined into components;
 2. where a bucket still holds several components, the members outside its largest one
-   are paired with the members of all other components.
+   are compared with all members, block by block: a task holds one block of either side
+   with signatures and sets, skips what is already in one component, and returns only
+   links, which are verified again on the full sets.
 
-A pair that meets in a bucket is then either verified or already in one component, so
-the components are those of all confirmed links between members of a bucket; what is
-not compared could change nothing.
+A pair that meets in a bucket is then compared, in the first band that it shares, or in
+one component already; what is not compared could change nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut
+from sparkloom.llm.common import cut, stored
 from sparkloom.llm.components import components
 
+#: Nodes in a block.
+BLOCK = 512
+#: Signatures agree in this share less than the threshold, or the pair isn't compared: five standard deviations and more.
+SLACK = 0.18
 
-def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def signature_rows(column: pd.Series) -> np.ndarray:
+    """Signatures (16-bit places) as a matrix."""
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+
+
+def links_in(apart: pd.DataFrame, members: pd.DataFrame, percent: int, band: int) -> list[tuple[bytes, bytes]]:
+    """Links between rows of ``apart`` and of ``members`` that join components: (node, node).
+
+    Rows have node, root, largest, sig and elements (sorted 32-bit hashes). Pairs that agree
+    in an earlier band belong to another bucket.
+    """
+    roots = {r: i for i, r in enumerate(dict.fromkeys([*apart["root"], *members["root"]]))}
+    of_x, of_y = (np.array([roots[r] for r in side["root"]]) for side in (apart, members))
+    sig_x, sig_y = signature_rows(apart["sig"]), signature_rows(members["sig"])
+    sets_x, sets_y = ([np.frombuffer(e, np.uint32) for e in side["elements"]] for side in (apart, members))
+    n_y = np.array([len(s) for s in sets_y])
+    x_nodes, y_nodes = list(apart["node"]), list(members["node"])
+    outside = (members["root"] != members["largest"]).to_numpy()
+
+    def shared(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        same = sig_y == row
+        return same, same.reshape(len(same), -1, band).all(axis=2)
+
+    bands = shared(sig_x[0])[1].all(axis=0) & shared(sig_y[0])[1].all(axis=0)
+    here = int(np.argmax(bands))
+    found = []
+    for i, x in enumerate(x_nodes):
+        same, agree = shared(sig_x[i])
+        size = len(sets_x[i])
+        open_ = (of_y != of_x[i]) & (agree.argmax(axis=1) == here) & (same.mean(axis=1) >= percent / 100 - SLACK)
+        open_ &= (100 * np.minimum(n_y, size) >= percent * np.maximum(n_y, size))
+        at = [j for j in np.flatnonzero(open_) if not outside[j] or x < y_nodes[j]]
+        if not at:
+            continue
+        joined = np.concatenate([sets_y[j] for j in at])
+        place = np.minimum(np.searchsorted(sets_x[i], joined), size - 1)
+        common = np.add.reduceat(sets_x[i][place] == joined, np.concatenate([[0], np.cumsum(n_y[at])[:-1]]), dtype=np.int64)
+        for j, c in zip(at, common, strict=True):
+            if 100 * c >= percent * (size + n_y[j] - c) and of_y[j] != of_x[i]:
+                found.append((x, y_nodes[j]))
+                old, new = of_y[j], of_x[i]
+                of_x[of_x == old] = new
+                of_y[of_y == old] = new
+    return found
+
+
+def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], signed: Callable[[DataFrame], DataFrame], percent: int, band: int) -> DataFrame:
     """(node, root) for each node linked with another.
 
-    ``bands`` has (bucket, node) rows without repeats; ``verify`` gets distinct (a, b)
-    pairs with a < b and returns those that are links.
+    ``bands`` has (bucket, node) rows without repeats, from bands of ``band`` signature
+    places; ``verify`` gets distinct (a, b) pairs with a < b and returns those that are
+    links; ``signed`` gets nodes and returns node, sig and elements.
     """
     least = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = cut(bands.join(least, "bucket"))
@@ -39,13 +94,27 @@ def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFram
     # A node without a link is a component of its own.
     at = cut(_rooted(shared.where("members > 2").select("bucket", "node"), roots))
     counts = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    several = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    several = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    several = several.select("bucket", "largest", blocks(F.col("all") - F.col("most")).alias("np"), blocks(F.col("all")).alias("nq"))
     left = cut(at.join(several, "bucket"))
-    apart = left.where(F.col("root") != F.col("largest")).select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    others = left.select(F.col("bucket").alias("bucket2"), F.col("node").alias("y"), F.col("root").alias("y_root"))
-    pairs = apart.join(others, (F.col("bucket") == F.col("bucket2")) & (F.col("x_root") != F.col("y_root")))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
+    info = stored(signed(left.select("node").distinct()))
+    rows = left.join(info, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("bucket", "p", "q", "node", "root", "largest", "sig", "elements")
+    apart = rows.where(F.col("root") != F.col("largest")).withColumn("p", own("np")).withColumn("q", every("nq")).select(*columns)
+    members = rows.withColumn("q", own("nq")).withColumn("p", every("np")).select(*columns)
+
+    members = members.select(*[F.col(c).alias(f"m_{c}") for c in columns])  # other names and ids: both sides come from ``rows``
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y.columns = list(columns)
+        return pd.DataFrame(links_in(x, y, percent, band) if len(x) and len(y) else [], columns=["x", "y"])
+
+    met = apart.groupBy("bucket", "p", "q").cogroup(members.groupBy("m_bucket", "m_p", "m_q"))
+    pairs = met.applyInPandas(compare, "x binary, y binary")
+    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     more = cut(verify(pairs))
     # Links found now are between components: the final components are those of the roots.
     of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")

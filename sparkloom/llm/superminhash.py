@@ -29,15 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, small, stored
-from sparkloom.llm.linking import link
+from sparkloom.llm.linking import SLACK, link, signature_rows
 
 PLACES = 160
 BAND = 5
 #: Shingles that are worked on at once.
 CHUNK = 200_000
-#: Signatures agree in this share less than the threshold, or the pair isn't verified: six standard deviations.
-SLACK = 0.2
-
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,8 +113,8 @@ def signed(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id", lea
     return docs.select(F.col(key).cast("long").alias("doc_id"), of(F.col(text)).alias("f")).select("doc_id", "f.n", "f.node", "f.sig")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(node, elements) of each node in ``nodes`` (node, doc_id), from the text of one of its documents."""
+def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text: str = "text", key: str = "doc_id", brief: bool = False) -> DataFrame:
+    """(node, elements) of each node in ``nodes`` (node, doc_id), from the text of one of its documents; ``brief``: 32 bits of each element, packed."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     wanted = small(nodes.select(F.col("doc_id").alias("_id")).distinct())
     rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
@@ -127,9 +124,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text: str = "text", key:
             for lo in range(0, len(pdf), 256):
                 sets = [shingles(t if isinstance(t, str) else None, k) for t in pdf["text"].iloc[lo : lo + 256]]
                 sets = [s for s in sets if len(s)]
-                yield pd.DataFrame({"node": [node_key(s) for s in sets], "elements": [s.view(np.int64) for s in sets]})
+                elements = [np.unique(s.astype(np.uint32)).tobytes() if brief else s.view(np.int64) for s in sets]
+                yield pd.DataFrame({"node": [node_key(s) for s in sets], "elements": elements})
 
-    return rows.mapInPandas(of, "node binary, elements array<long>").dropDuplicates(["node"])
+    found = rows.mapInPandas(of, f"node binary, elements {'binary' if brief else 'array<long>'}")
+    return found.groupBy("node").agg(F.first("elements").alias("elements"))
 
 
 def _alike(pairs: DataFrame, least: float) -> DataFrame:
@@ -138,8 +137,7 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     def of(batches):
         for pdf in batches:
             if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), -1) for c in ("sig_a", "sig_b"))
-                pdf = pdf[(x == y).mean(axis=1) >= least]
+                pdf = pdf[(signature_rows(pdf["sig_a"]) == signature_rows(pdf["sig_b"])).mean(axis=1) >= least]
             yield pdf[["a", "b"]]
 
     return pairs.mapInPandas(of, "a binary, b binary")
@@ -169,7 +167,11 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text"
         both = F.size(F.array_intersect("e_a", "e_b"))
         return pairs.where(100 * both >= percent * (F.size("e_a") + F.size("e_b") - both)).select("a", "b")
 
-    roots = link(wide, verify)
+    def with_sets(wanted: DataFrame) -> DataFrame:
+        few = nodes.join(wanted, "node", "left_semi")
+        return sets_of(docs, few, k, text, key, brief=True).join(few.select("node", "sig"), "node")
+
+    roots = link(wide, verify, with_sets, percent, BAND)
     grouped = nodes.select("node", "doc_id", "members").join(roots, "node", "left")
     grouped = grouped.where("members > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     ids = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
