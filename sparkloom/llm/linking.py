@@ -37,7 +37,7 @@ def signature_rows(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
-def links_in(apart: pd.DataFrame, members: pd.DataFrame, percent: int, band: int) -> list[tuple[bytes, bytes]]:
+def links_in(apart: pd.DataFrame, members: pd.DataFrame, percent: int, band: int) -> list[tuple]:
     """Links between rows of ``apart`` and of ``members`` that join components: (node, node).
 
     Rows have node, root, largest, sig and elements (sorted 32-bit hashes). Pairs that agree
@@ -113,7 +113,8 @@ def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], signed: Cal
         return pd.DataFrame(links_in(x, y, percent, band) if len(x) and len(y) else [], columns=["x", "y"])
 
     met = apart.groupBy("bucket", "p", "q").cogroup(members.groupBy("m_bucket", "m_p", "m_q"))
-    pairs = met.applyInPandas(compare, "x binary, y binary")
+    kind = dict(bands.dtypes)["node"]
+    pairs = met.applyInPandas(compare, f"x {kind}, y {kind}")
     pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     more = cut(verify(pairs))
     # Links found now are between components: the final components are those of the roots.

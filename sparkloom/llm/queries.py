@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, langid, mixing, onebit, pii, secret_scan, superminhash, tokenfile, toxicity
+from sparkloom.llm import decontam, fuzzy_lines, langid, mixing, onebit, pii, secret_scan, superminhash, tokenfile, toxicity
 from sparkloom.llm.common import shared_path
 from sparkloom.llm.sql import SQL  # noqa: F401
 from sparkloom.sources.tables import table
@@ -30,6 +30,11 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents that repeat, nearly or exactly, an earlier one."""
+    return fuzzy_lines.report(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets in all documents."""
     return secret_scan.report(table(spark, sf_dir, "documents"))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_onebit_nearest": op2_onebit_nearest,
     "op3_token_codes": op3_token_codes,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
