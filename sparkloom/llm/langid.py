@@ -153,3 +153,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
 
     own = [F.col(f"`{c}`") for c in docs.columns]
     return docs.select(*own, of(F.col(text)).alias("_found")).select(*own, f"_found.{pred}", f"_found.{score}")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language: not ``und``, and scored ``least`` or more."""
+    found = predict(docs, model, text, "_li_lang", "_li_score")
+    return found.where((F.col("_li_lang") != "und") & (F.col("_li_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

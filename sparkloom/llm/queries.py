@@ -70,7 +70,7 @@ def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on 2-word shingles."""
-    return superminhash.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return superminhash.groups(table(spark, sf_dir, "documents"), k=2, percent=80).drop("h")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

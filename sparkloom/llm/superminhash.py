@@ -99,7 +99,7 @@ def node_key(s: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id", least: int = 0) -> DataFrame:
-    """(doc_id, n, node, sig) of every document. sig is null for sets of under ``least`` elements."""
+    """(doc_id, h, n, node, sig) of every document; h is a hash of the text. sig is null for sets of under ``least`` elements."""
 
     @F.pandas_udf("struct<n: long, node: binary, sig: binary>")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -110,7 +110,8 @@ def signed(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id", lea
             out += [(len(s), node_key(s) if len(s) else None, r.tobytes() if len(s) >= max(1, least) else None) for s, r in zip(sets, sig, strict=True)]
         return pd.DataFrame(out, columns=["n", "node", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), of(F.col(text)).alias("f")).select("doc_id", "f.n", "f.node", "f.sig")
+    found = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), of(F.col(text)).alias("f"))
+    return found.select("doc_id", "h", "f.n", "f.node", "f.sig")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text: str = "text", key: str = "doc_id", brief: bool = False) -> DataFrame:
@@ -144,7 +145,7 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id of its group) and kept."""
+    """One row for each document: doc_id, h (a hash of its text), n_shingles, component_id (the smallest doc_id of its group) and kept."""
     least = max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 62  # a smaller set has no partner but its equals
     rows = stored(signed(docs, k, text, key, least))
     with_node = rows.where("node IS NOT NULL")
@@ -176,6 +177,13 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text"
     grouped = grouped.where("members > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     ids = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = cut(grouped.select("node", "root").join(ids, "root").select("node", "component_id", F.lit(True).alias("_in")))
-    out = rows.select("doc_id", "n", "node").join(ids, "node", "left")
+    out = rows.select("doc_id", "h", "n", "node").join(ids, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def kept(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without those of each group that aren't its first."""
+    gone = groups(docs, k=k, percent=percent, text=text, key=key).where("NOT kept")
+    gone = small(gone.select(F.col("doc_id").alias("_smh_id"), F.col("h").alias("_smh_h")).distinct())
+    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_smh_id")) & (F.xxhash64(F.col(text)) == F.col("_smh_h")), "left_anti")
