@@ -184,7 +184,7 @@ def in_order(needed: list[int], there: list[int]) -> float:
         if m := masks.get(w):
             hit = row & m
             row = (row + hit | row - hit) & all_
-    return 1 - row.bit_count() / len(needed)
+    return (len(needed) - row.bit_count()) / len(needed)
 
 
 def build(items: DataFrame, *, share: float = SHARE, text: str = "text", key: str = "item_id", shard_items: int = SHARD_ITEMS) -> DataFrame:

@@ -130,6 +130,8 @@ def signed_lines(docs: DataFrame, k: int = K, text: str = "text", key: str = "do
                         hashes.append(h)
                         numbers.append(no)
                         which.append(lines.setdefault(line, len(lines)))
+            if not which:
+                continue
             unique = list(lines)
             keys, found, counts = [line_key(x) for x in unique], [], []
             for s in _chunks(unique):
@@ -161,10 +163,12 @@ def _of_nodes(docs: DataFrame, nodes: DataFrame, k: int, text: str, key: str, br
             for t, wanted in zip(pdf["t"], pdf["wanted"], strict=True):
                 keys = {(w["node"], w["b"]) for w in wanted}
                 lines = {kk: x for x in {normal(raw) for raw in t.split("\n")} if x and (kk := line_key(x)) in keys}
+                if not lines:
+                    continue
                 sets = _sets(list(lines.values()), k)
                 out = {"node": [kk[0] for kk in lines], "elements": [np.unique(s.astype(np.uint32)).tobytes() if brief else s.view(np.int64) for s in sets]}
                 if brief:
-                    out["sig"] = [r.tobytes() for r in signatures(list(lines.values()), k)[0]] if lines else []
+                    out["sig"] = [r.tobytes() for r in signatures(list(lines.values()), k)[0]]
                 yield pd.DataFrame(out)
 
     schema = "node long, elements binary, sig binary" if brief else "node long, elements array<long>"
@@ -220,7 +224,7 @@ def deduplicated(docs: DataFrame, *, k: int = K, percent: int = 80, text: str =
     rows = rows.join(go, F.col(key).cast("long").eqNullSafe(F.col("_fl_id")) & (F.col("_fl_key") == F.col("_fl_h")), "left")
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("_fl_drop", i))
     rest = F.when(F.col("_fl_drop").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
-    own = [rest.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    own = [rest.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "lines_dropped"]
     return rows.select(*own, F.coalesce(F.size("_fl_drop"), F.lit(0)).alias("lines_dropped"))
 
 

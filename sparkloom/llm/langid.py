@@ -143,7 +143,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the two columns added."""
+    """``docs`` with the two columns added; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(f"struct<{pred}: string, {score}: double>")
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
         named, got = shared.value.predict([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({pred: named, score: got})
 
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in (pred, score)]
     return docs.select(*own, of(F.col(text)).alias("_found")).select(*own, f"_found.{pred}", f"_found.{score}")
 
 

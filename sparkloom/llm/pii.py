@@ -262,7 +262,7 @@ def reveal(text: str, key: bytes = DEMO_KEY) -> str:
 
 
 def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text") -> DataFrame:
-    """``docs`` with the text rewritten, and ``pii`` added: kind:start:end of each value in the original text, comma-joined; code points, end exclusive."""
+    """``docs`` with the text rewritten, and ``pii`` added: kind:start:end of each value in the original text, comma-joined; code points, end exclusive. A column of that name is replaced."""
 
     @F.pandas_udf("struct<text: string, pii: string>")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -275,5 +275,5 @@ def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text") ->
                 out.append((t, ""))
         return pd.DataFrame(out, columns=["text", "pii"])
 
-    own = [F.col("_pii.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col("_pii.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "pii"]
     return docs.withColumn("_pii", of(F.col(text))).select(*own, "_pii.pii")

@@ -126,7 +126,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text: str = "text", key:
                 sets = [shingles(t if isinstance(t, str) else None, k) for t in pdf["text"].iloc[lo : lo + 256]]
                 sets = [s for s in sets if len(s)]
                 elements = [np.unique(s.astype(np.uint32)).tobytes() if brief else s.view(np.int64) for s in sets]
-                yield pd.DataFrame({"node": [node_key(s) for s in sets], "elements": elements})
+                if sets:
+                    yield pd.DataFrame({"node": [node_key(s) for s in sets], "elements": elements})
 
     found = rows.mapInPandas(of, f"node binary, elements {'binary' if brief else 'array<long>'}")
     return found.groupBy("node").agg(F.first("elements").alias("elements"))

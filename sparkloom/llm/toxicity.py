@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``spans``, the offending sentences as start:end, comma-joined."""
+    """``docs`` with ``score`` and ``spans``, the offending sentences as start:end, comma-joined; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<score: double, spans: string>")
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out.append((p, ",".join(f"{a}:{b}" for a, b, _ in m.offending(t)) if p >= 0.5 else ""))
         return pd.DataFrame(out, columns=["score", "spans"])
 
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "spans")]
     return docs.select(*own, of(F.col(text)).alias("_tox")).select(*own, "_tox.score", "_tox.spans")
 
 
