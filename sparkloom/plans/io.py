@@ -46,7 +46,11 @@ def sink_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bucketed_join", "SELECT o_orderstatus, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus")
 def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables are bucketed by the order's key once; joins on it then need no exchange."""
-    files.write_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "loom_orders", ("o_orderkey",), 8)
-    files.write_bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey"), "loom_lineitem", ("l_orderkey",), 8)
-    rows = spark.table("loom_orders").join(spark.table("loom_lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+
+    def bucketed(name: str, *columns: str) -> DataFrame:
+        path = shared_path(spark, f"{name}_by_order")
+        return files.write_bucketed(table(spark, sf_dir, name).select(*columns), path.rpartition("/")[2].replace("-", "_"), path, columns[:1], 8)
+
+    orders, lines = bucketed("orders", "o_orderkey", "o_orderstatus"), bucketed("lineitem", "l_orderkey")
+    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))

@@ -16,7 +16,7 @@ from sparkloom.sources.tables import table
 @query(
     "shipping_priority",
     """
-    SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate
+    SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate
     FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
     WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
     GROUP BY l_orderkey, o_orderdate""",
@@ -26,13 +26,13 @@ def shipping_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < day("1998-03-15"))
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") > day("1998-03-15"))
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(building, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(net()), 2).alias("revenue"))
+    return rows.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(net()), 4).alias("revenue"))
 
 
 @query(
     "local_supplier_volume",
     """
-    SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
     JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
@@ -42,7 +42,7 @@ def local_supplier_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = table(spark, sf_dir, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(customers, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
-    return rows.groupBy("n_name").agg(F.round(F.sum(net()), 2).alias("revenue"))
+    return rows.groupBy("n_name").agg(F.round(F.sum(net()), 4).alias("revenue"))
 
 
 @query(

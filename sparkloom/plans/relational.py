@@ -22,8 +22,8 @@ def day(text: str) -> Column:
     "pricing_summary",
     """
     SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
-           round(avg(l_discount), 6) AS avg_disc, count(*) AS n_lines
+           round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue,
+           round(avg(l_discount), 10) AS avg_disc, count(*) AS n_lines
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-08-01 00:00:00'
     GROUP BY l_returnflag, l_linestatus""",
 )
@@ -34,8 +34,8 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
             F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-            F.round(F.sum(net()), 2).alias("revenue"),
-            F.round(F.avg("l_discount"), 6).alias("avg_disc"),
+            F.round(F.sum(net()), 4).alias("revenue"),
+            F.round(F.avg("l_discount"), 10).alias("avg_disc"),
             F.count(F.lit(1)).alias("n_lines"),
         )
     )
@@ -44,7 +44,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "filter_projection",
     """
-    SELECT l_orderkey, l_partkey, round(l_extendedprice * (1 - l_discount), 2) AS net
+    SELECT l_orderkey, l_partkey, l_extendedprice * (1 - l_discount) AS net
     FROM lineitem
     WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'
       AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
@@ -52,18 +52,18 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= day("1996-01-01")) & (F.col("l_shipdate") < day("1997-01-01")))
     rows = rows.where(F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
-    return rows.select("l_orderkey", "l_partkey", F.round(net(), 2).alias("net"))
+    return rows.select("l_orderkey", "l_partkey", net().alias("net"))
 
 
 @query(
     "forecast_revenue",
     """
-    SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue, count(*) AS n FROM lineitem
+    SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue, count(*) AS n FROM lineitem
     WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_quantity < 24""",
 )
 def forecast_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= day("1996-01-01")) & (F.col("l_shipdate") < day("1997-01-01")) & (F.col("l_quantity") < 24))
-    return rows.agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+    return rows.agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 4).alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -112,7 +112,7 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "filtered_aggregates",
     """
-    SELECT event_type, count(*) FILTER (value > 50) AS above, round(sum(value) FILTER (user_id % 2 = 0), 2) AS even_sum,
+    SELECT event_type, count(*) FILTER (value > 50) AS above, round(sum(value) FILTER (user_id % 2 = 0), 6) AS even_sum,
            max_by(event_id, value) AS top_event, bool_or(value > 99) AS any_99
     FROM events GROUP BY event_type""",
 )
@@ -121,7 +121,7 @@ def filtered_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
         .groupBy("event_type")
-        .agg(F.count_if(v > 50).alias("above"), F.round(F.sum(F.when(F.col("user_id") % 2 == 0, v)), 2).alias("even_sum"), F.max_by("event_id", v).alias("top_event"), F.bool_or(v > 99).alias("any_99"))
+        .agg(F.count_if(v > 50).alias("above"), F.round(F.sum(F.when(F.col("user_id") % 2 == 0, v)), 6).alias("even_sum"), F.max_by("event_id", v).alias("top_event"), F.bool_or(v > 99).alias("any_99"))
     )
 
 

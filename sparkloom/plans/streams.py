@@ -19,12 +19,12 @@ def _run(spark: SparkSession, sf_dir: str, job, mode: str = "append", batch=None
 @query(
     "stream_tumbling",
     """
-    SELECT date_trunc('day', ts)::TIMESTAMP AS began, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+    SELECT date_trunc('day', ts)::TIMESTAMP AS began, event_type, count(*) AS n, round(sum(value), 8) AS total FROM events
     GROUP BY 1, 2 HAVING began + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _run(spark, sf_dir, jobs.tumbling_counts)
-    return rows.select(F.col("began").cast("timestamp_ntz").alias("began"), "event_type", "n", F.round("total", 4).alias("total"))
+    return rows.select(F.col("began").cast("timestamp_ntz").alias("began"), "event_type", "n", F.round("total", 8).alias("total"))
 
 
 @query(
@@ -55,9 +55,9 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, jobs.purchases_with_view)
 
 
-@query("stream_state", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+@query("stream_state", "SELECT user_id, count(*) AS n, round(sum(value), 8) AS total FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of each user."""
     rows = _run(spark, sf_dir, jobs.spending, "update")
     last = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("n")))
-    return rows.withColumn("_last", last).where("_last = 1").select("user_id", "n", F.round("total", 4).alias("total"))
+    return rows.withColumn("_last", last).where("_last = 1").select("user_id", "n", F.round("total", 8).alias("total"))

@@ -36,11 +36,11 @@ def aggregate_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "grouped_map",
     """
-    SELECT user_id, event_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS off FROM events""",
+    SELECT user_id, event_id, round(value - avg(value) OVER (PARTITION BY user_id), 10) AS off FROM events""",
 )
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(off=(pdf["value"] - pdf["value"].mean()).round(6))[["user_id", "event_id", "off"]]
+        return pdf.assign(off=(pdf["value"] - pdf["value"].mean()).round(10))[["user_id", "event_id", "off"]]
 
     return table(spark, sf_dir, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(centre, "user_id long, event_id long, off double")
 

@@ -49,8 +49,8 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "frames",
     """
-    SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS running,
-           round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS smooth,
+    SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 8) AS running,
+           round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 10) AS smooth,
            count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS last_day
     FROM events""",
 )
@@ -62,8 +62,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.round(F.sum(v).over(rows.rowsBetween(W.unboundedPreceding, 0)), 4).alias("running"),
-        F.round(F.avg(v).over(rows.rowsBetween(-2, 2)), 4).alias("smooth"),
+        F.round(F.sum(v).over(rows.rowsBetween(W.unboundedPreceding, 0)), 8).alias("running"),
+        F.round(F.avg(v).over(rows.rowsBetween(-2, 2)), 10).alias("smooth"),
         F.count(F.lit(1)).over(day).alias("last_day"),
     )
 
@@ -86,11 +86,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tumbling_windows",
     """
-    SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS began, event_type, count(*) AS n, round(sum(value), 4) AS total
+    SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS began, event_type, count(*) AS n, round(sum(value), 8) AS total
     FROM events GROUP BY 1, 2""",
 )
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 8).alias("total"))
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("began"), "event_type", "n", "total")
 
 
