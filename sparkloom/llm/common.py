@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of a few short columns may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of whole texts in an Arrow batch.
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +55,19 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def text_batches(spark: SparkSession) -> SparkSession:
+    """Let whole texts go to Python by at most ``TEXT_ROWS`` rows at once (Spark's default is ten times that): what a task holds stays small. The session keeps the setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+    return spark
+
+
+def held(df: DataFrame, limit: int) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if it has at most ``limit`` rows of a few numbers; beyond that Spark picks the join."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def word_count(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

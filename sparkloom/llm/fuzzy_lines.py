@@ -28,10 +28,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, small, stored
+from sparkloom.llm.common import held, stored
 from sparkloom.llm.linking import link
 from sparkloom.llm.superminhash import mixed
 
@@ -40,6 +41,9 @@ PLACES = 80
 BAND = 5
 #: Characters of lines that are worked on at once.
 CHUNK = 1 << 20
+#: Nodes, and classes of lines, up to which their keys are broadcast; beyond that both sides are shuffled.
+BROADCAST_NODES = 1_000_000
+BROADCAST_CLASSES = 200_000
 
 _BASE = np.uint64(0x100000001B3)
 
@@ -117,7 +121,7 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame, k: int = K, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, h, line, a, b, n, buckets) of every line that isn't blank: its key and its band keys, which are null where the same batch has had the line before."""
+    """(id, h, line, a, b, n, buckets, text) of every line that isn't blank: its key, its band keys and itself, normalised; the last two are null where the same batch has had the line before."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -146,80 +150,85 @@ def signed_lines(docs: DataFrame, k: int = K, text: str = "text", key: str = "do
             first[np.unique(which, return_index=True)[1]] = True
             yield pd.DataFrame(
                 {"id": pd.array(ids, "Int64"), "h": np.array(hashes, np.int64), "line": np.array(numbers, np.int32), "a": np.array([keys[w][0] for w in which], np.int64), "b": np.array([keys[w][1] for w in which], np.int64),
-                 "n": np.array([counts[w] for w in which], np.int32), "buckets": [found[w] if f else None for w, f in zip(which, first, strict=True)]}
+                 "n": np.array([counts[w] for w in which], np.int32), "buckets": [found[w] if f else None for w, f in zip(which, first, strict=True)],
+                 "text": [unique[w] if f else None for w, f in zip(which, first, strict=True)]}
             )
 
-    return _rows(docs, text, key).mapInPandas(of, "id long, h long, line int, a long, b long, n int, buckets array<long>")
+    return _rows(docs, text, key).mapInPandas(of, "id long, h long, line int, a long, b long, n int, buckets array<long>, text string")
 
 
-def _of_nodes(docs: DataFrame, nodes: DataFrame, k: int, text: str, key: str, brief: bool) -> DataFrame:
-    """(node, elements[, sig]) of wanted nodes (node, b, id, h), read again from one document that has each."""
-    wanted = nodes.groupBy("id", "h").agg(F.collect_set(F.struct("node", "b")).alias("wanted"))
-    wanted = small(wanted.withColumnsRenamed({"id": "wid", "h": "wh"}), 20_000)
-    rows = _rows(docs, text, key).join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh"))).select("t", "wanted")
+def _links(pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose texts ``ta`` and ``tb`` are alike enough, from their full sets."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t, wanted in zip(pdf["t"], pdf["wanted"], strict=True):
-                keys = {(w["node"], w["b"]) for w in wanted}
-                lines = {kk: x for x in {normal(raw) for raw in t.split("\n")} if x and (kk := line_key(x)) in keys}
-                if not lines:
-                    continue
-                sets = _sets(list(lines.values()), k)
-                out = {"node": [kk[0] for kk in lines], "elements": [np.unique(s.astype(np.uint32)).tobytes() if brief else s.view(np.int64) for s in sets]}
-                if brief:
-                    out["sig"] = [r.tobytes() for r in signatures(list(lines.values()), k)[0]]
-                yield pd.DataFrame(out)
-
-    schema = "node long, elements binary, sig binary" if brief else "node long, elements array<long>"
-    return rows.mapInPandas(of, schema).dropDuplicates(["node"])
-
-
-def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, h, line, first_id, first_h, first_line) of every line that isn't blank, and the line of its class that stays; h is a hash of the text."""
-    lines = stored(signed_lines(docs, k, text, key))
+            alike = np.zeros(len(pdf), bool)
+            at = 0
+            while at < len(pdf):
+                size = (pdf["ta"].iloc[at : at + 4096].str.len() + pdf["tb"].iloc[at : at + 4096].str.len()).cumsum()
+                upto = at + max(1, int((size <= CHUNK).sum()))
+                texts = [*pdf["ta"].iloc[at:upto], *pdf["tb"].iloc[at:upto]]
+                sets, n = _sets(texts, k), upto - at
+                for i in range(n):
+                    x, y = sets[i], sets[n + i]
+                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                        both = np.intersect1d(x, y, assume_unique=True).size
+                        alike[at + i] = 100 * both >= percent * (len(x) + len(y) - both)
+                at = upto
+            yield pdf.loc[alike, ["a", "b"]]
+
+    return pairs.mapInPandas(of, "a long, b long")
+
+
+def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """All lines that aren't blank, (id, h, line, a, b), and the classes of more than one, (a, b, first): the struct (last, id, h, line) of the line that stays. h is a hash of the text, (a, b) the key of the line."""
+    lines = stored(signed_lines(docs, k, text, key), compression="zstd")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "line")
-    node = lines.groupBy("a", "b").agg(F.min(place).alias("place"), F.max("n").alias("n"), F.first("buckets", ignorenulls=True).alias("buckets"))
-    # A node is the first half of the key; where two lines share it, the one of smaller second half stands for the node.
-    node = stored(node)
-    nodes = node.groupBy(F.col("a").alias("node")).agg(F.min_by(F.struct("b", "place", "n"), "b").alias("f")).select("node", "f.b", "f.n", "f.place.id", "f.place.h")
+    node = stored(lines.groupBy("a", "b").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")))
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30  # a smaller set has no partner but its equals
-    wide = node.where(F.col("n") >= least).select(F.explode("buckets").alias("bucket"), F.col("a").alias("node"))
+    bands = lines.where(F.col("buckets").isNotNull() & (F.col("n") >= least)).select(F.explode("buckets").alias("bucket"), F.col("a").alias("node"))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """(node, text). Where two lines share the first half of their keys, the one of smaller second half stands for the node."""
+        wanted = held(stored(nodes.select(F.col("node").alias("wanted"))), BROADCAST_NODES)
+        found = lines.where("text IS NOT NULL").select("a", "b", "text").join(wanted, F.col("a") == F.col("wanted"))
+        return found.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("b", "text"))["text"].alias("text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = stored(_of_nodes(docs, nodes.join(ends, "node"), k, text, key, brief=False))
+        pairs = stored(pairs)
+        found = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         for side in "ab":
-            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("elements").alias(f"e_{side}")), side)
-        pairs = pairs.where(100 * F.least(F.size("e_a"), F.size("e_b")) >= percent * F.greatest(F.size("e_a"), F.size("e_b")))
-        both = F.size(F.array_intersect("e_a", "e_b"))
-        return pairs.where(100 * both >= percent * (F.size("e_a") + F.size("e_b") - both)).select("a", "b")
-
-    def with_sets(wanted: DataFrame) -> DataFrame:
-        return _of_nodes(docs, nodes.join(wanted, "node"), k, text, key, brief=True)
+            pairs = pairs.join(found.select(F.col("node").alias(side), F.col("text").alias(f"t{side}")), side)
+        return _links(pairs, k, percent)
 
-    roots = link(wide, verify, with_sets, percent, BAND)
-    of_class = node.join(roots, F.col("a") == F.col("node"), "left").select("a", "b", "place", F.coalesce("root", "a").alias("root"), F.when(F.col("root").isNull(), F.col("b")).alias("alone"))
-    first = of_class.groupBy("root", "alone").agg(F.min("place").alias("first"))
-    first = first.withColumnsRenamed({"root": "r", "alone": "o"})
-    found = of_class.join(first, (F.col("root") == F.col("r")) & F.col("alone").eqNullSafe(F.col("o"))).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "first")
-    out = lines.drop("buckets", "n").join(found, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
-    return out.select("id", "h", "line", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.line").alias("first_line"))
+    def unpack(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = list(pdf["text"])
+        return pdf.assign(sig=[r.tobytes() for r in signatures(own, k)[0]], elements=[np.unique(s.astype(np.uint32)).tobytes() for s in _sets(own, k)])
 
+    roots = link(bands, verify, texts, percent, BAND, unpack)
+    root = F.coalesce("root", "a")
+    # Of lines that share the first half of their keys only the node's own is linked.
+    of_class = node.join(roots, F.col("a") == F.col("node"), "left").where("root IS NOT NULL OR copies > 1")
+    own = F.col("b") == F.min("b").over(W.partitionBy("a"))
+    of_class = of_class.withColumn("other", F.when(F.col("root").isNull() | ~own, F.col("b"))).select("a", "b", "place", root.alias("root"), "other")
+    first = of_class.groupBy(F.col("root").alias("r"), F.col("other").alias("o")).agg(F.min("place").alias("first"))
+    found = of_class.join(first, (F.col("root") == F.col("r")) & F.col("other").eqNullSafe(F.col("o"))).select("a", "b", "first")
+    return lines.select("id", "h", "line", "a", "b"), stored(found)
 
-def _stays() -> Column:
-    return F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")) & (F.col("line") == F.col("first_line"))
 
-
-def dropped(found: DataFrame) -> DataFrame:
-    """(id, h, drop) from line classes: the sorted numbers of the lines that go, of each text that loses some."""
-    gone = found.where(~_stays()).distinct()
-    return gone.groupBy("id", "h").agg(F.array_sort(F.collect_list("line")).alias("drop"))
+def dropped(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """All lines that aren't blank, (id, h, line, a, b), and (id, h, drop): the sorted numbers of the lines that go, of each text that loses some."""
+    lines, found = classes(docs, k=k, percent=percent, text=text, key=key)
+    found = held(found.withColumnsRenamed({"a": "ca", "b": "cb"}), BROADCAST_CLASSES)
+    met = lines.join(found, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("line") == F.col("first.line"))
+    return lines, met.where(~stays).groupBy("id", "h").agg(F.array_sort(F.collect_set("line")).alias("drop"))
 
 
 def deduplicated(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with the repeated lines taken out of the text, and ``lines_dropped``, how many."""
-    go = dropped(classes(docs, k=k, percent=percent, text=text, key=key)).withColumnsRenamed({"id": "_fl_id", "h": "_fl_h", "drop": "_fl_drop"})
+    """``docs`` with the repeated lines taken out of the text, and ``lines_dropped``, how many; a column of that name is replaced."""
+    _, go = dropped(docs, k=k, percent=percent, text=text, key=key)
+    go = go.withColumnsRenamed({"id": "_fl_id", "h": "_fl_h", "drop": "_fl_drop"})
     rows = docs.withColumn("_fl_key", F.xxhash64(F.col(text)))
     rows = rows.join(go, F.col(key).cast("long").eqNullSafe(F.col("_fl_id")) & (F.col("_fl_key") == F.col("_fl_h")), "left")
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("_fl_drop", i))
@@ -230,11 +239,12 @@ def deduplicated(docs: DataFrame, *, k: int = K, percent: int = 80, text: str =
 
 def report(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each document: key, n_lines (not blank), n_kept, and the numbers of the lines that go, comma-joined."""
-    found = cut(classes(docs, k=k, percent=percent, text=text, key=key))
-    each = found.distinct().groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(~_stays(), F.col("line")))).alias("drop"))
-    each = each.withColumnsRenamed({"id": "_id", "h": "_h"})
+    lines, go = dropped(docs, k=k, percent=percent, text=text, key=key)
+    counted = lines.groupBy("id", "h").agg(F.count_distinct("line").alias("n"))
+    each = counted.join(go.withColumnsRenamed({"id": "gid", "h": "gh"}), F.col("id").eqNullSafe(F.col("gid")) & (F.col("h") == F.col("gh")), "left")
+    each = each.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "n", "drop")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"))
     out = rows.join(each, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(key), n.alias("n_lines"), (n - F.coalesce(F.size("drop"), F.lit(0))).cast("long").alias("n_kept"), F.coalesce(F.array_join(F.transform("drop", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped"))
-
+    gone = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))
+    return out.select(F.col("id").alias(key), n.alias("n_lines"), (n - gone).cast("long").alias("n_kept"), F.coalesce(F.array_join(F.transform("drop", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped"))

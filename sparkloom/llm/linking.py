@@ -3,8 +3,9 @@
 A node is a distinct set of shingles. Nodes that agree in a band meet in a bucket. A
 bucket may hold a third of all nodes, so its pairs are never made into rows. Instead:
 
-1. every member is paired with the bucket's smallest member, and the pairs that a
-   verifier confirms are joined into components;
+1. every member is paired with the bucket's smallest member (a bucket of two is its
+   smallest and its largest, which one aggregate gives), and the pairs that a verifier
+   confirms are joined into components;
 2. where a bucket still holds several components, the members outside its largest one
    are compared with all members, block by block: a task holds one block of either side
    with signatures and sets, skips what is already in one component, and returns only
@@ -23,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, stored
+from sparkloom.llm.common import cut, held, stored
 from sparkloom.llm.components import components
 
 #: Nodes in a block.
 BLOCK = 512
+#: Buckets of three and more up to which their numbers are broadcast; beyond that the bands are shuffled again.
+BROADCAST_BUCKETS = 500_000
 #: Signatures agree in this share less than the threshold, or the pair isn't compared: five standard deviations and more.
 SLACK = 0.18
 
@@ -78,43 +81,49 @@ def links_in(apart: pd.DataFrame, members: pd.DataFrame, percent: int, band: int
     return found
 
 
-def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], signed: Callable[[DataFrame], DataFrame], percent: int, band: int) -> DataFrame:
+def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], signed: Callable[[DataFrame], DataFrame], percent: int, band: int, unpack: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """(node, root) for each node linked with another.
 
-    ``bands`` has (bucket, node) rows without repeats, from bands of ``band`` signature
-    places; ``verify`` gets distinct (a, b) pairs with a < b and returns those that are
-    links; ``signed`` gets nodes and returns node, sig and elements.
+    ``bands`` has (bucket, node) rows, from bands of ``band`` signature places; ``verify``
+    gets distinct (a, b) pairs with a < b and returns those that are links; ``signed`` gets
+    nodes and returns node and what ``unpack``, in the task, makes sig and elements of
+    (without it they are there).
     """
-    least = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = cut(bands.join(least, "bucket"))
-    stars = shared.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(verify(stars))
+    met = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
+    met = stored(met.where(F.col("first") != F.col("last")))
+    large = held(met.where("members > 2").select("bucket", "first"), BROADCAST_BUCKETS)
+    shared = stored(bands.join(large, "bucket"))
+    pairs = met.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
+    stars = pairs.union(shared.where(F.col("node") != F.col("first")).select("first", "node")).distinct()
+    links = stored(verify(stars))
     roots = components(links)
 
     # A node without a link is a component of its own.
-    at = cut(_rooted(shared.where("members > 2").select("bucket", "node"), roots))
+    at = stored(_rooted(shared.select("bucket", "node").distinct(), roots))
     counts = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     several = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     several = several.select("bucket", "largest", blocks(F.col("all") - F.col("most")).alias("np"), blocks(F.col("all")).alias("nq"))
-    left = cut(at.join(several, "bucket"))
+    left = stored(at.join(several, "bucket"))
     info = stored(signed(left.select("node").distinct()))
     rows = left.join(info, "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("bucket", "p", "q", "node", "root", "largest", "sig", "elements")
+    payload = [c for c in info.columns if c != "node"]
+    columns = ("bucket", "p", "q", "node", "root", "largest", *payload)
     apart = rows.where(F.col("root") != F.col("largest")).withColumn("p", own("np")).withColumn("q", every("nq")).select(*columns)
     members = rows.withColumn("q", own("nq")).withColumn("p", every("np")).select(*columns)
-
     members = members.select(*[F.col(c).alias(f"m_{c}") for c in columns])  # other names and ids: both sides come from ``rows``
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         y.columns = list(columns)
+        if unpack and len(x) and len(y):
+            x, y = unpack(x), unpack(y)
         return pd.DataFrame(links_in(x, y, percent, band) if len(x) and len(y) else [], columns=["x", "y"])
 
-    met = apart.groupBy("bucket", "p", "q").cogroup(members.groupBy("m_bucket", "m_p", "m_q"))
+    both = apart.groupBy("bucket", "p", "q").cogroup(members.groupBy("m_bucket", "m_p", "m_q"))
     kind = dict(bands.dtypes)["node"]
-    pairs = met.applyInPandas(compare, f"x {kind}, y {kind}")
+    pairs = both.applyInPandas(compare, f"x {kind}, y {kind}")
     pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     more = cut(verify(pairs))
     # Links found now are between components: the final components are those of the roots.
