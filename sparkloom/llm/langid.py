@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import small
+
 WIDTH = 1 << 16
 ORDERS = 4
 LANDMARKS = 40
@@ -105,7 +107,7 @@ def sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each value of ``by``, by a hash of the key. A first cut by share bounds what the window sorts."""
     rows = rows.withColumn("_u", (F.xxhash64(F.col(key), F.lit(8)) + F.lit(2.0**63)) / F.lit(2.0**64))
     counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
-    few = rows.join(counts, F.col(by) == F.col("_by")).where(F.col("_u") * F.col("_n") < 2 * most + 100)
+    few = rows.join(small(counts), F.col(by) == F.col("_by")).where(F.col("_u") * F.col("_n") < 2 * most + 100)
     w = W.partitionBy("_by").orderBy("_u", key)
     return few.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_u", "_n", "_by")
 
