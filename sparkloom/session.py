@@ -7,8 +7,8 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
-    """A local session: UTC, adaptive execution, one shuffle partition for each core."""
+def local_session(cpus: int | None = None, memory: str = "8g", settings: dict[str, str] | None = None) -> SparkSession:
+    """A local session: UTC, adaptive execution, one shuffle partition for each core; ``settings`` come on top."""
     n = cpus or os.cpu_count() or 4
     return (
         SparkSession.builder.master(f"local[{n}]")
@@ -18,5 +18,6 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(map=settings or {})
         .getOrCreate()
     )
