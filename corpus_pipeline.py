@@ -20,22 +20,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, langid, mixing, superminhash, tokenfile
-from sparkloom.llm.common import shared_path
+from sparkloom.llm.common import shared_path, text_batches
 from sparkloom.sources.tables import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that belong to a learned language."""
+    text_batches(spark)
     return langid.accepted(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group."""
+    text_batches(spark)
     return superminhash.kept(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents without a benchmark item."""
+    text_batches(spark)
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -46,6 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token file, and return what it holds for each document."""
+    text_batches(spark)
     path = shared_path(spark, "tokens")
     tokenfile.write(docs, path)
     return tokenfile.read(spark, path)

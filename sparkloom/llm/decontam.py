@@ -52,7 +52,7 @@ SHARE = 0.6
 #: Share of the words of question and of answer that must stand in the passage in order.
 OVERLAP = 0.8
 #: Words of documents that are worked on at once.
-CHUNK_WORDS = 200_000
+CHUNK_WORDS = 100_000
 
 _WORDS = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")

@@ -17,7 +17,7 @@ from itertools import filterfalse
 import numpy as np
 
 #: Pieces that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 750_000
 #: Texts whose unknown pieces are encoded in one call.
 TOGETHER = 128
 #: A word of letters and what closes it: the tokenizer always splits between the two.

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, fuzzy_lines, langid, mixing, onebit, pii, secret_scan, superminhash, tokenfile, toxicity
-from sparkloom.llm.common import shared_path
+from sparkloom.llm.common import shared_path, text_batches
 from sparkloom.llm.sql import SQL  # noqa: F401
 from sparkloom.sources.tables import table
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(text_batches(spark), sf_dir, "documents")
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents by source."""
-    return mixing.mix_report(table(spark, sf_dir, "documents"))
+    return mixing.mix_report(documents(spark, sf_dir))
 
 
 def op2_onebit_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,23 +30,23 @@ def op2_onebit_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents into a segment table, and read it back."""
     path = shared_path(spark, "tokens")
-    tokenfile.write(table(spark, sf_dir, "documents"), path)
+    tokenfile.write(documents(spark, sf_dir), path)
     return tokenfile.read(spark, path)
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all documents that repeat, nearly or exactly, an earlier one."""
-    return fuzzy_lines.report(table(spark, sf_dir, "documents"))
+    return fuzzy_lines.report(documents(spark, sf_dir))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets in all documents."""
-    return secret_scan.report(table(spark, sf_dir, "documents"))
+    return secret_scan.report(documents(spark, sf_dir))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the labels of rows that aren't held out; score all documents."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~langid.held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -51,13 +55,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their personal values replaced, and where these stood."""
-    found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "text", "pii", (F.col("pii") != "").alias("has_pii"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the rows that aren't held out; predict all."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
     return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
@@ -65,12 +69,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items found in each document."""
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on 2-word shingles."""
-    return superminhash.groups(table(spark, sf_dir, "documents"), k=2, percent=80).drop("h")
+    return superminhash.groups(documents(spark, sf_dir), k=2, percent=80).drop("h")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

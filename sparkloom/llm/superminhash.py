@@ -34,7 +34,7 @@ from sparkloom.llm.linking import SLACK, link, signature_rows
 PLACES = 160
 BAND = 5
 #: Shingles that are worked on at once.
-CHUNK = 200_000
+CHUNK = 60_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
