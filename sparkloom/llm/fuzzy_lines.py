@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import held, stored
-from sparkloom.llm.linking import link
+from sparkloom.llm.linking import SLACK, link
 from sparkloom.llm.superminhash import mixed
 
 K = 5
@@ -81,7 +81,7 @@ def _walks(places: int) -> np.ndarray:
 
 
 def signatures(lines: list[str], k: int = K, places: int = PLACES) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit signatures of normalised lines that aren't empty, and the number of shingles of each."""
+    """Signatures (8-bit places) of normalised lines that aren't empty, and the number of shingles of each."""
     h, count = shingle_hashes(lines, k)
     out = np.full(len(lines) * places, 0xFFFFFFFF, np.uint32)
     place = (((h & np.uint64(0xFFFFFFFF)) * np.uint64(places)) >> np.uint64(32)).astype(np.int64)
@@ -97,7 +97,7 @@ def signatures(lines: list[str], k: int = K, places: int = PLACES) -> tuple[np.n
         filled[row, col] = value
         still = value == 0xFFFFFFFF
         row, col = row[still], col[still]
-    return ((filled * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16), count
+    return ((filled * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8), count
 
 
 def _sets(lines: list[str], k: int) -> list[np.ndarray]:
@@ -121,7 +121,7 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame, k: int = K, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, h, line, a, b, n, buckets, text) of every line that isn't blank: its key, its band keys and itself, normalised; the last two are null where the same batch has had the line before."""
+    """(id, h, line, a, b, n, sig, text) of every line that isn't blank: its key, its signature and itself, normalised; the last two are null where the same batch has had the line before."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -140,34 +140,42 @@ def signed_lines(docs: DataFrame, k: int = K, text: str = "text", key: str = "do
             keys, found, counts = [line_key(x) for x in unique], [], []
             for s in _chunks(unique):
                 sig, n = signatures(unique[s], k)
-                wide = sig.astype(np.uint64).reshape(len(sig), -1, BAND)
-                acc = np.arange(wide.shape[1], dtype=np.uint64)[None, :] + np.uint64(1)
-                for i in range(BAND):
-                    acc = mixed(acc + (wide[:, :, i] + np.uint64(1)) * _BASE)
-                found += list(acc.view(np.int64))
+                found += [r.tobytes() for r in sig]
                 counts += n.tolist()
             first = np.zeros(len(which), bool)
             first[np.unique(which, return_index=True)[1]] = True
             yield pd.DataFrame(
                 {"id": pd.array(ids, "Int64"), "h": np.array(hashes, np.int64), "line": np.array(numbers, np.int32), "a": np.array([keys[w][0] for w in which], np.int64), "b": np.array([keys[w][1] for w in which], np.int64),
-                 "n": np.array([counts[w] for w in which], np.int32), "buckets": [found[w] if f else None for w, f in zip(which, first, strict=True)],
+                 "n": np.array([counts[w] for w in which], np.int32), "sig": [found[w] if f else None for w, f in zip(which, first, strict=True)],
                  "text": [unique[w] if f else None for w, f in zip(which, first, strict=True)]}
             )
 
-    return _rows(docs, text, key).mapInPandas(of, "id long, h long, line int, a long, b long, n int, buckets array<long>, text string")
+    return _rows(docs, text, key).mapInPandas(of, "id long, h long, line int, a long, b long, n int, sig binary, text string")
+
+
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the pairs whose signatures agree in at least a share ``least`` of their places."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("sig_a", "sig_b"))
+                yield pdf.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
+
+    return pairs.mapInPandas(of, "a long, b long")
 
 
 def _links(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose texts ``ta`` and ``tb`` are alike enough, from their full sets."""
+    """(a, b) of the pairs whose texts are alike enough, from their full sets."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             alike = np.zeros(len(pdf), bool)
             at = 0
             while at < len(pdf):
-                size = (pdf["ta"].iloc[at : at + 4096].str.len() + pdf["tb"].iloc[at : at + 4096].str.len()).cumsum()
+                size = (pdf["text_a"].iloc[at : at + 4096].str.len() + pdf["text_b"].iloc[at : at + 4096].str.len()).cumsum()
                 upto = at + max(1, int((size <= CHUNK).sum()))
-                texts = [*pdf["ta"].iloc[at:upto], *pdf["tb"].iloc[at:upto]]
+                texts = [*pdf["text_a"].iloc[at:upto], *pdf["text_b"].iloc[at:upto]]
                 sets, n = _sets(texts, k), upto - at
                 for i in range(n):
                     x, y = sets[i], sets[n + i]
@@ -186,24 +194,31 @@ def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text
     place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "line")
     node = stored(lines.groupBy("a", "b").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")))
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30  # a smaller set has no partner but its equals
-    bands = lines.where(F.col("buckets").isNotNull() & (F.col("n") >= least)).select(F.explode("buckets").alias("bucket"), F.col("a").alias("node"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(PLACES // BAND - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * BAND + 1, F.lit(BAND))))
+    bands = lines.where(F.col("sig").isNotNull() & (F.col("n") >= least)).select(F.explode(each).alias("bucket"), F.col("a").alias("node"))
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        """(node, text). Where two lines share the first half of their keys, the one of smaller second half stands for the node."""
+    def of_nodes(nodes: DataFrame, column: str) -> DataFrame:
+        """(node, column). Where two lines share the first half of their keys, the one of smaller second half stands for the node."""
         wanted = held(stored(nodes.select(F.col("node").alias("wanted"))), BROADCAST_NODES)
-        found = lines.where("text IS NOT NULL").select("a", "b", "text").join(wanted, F.col("a") == F.col("wanted"))
-        return found.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("b", "text"))["text"].alias("text"))
+        found = lines.where(F.col(column).isNotNull()).select("a", "b", column).join(wanted, F.col("a") == F.col("wanted"))
+        return found.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("b", column))[column].alias(column))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
-        found = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        found = of_nodes(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), column)
         for side in "ab":
-            pairs = pairs.join(found.select(F.col("node").alias(side), F.col("text").alias(f"t{side}")), side)
-        return _links(pairs, k, percent)
+            pairs = pairs.join(found.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        return pairs
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        near = stored(_alike(with_both(stored(pairs), "sig"), percent / 100 - SLACK))
+        return _links(with_both(near, "text"), k, percent)
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        return of_nodes(nodes, "text")
 
     def unpack(pdf: pd.DataFrame) -> pd.DataFrame:
         own = list(pdf["text"])
-        return pdf.assign(sig=[r.tobytes() for r in signatures(own, k)[0]], elements=[np.unique(s.astype(np.uint32)).tobytes() for s in _sets(own, k)])
+        return pdf.assign(sig=[r.astype(np.uint16).tobytes() for r in signatures(own, k)[0]], elements=[np.unique(s.astype(np.uint32)).tobytes() for s in _sets(own, k)])
 
     roots = link(bands, verify, texts, percent, BAND, unpack)
     root = F.coalesce("root", "a")

@@ -89,7 +89,7 @@ def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], signed: Cal
     nodes and returns node and what ``unpack``, in the task, makes sig and elements of
     (without it they are there).
     """
-    met = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
+    met = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).cast("int").alias("members"))
     met = stored(met.where(F.col("first") != F.col("last")))
     large = held(met.where("members > 2").select("bucket", "first"), BROADCAST_BUCKETS)
     shared = stored(bands.join(large, "bucket"))
