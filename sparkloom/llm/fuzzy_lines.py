@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import held, stored
-from sparkloom.llm.linking import SLACK, link
+from sparkloom.llm.linking import SLACK, bucket_of, link
 from sparkloom.llm.superminhash import mixed
 
 K = 5
@@ -194,7 +194,7 @@ def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text
     place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "line")
     node = stored(lines.groupBy("a", "b").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")))
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30  # a smaller set has no partner but its equals
-    each = F.transform(F.sequence(F.lit(0), F.lit(PLACES // BAND - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * BAND + 1, F.lit(BAND))))
+    each = F.transform(F.sequence(F.lit(0), F.lit(PLACES // BAND - 1)), lambda i: bucket_of(i, F.substring("sig", i * BAND + 1, F.lit(BAND))))
     bands = lines.where(F.col("sig").isNotNull() & (F.col("n") >= least)).select(F.explode(each).alias("bucket"), F.col("a").alias("node"))
 
     def of_nodes(nodes: DataFrame, column: str) -> DataFrame:

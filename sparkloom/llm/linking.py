@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, held, stored
@@ -35,6 +35,15 @@ BROADCAST_BUCKETS = 500_000
 SLACK = 0.18
 
 
+#: Low bits of a bucket's number that hold its band.
+BAND_BITS = 8
+
+
+def bucket_of(band: Column, places: Column) -> Column:
+    """The number of the bucket of these places: their hash, with the band in its low bits."""
+    return F.shiftleft(F.xxhash64(band, places), BAND_BITS).bitwiseOR(band.cast("long"))
+
+
 def signature_rows(column: pd.Series) -> np.ndarray:
     """Signatures (16-bit places) as a matrix."""
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
@@ -43,7 +52,7 @@ def signature_rows(column: pd.Series) -> np.ndarray:
 def links_in(apart: pd.DataFrame, members: pd.DataFrame, percent: int, band: int) -> list[tuple]:
     """Links between rows of ``apart`` and of ``members`` that join components: (node, node).
 
-    Rows have node, root, largest, sig and elements (sorted 32-bit hashes). Pairs that agree
+    Rows have bucket (one for all), node, root, largest, sig and elements (sorted 32-bit hashes). Pairs that agree
     in an earlier band belong to another bucket.
     """
     roots = {r: i for i, r in enumerate(dict.fromkeys([*apart["root"], *members["root"]]))}
@@ -58,8 +67,7 @@ def links_in(apart: pd.DataFrame, members: pd.DataFrame, percent: int, band: int
         same = sig_y == row
         return same, same.reshape(len(same), -1, band).all(axis=2)
 
-    bands = shared(sig_x[0])[1].all(axis=0) & shared(sig_y[0])[1].all(axis=0)
-    here = int(np.argmax(bands))
+    here = int(apart["bucket"].iloc[0]) & (1 << BAND_BITS) - 1
     found = []
     for i, x in enumerate(x_nodes):
         same, agree = shared(sig_x[i])
@@ -84,7 +92,7 @@ def links_in(apart: pd.DataFrame, members: pd.DataFrame, percent: int, band: int
 def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], signed: Callable[[DataFrame], DataFrame], percent: int, band: int, unpack: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """(node, root) for each node linked with another.
 
-    ``bands`` has (bucket, node) rows, from bands of ``band`` signature places; ``verify``
+    ``bands`` has (bucket, node) rows, buckets by ``bucket_of``, from bands of ``band`` signature places; ``verify``
     gets distinct (a, b) pairs with a < b and returns those that are links; ``signed`` gets
     nodes and returns node and what ``unpack``, in the task, makes sig and elements of
     (without it they are there).

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, small, stored
-from sparkloom.llm.linking import SLACK, link, signature_rows
+from sparkloom.llm.linking import SLACK, bucket_of, link, signature_rows
 
 PLACES = 160
 BAND = 5
@@ -154,7 +154,7 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text"
     nodes = stored(with_node.groupBy("node").agg(first.alias("f"), F.count(F.lit(1)).alias("members")).select("node", "members", "f.doc_id", "f.n", "f.sig"))
 
     bands = PLACES // BAND
-    wide = nodes.where("sig IS NOT NULL").select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * 2 * BAND + 1, F.lit(2 * BAND))))).alias("bucket"))
+    wide = nodes.where("sig IS NOT NULL").select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: bucket_of(i, F.substring("sig", i * 2 * BAND + 1, F.lit(2 * BAND))))).alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         info = nodes.where("sig IS NOT NULL")

@@ -1,8 +1,10 @@
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from sparkloom.llm import linking
 from sparkloom.llm import superminhash as s
 from sparkloom.llm.components import components
 
@@ -59,6 +61,20 @@ def test_chains_and_odd_rows(spark, odd, none):
     assert s.groups(none).count() == 0
 
 
+def test_links_of_the_bucket_own_band():
+    """A block whose members agree in an earlier band than the bucket's; the second of the nodes apart shares the bucket's alone."""
+    family, inside, outside = [1] * 15, [1] * 10 + [2] * 5, [3] * 5 + [1] * 10
+    elements = np.arange(40, dtype=np.uint32).tobytes()
+
+    def rows(found, bucket):
+        return pd.DataFrame([(bucket, n, root, "f", np.array(sig, np.uint16).tobytes(), elements) for n, root, sig in found], columns=["bucket", "node", "root", "largest", "sig", "elements"])
+
+    apart, members = [("x0", "x0", inside), ("x1", "x1", outside)], [(f"f{i}", "f", family) for i in range(3)]
+    for block in (members[:2], members[2:], members):
+        found = [linking.links_in(rows(apart, 1 << 20 | band), rows(block, 1 << 20 | band), 80, 5) for band in (0, 1)]
+        assert [{x for x, _ in links} for links in found] == [{"x0"}, {"x1"}]
+
+
 def test_components(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 3).alias("b"))
     got = {r.node: r.root for r in components(edges).collect()}
