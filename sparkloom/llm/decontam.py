@@ -17,10 +17,11 @@ terms are summed for a batch of passages at once; blocks whose sum stays below 1
 skipped, and in the others WAND moves its cursors from pivot to pivot (Ding and Suel,
 2011). All items above the threshold come out, however many.
 
-What is found is verified. The part of the passage in which the item's words stand
-densest is aligned with the item's question and answer (an item is one text here: its
-last sentence is the answer, or the last third of its words where there is just one
-sentence), and both must have ``overlap`` of their words there, in order.
+What is found is verified. Every window of the passage of one and a half item lengths that
+has words enough is aligned with the item's question and answer (an item is one text here:
+its last sentence is the answer, or the last third of its words where there is just one
+sentence), and both must have ``overlap`` of their words there, in order; the overlaps of the
+best window are reported, that in which the smaller one is largest.
 
 Defined cases: null or empty texts on either side match nothing; items without an id are
 left out; items with equal ids are found under that id; repeated document rows are reported once;
@@ -160,15 +161,29 @@ class Shard:
             for item, score in self.wand(term[edges[i] : ends[i]].tolist(), np.flatnonzero(open_[i]).tolist()):
                 yield owner[p], item, score, docs[owner[p]][begin[p] : begin[p] + 2 * self.stride]
 
-    def verified(self, item: int, passage: np.ndarray) -> tuple[float, float]:
-        """The shares of question and answer that stand in order where the item's words are densest."""
+    def verified(self, item: int, passage: np.ndarray, overlap: float = OVERLAP) -> tuple[float, float]:
+        """The shares of question and answer that stand in order in the best window of one and a half item lengths; 0, 0 where no window has the words for it."""
         question, answer = self.questions[item], self.answers[item]
         own = np.isin(passage, question + answer)
         width = min(len(passage), 3 * (len(question) + len(answer)) // 2)
-        inside = np.concatenate([[0], np.cumsum(own)])
-        at = int(np.argmax(inside[width:] - inside[: len(inside) - width]))
-        part = passage[at : at + width].tolist()
-        return in_order(question, part), in_order(answer, part)
+        last = len(passage) - width
+        # A window that begins with another word holds no more of the item than the next one.
+        starts = np.append(np.flatnonzero(own[:last]), last)
+        for words in (question, answer):
+            inside = np.concatenate([[0], np.cumsum(np.isin(passage, words))])
+            starts = starts[inside[starts + width] - inside[starts] >= overlap * len(words) - 1e-9]
+        best = (0.0, 0.0)
+        for at in starts.tolist():
+            part = passage[at : at + width].tolist()
+            q = in_order(question, part)
+            if q < overlap:
+                continue
+            a = in_order(answer, part)
+            if (min(q, a), q, a) > (min(best), *best):
+                best = q, a
+                if min(best) == 1:
+                    break
+        return best
 
 
 def in_order(needed: list[int], there: list[int]) -> float:
@@ -262,7 +277,7 @@ def report(docs: DataFrame, items: DataFrame, *, share: float = SHARE, overlap:
 
                 def flush() -> None:
                     for d, item, score, passage in s.found_in(held):
-                        q, a = s.verified(item, passage)
+                        q, a = s.verified(item, passage, overlap)
                         if q >= overlap and a >= overlap:
                             rows.append((ids[d], s.ids[item], score * share, q, a))
 

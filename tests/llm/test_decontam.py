@@ -64,3 +64,29 @@ def test_in_order():
     assert decontam.in_order([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 0.75
     assert decontam.in_order([], [1]) == 1.0
     assert decontam.in_order([1, 1, 2], [1, 2, 1]) == 2 / 3
+
+
+def test_items_behind_denser_text(spark):
+    """Repeats of the question, or of one of its words, before an item hide nothing; all windows against brute force."""
+    words = [f"w{i}" for i in range(33)]
+    question, answer = " ".join(words[:25]), " ".join(words[25:])
+    longest = " ".join(f"v{i}" for i in range(59))
+    items = spark.createDataFrame([(1, f"{question}. {answer}."), (2, f"{longest}. v0 end.")], "item_id long, text string")
+    texts = [f"{question} {question} {question} {answer}", f"{'w3 ' * 60}{question} {answer}", f"{question} {question} {question}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.report(docs, items).collect()} == {(0, 1), (1, 1)}
+
+    index = decontam.build(items).toPandas()
+    s = decontam.shard_of(index)
+    r = np.random.default_rng(3)
+    q, a = s.questions[0], s.answers[0]
+    passed = 0
+    for _ in range(200):
+        copy = np.array(q + a)[np.sort(r.choice(33, int(r.integers(27, 34)), replace=False))]
+        passage = np.concatenate([r.choice(q, int(r.integers(0, 60))), copy, r.integers(-1, len(s.terms), int(r.integers(0, 40)))])
+        width = min(len(passage), 3 * 33 // 2)
+        parts = [passage[at : at + width].tolist() for at in range(len(passage) - width + 1)]
+        want = any(min(decontam.in_order(q, p), decontam.in_order(a, p)) >= 0.8 for p in parts)
+        assert (min(s.verified(0, passage)) >= 0.8) == want
+        passed += want
+    assert passed > 50
