@@ -17,6 +17,13 @@ and whoever has the key can take it back (``reveal``).
     ip      four octets
     email   letters and digits of the local part; the rest stays
 
+A card or an IBAN may be followed by more digits or words. Where several readings of one
+place pass the check, usual ones count first (cards of 4-4-4-4-3, 4-4-4-4, 4-6-5 and 4-6-4
+digits or without separators; an IBAN of its country's length), then the longest that ends
+at a separator; one in no usual grouping counts only where no other kind and no usual card
+begins. Where a pseudonym makes a reading valid that counts before its own, which takes an
+unusual grouping or three more digits behind a card, ``reveal`` takes that one.
+
 Numbers that fail the check are left as they are. Where kinds overlap the one that begins
 first counts, and of those the one first in the list.
 
@@ -203,7 +210,7 @@ KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {"card": _card, "ib
 
 _NUMBERS = re.compile(
     r"""(?<![\w.])(?<![0-9][+-])(?=[+(0-9])(?:
-    (?P<card>[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[ -][0-9]))
+    (?P<card>[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))
     |(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}(?!\w|[-/.][0-9])|[0-9]{2}(?P<s2>[-/.])[0-9]{2}(?P=s2)[0-9]{4}(?!\w|[-/.][0-9]))
     |(?P<phone>(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w|-[0-9]))
@@ -213,10 +220,83 @@ _NUMBERS = re.compile(
 )
 _EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?!\w)")
+#: Characters of an IBAN by country.
+_IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+        "GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 "
+        "NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _IBAN_START = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}[ A-Z0-9]")
+#: What stands at a card's place if it is none, and cards in their usual groupings.
+_OTHERS = re.compile(re.sub(r"\(\?P<card>.*\n\s*\|", "", _NUMBERS.pattern), re.VERBOSE)
+_USUAL = (
+    re.compile(r"[0-9]{4}([ -])(?:[0-9]{4}\1){3}[0-9]{3}(?!\w)"),
+    re.compile(r"[0-9]{4}([ -])(?:[0-9]{4}\1){2}[0-9]{4}(?![0-9])"),
+    re.compile(r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9])"),
+    re.compile(r"[0-9]{13,19}(?![0-9])"),
+)
 _DIGIT_RUN = re.compile(r"[0-9]{2}|[0-9]\.[0-9]")
 
 
+def _usual_card(text: str, at: int, key: bytes, back: bool) -> tuple[str, int, str] | None:
+    for usual in _USUAL:
+        if (m := usual.match(text, at)) and (new := _card(m.group(), key, back)) is not None:
+            return "card", m.end(), new
+    return None
+
+
+def _number(text: str, m: re.Match, key: bytes, back: bool) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the value that begins where ``m`` does: of all its readings the first that passes its check."""
+    if m.group("card"):
+        if found := _usual_card(text, m.start(), key, back):
+            return found
+        if (new := _card(m.group(), key, back)) is not None:
+            return "card", m.end(), new
+        other = _OTHERS.match(text, m.start())
+    else:
+        other = m
+    if other:
+        kind = next(k for k in ("ssn", "date", "phone", "ip") if other.group(k))
+        if (new := KINDS[kind](other.group(), key, back)) is not None:
+            return kind, other.end(), new
+    if m.group("card"):
+        cuts = [i for i in range(m.start(), m.end()) if text[i] in " -"]
+        for end in reversed(cuts):
+            if (new := _card(text[m.start() : end], key, back)) is not None:
+                if any(_begins(text, i + 1, key, back) for i in cuts if i < end):
+                    return None
+                return "card", end, new
+    return None
+
+
+def _begins(text: str, at: int, key: bytes, back: bool) -> bool:
+    """Whether a card in a usual grouping or a value of another kind begins here, where a search would find it."""
+    if not (m := _NUMBERS.match(text, at)):
+        return False
+    if m.group("card") and _usual_card(text, at, key, back):
+        return True
+    other = _OTHERS.match(text, at)
+    return other is not None and any(other.group(k) and KINDS[k](other.group(), key, back) is not None for k in ("ssn", "date", "phone", "ip"))
+
+
+def _ibans(text: str, key: bytes, back: bool) -> list[tuple[str, int, int, str]]:
+    out, at = [], 0
+    while m := _IBAN.search(text, at):
+        ends = [i for i in range(m.start() + 15, m.end()) if text[i] == " "] + [m.end()]
+        length = _IBAN_LENGTH.get(m.group()[:2])
+        ends.sort(key=lambda e: (e - m.start() - text.count(" ", m.start(), e) != length, -e))
+        at = m.start() + 4
+        for end in ends:
+            if (new := _iban(text[m.start() : end], key, back)) is not None:
+                out.append(("iban", m.start(), end, new))
+                at = end
+                break
+    return out
+
+
 def found_in(text: str, key: bytes = DEMO_KEY, back: bool = False) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of each value that passes its check, in order."""
     out = []
@@ -225,13 +305,13 @@ def found_in(text: str, key: bytes = DEMO_KEY, back: bool = False) -> list[tuple
     if _DIGIT_RUN.search(text):
         at = 0
         while m := _NUMBERS.search(text, at):
-            kind = next(k for k in ("card", "ssn", "date", "phone", "ip") if m.group(k))
-            new = KINDS[kind](m.group(), key, back)
-            if new is not None:
-                out.append((kind, m.start(), m.end(), new))
-            at = m.end() if new is not None else _after(text, m)
+            if found := _number(text, m, key, back):
+                kind, at, new = found
+                out.append((kind, m.start(), at, new))
+            else:
+                at = _after(text, m)
         if _IBAN_START.search(text):
-            out += [("iban", m.start(), m.end(), new) for m in _IBAN.finditer(text) if (new := _iban(m.group(), key, back)) is not None]
+            out += _ibans(text, key, back)
     order = list(KINDS)
     kept: list[tuple[str, int, int, str]] = []
     for f in sorted(out, key=lambda f: (f[1], order.index(f[0]))):

@@ -29,6 +29,24 @@ def test_what_fails_its_check_stays():
         assert pii.found_in(f"see {v} there") == [], v
 
 
+def test_values_before_more_digits_or_words():
+    cards = ["4111 1111 1111 1111", "4845168114407329", "4845-1681-1440-7329", "3782 822463 10005"]
+    ibans = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"]
+    cases = [("card", v, more) for v in cards for more in (" 12/26", " 2026", " 7", "-12", " 100 200 300 400", " 4111")]
+    cases += [("iban", v, more) for v in ibans for more in (" BIC", " BIC NWBKGB2L", " 2026", " A B C D E F G", " EUR 100")]
+    cases += [("phone", "212-555-0199", " 12345"), ("date", "2020-02-29", " 12345 678"), ("ssn", "078-05-1120", " 123456")]
+    for kind, v, more in cases:
+        text = f"see {v}{more} there"
+        found = pii.found_in(text)
+        assert (kind, 4, 4 + len(v)) in [f[:3] for f in found], text
+        new = pii.rewritten(text, found)
+        assert v not in new and pii.reveal(new) == text, text
+    two = f"{ibans[0]} {ibans[2]} X"
+    assert [two[a:b] for _, a, b, _ in pii.found_in(two)] == [ibans[0], ibans[2]]
+    assert [f[:3] for f in pii.found_in("12 4111 1111 1111 1111")] == [("card", 3, 22)]
+    assert [f[:3] for f in pii.found_in("41111 11111 11111 1 99")] == [("card", 0, 19)]
+
+
 def test_dates_are_permuted():
     days = [f"{y}-{m:02d}-{d:02d}" for y in (1999, 2000) for m in range(1, 13) for d in range(1, 29)]
     new = [pii.rewritten(d, pii.found_in(d)) for d in days]
