@@ -24,37 +24,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import held, stored
-from sparkloom.llm.linking import SLACK, bucket_of, link
+from sparkloom.llm.common import held, stored, tasks
+from sparkloom.llm.linking import BAND_BITS, BROADCAST_BUCKETS, alike, least_share, link
 from sparkloom.llm.superminhash import mixed
 
 K = 5
 PLACES = 80
 BAND = 5
 #: Characters of lines that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
+#: Lines whose bands are put together before they are sent, and bands in a part.
+TOGETHER = 1 << 17
+PART = 1 << 20
 #: Nodes, and classes of lines, up to which their keys are broadcast; beyond that both sides are shuffled.
 BROADCAST_NODES = 1_000_000
 BROADCAST_CLASSES = 200_000
 
 _BASE = np.uint64(0x100000001B3)
+#: White space but space and line feed, as ``str.split`` knows it.
+_ODD = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """The normalised lines of a text; those that need nothing but lower case are left as they are."""
+    low = text.lower()
+    odd = any(c in low for c in _ODD)
+    return [" ".join(x.split()) if odd or "  " in x or x[:1] == " " or x[-1:] == " " else x for x in low.split("\n")]
+
+
 def line_key(line: str) -> tuple[int, int]:
     """128 bits of a normalised line as two signed numbers."""
-    a, b = np.frombuffer(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64)
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), np.int64)
     return int(a), int(b)
 
 
@@ -65,13 +78,18 @@ def shingle_hashes(lines: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray
     c = np.frombuffer("".join(x if len(x) >= k or not x else x.ljust(k, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if not len(c):
         return np.empty(0, np.uint64), count
-    padded = np.where(size > 0, np.maximum(size, k), 0)
-    h = c[: len(c) - k + 1].copy()
+    n = len(c) - k + 1
+    h = c[:n] * _BASE
     for i in range(1, k):
-        h = h * _BASE + c[i : len(c) - k + 1 + i]
-    first = np.cumsum(padded) - padded
-    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return mixed(h[at]), count
+        h += c[i : n + i]
+        if i < k - 1:
+            h *= _BASE
+    # What begins in one line and ends in the next is no shingle.
+    inside = np.ones(len(c), bool)
+    ends = np.cumsum(np.where(size > 0, np.maximum(size, k), 0))[size > 0]
+    for i in range(1, k):
+        inside[ends - i] = False
+    return mixed(h[inside[:n]]), count
 
 
 @cache
@@ -84,8 +102,9 @@ def signatures(lines: list[str], k: int = K, places: int = PLACES) -> tuple[np.n
     """Signatures (8-bit places) of normalised lines that aren't empty, and the number of shingles of each."""
     h, count = shingle_hashes(lines, k)
     out = np.full(len(lines) * places, 0xFFFFFFFF, np.uint32)
-    place = (((h & np.uint64(0xFFFFFFFF)) * np.uint64(places)) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(out, np.repeat(np.arange(len(lines)) * places, count) + place, (h >> np.uint64(32)).astype(np.uint32))
+    place = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
+    place += np.repeat(np.arange(len(lines)) * places, count)
+    np.minimum.at(out, place, (h >> np.uint64(32)).astype(np.uint32))
     out = out.reshape(-1, places)
     filled = out.copy()
     row, col = np.nonzero(out == 0xFFFFFFFF)
@@ -100,9 +119,9 @@ def signatures(lines: list[str], k: int = K, places: int = PLACES) -> tuple[np.n
     return ((filled * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8), count
 
 
-def _sets(lines: list[str], k: int) -> list[np.ndarray]:
-    h, count = shingle_hashes(lines, k)
-    return [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])] if lines else []
+def line_set(line: str, k: int = K) -> np.ndarray:
+    """The sorted distinct shingle hashes of a normalised line."""
+    return np.unique(shingle_hashes([line], k)[0])
 
 
 def _chunks(lines: list[str]) -> Iterator[slice]:
@@ -120,47 +139,146 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).where("t IS NOT NULL")
 
 
+_SIGNED = "id long, h long, line int, of int, a long, b long, n int, sig binary, text string"
+
+
 def signed_lines(docs: DataFrame, k: int = K, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, h, line, a, b, n, sig, text) of every line that isn't blank: its key, its signature and itself, normalised; the last two are null where the same batch has had the line before."""
+    """(id, h, line, of, a, b, n, sig, text) of every line that isn't blank: its number, how many its text has, its key, its signature and itself, normalised; the last two are null where the same batch has had the line before."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, hashes, numbers, which = [], [], [], []
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, which, each = [], [], []
             lines: dict[str, int] = {}
-            for id_, h, t in pdf.itertuples(index=False):
-                for no, raw in enumerate(t.split("\n")):
-                    if line := normal(raw):
-                        ids.append(None if pd.isna(id_) else int(id_))
-                        hashes.append(h)
+            for t in batch.column("t").to_pylist():
+                before = len(which)
+                for no, line in enumerate(normal_lines(t)):
+                    if line:
                         numbers.append(no)
                         which.append(lines.setdefault(line, len(lines)))
+                each.append(len(which) - before)
             if not which:
                 continue
             unique = list(lines)
-            keys, found, counts = [line_key(x) for x in unique], [], []
-            for s in _chunks(unique):
-                sig, n = signatures(unique[s], k)
-                found += [r.tobytes() for r in sig]
-                counts += n.tolist()
+            keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in unique]), np.int64).reshape(-1, 2)
+            found, counts = zip(*[signatures(unique[s], k) for s in _chunks(unique)], strict=True)
+            sig, counts = np.concatenate(found), np.concatenate(counts).astype(np.int32)
+            which, each = np.array(which), np.array(each)
+            own = pa.array(np.repeat(np.arange(len(each)), each))
             first = np.zeros(len(which), bool)
             first[np.unique(which, return_index=True)[1]] = True
-            yield pd.DataFrame(
-                {"id": pd.array(ids, "Int64"), "h": np.array(hashes, np.int64), "line": np.array(numbers, np.int32), "a": np.array([keys[w][0] for w in which], np.int64), "b": np.array([keys[w][1] for w in which], np.int64),
-                 "n": np.array([counts[w] for w in which], np.int32), "sig": [found[w] if f else None for w, f in zip(which, first, strict=True)],
-                 "text": [unique[w] if f else None for w, f in zip(which, first, strict=True)]}
-            )
-
-    return _rows(docs, text, key).mapInPandas(of, "id long, h long, line int, a long, b long, n int, sig binary, text string")
-
-
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs whose signatures agree in at least a share ``least`` of their places."""
+            place = pa.array(np.where(first, which, 0), mask=~first)
+            columns = [batch.column("id").take(own), batch.column("h").take(own), pa.array(numbers, pa.int32()), pa.array(np.repeat(each, each).astype(np.int32))]
+            columns += [pa.array(keys[which, 0]), pa.array(keys[which, 1]), pa.array(counts[which]), pa.array([r.tobytes() for r in sig], pa.binary()).take(place), pa.array(unique, pa.string()).take(place)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "line", "of", "a", "b", "n", "sig", "text"])
+
+    return _rows(docs, text, key).mapInArrow(of, _SIGNED)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The signatures of a batch, one row each."""
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def band_numbers(sig: np.ndarray) -> np.ndarray:
+    """The numbers of the buckets of each signature, band by band: the band's places, with the band in the low bits."""
+    places = sig.reshape(len(sig), -1, BAND).astype(np.int64)
+    out = places[:, :, 0]
+    for i in range(1, BAND):
+        out = out << 8 | places[:, :, i]
+    return out << BAND_BITS | np.arange(out.shape[1])
+
+
+def _met(key: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys, smallest and largest node, and how many nodes there are at least (3: more than two), of rows of the same."""
+    order = np.argsort(key, kind="stable")
+    key, low, high, count = key[order], low[order], high[order], count[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    least, most = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+    each = np.diff(np.append(at, len(key)))
+    other = lambda v: (v != np.repeat(least, each)) & (v != np.repeat(most, each))
+    more = np.logical_or.reduceat((count > 2) | other(low) | other(high), at)
+    return key[at], least, most, np.where(more, 3, 1 + (least != most)).astype(np.int32)
+
+
+def band_buckets(lines: DataFrame, least: int) -> DataFrame:
+    """The buckets of ``linking.buckets``. Bands are put together by task and sent packed, those of a part in one row: there are 16 of them for each line, and almost all are alone in their bucket."""
+    wanted = lines.where(F.col("sig").isNotNull() & (F.col("n") >= least)).select("a", "sig")
+    parts = max(tasks(lines.sparkSession), -(-wanted.count() * (PLACES // BAND) // PART))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        nodes, keys, total = [], [], 0
+
+        def send() -> pa.RecordBatch:
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            node = np.repeat(node, PLACES // BAND)
+            key, low, high, count = _met(key.ravel(), node, node, np.ones(len(node), np.int32))
+            part = (mixed(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((count > 1, part))
+            edges = np.flatnonzero(np.diff(part[order].astype(np.int64) * 2 + (count[order] > 1), prepend=-1))
+            rows = []
+            for at in np.split(order, edges[1:]):
+                several = count[at[0]] > 1
+                k = np.ascontiguousarray(key[at].astype("<i8").view(np.uint8).reshape(-1, 8)[:, : BAND + 1])  # all that isn't zero
+                rows.append((int(part[at[0]]), k.tobytes(), low[at].tobytes(), high[at].tobytes() if several else None, count[at].astype(np.uint8).tobytes() if several else None))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "keys", "low", "high", "count"])
+
+        for batch in batches:
+            if batch.num_rows:
+                nodes.append(batch.column("a").to_numpy())
+                keys.append(band_numbers(_matrix(batch)))
+                total += batch.num_rows
+            if total >= TOGETHER:
+                yield send()
+                nodes, keys, total = [], [], 0
+        if total:
+            yield send()
+
+    def unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = np.frombuffer(b"".join(pdf["keys"]), np.uint8).reshape(-1, BAND + 1)
+        key = np.zeros((len(raw), 8), np.uint8)
+        key[:, : BAND + 1] = raw
+        low = np.frombuffer(b"".join(pdf["low"]), np.int64)
+        high = np.frombuffer(b"".join(low_ if high_ is None else high_ for low_, high_ in zip(pdf["low"], pdf["high"], strict=True)), np.int64)
+        count = np.frombuffer(b"".join(b"\1" * (len(low_) // 8) if c is None else c for low_, c in zip(pdf["low"], pdf["count"], strict=True)), np.uint8)
+        key, low, high, count = _met(key.view(np.int64).ravel(), low, high, count)
+        several = count > 1
+        return pd.DataFrame({"bucket": key[several], "first": low[several], "last": high[several], "members": count[several]})
+
+    rows = wanted.mapInArrow(packed, "part int, keys binary, low binary, high binary, count binary")
+    return rows.groupBy("part").applyInPandas(unpacked, "bucket long, first long, last long, members int")
+
+
+def members_of(lines: DataFrame, least: int, large: DataFrame) -> DataFrame:
+    """(bucket, first, node) of each node in the buckets ``large`` (bucket, first)."""
+    wanted = lines.where(F.col("sig").isNotNull() & (F.col("n") >= least)).select("a", "sig")
+    large = stored(large)
+    known = None
+    if large.count() <= BROADCAST_BUCKETS:
+        known = lines.sparkSession.sparkContext.broadcast(np.sort(np.array(large.select("bucket").toPandas()["bucket"], np.int64)))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = band_numbers(_matrix(batch))
+            if known is None:
+                row, band = np.divmod(np.arange(keys.size), keys.shape[1])
+            else:
+                at = np.searchsorted(known.value, keys)
+                row, band = np.nonzero(known.value[np.minimum(at, len(known.value) - 1)] == keys) if len(known.value) else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), pa.array(batch.column("a").to_numpy()[row])], ["bucket", "node"])
+
+    found = wanted.mapInArrow(of, "bucket long, node long")
+    return found.join(large if known is None else F.broadcast(large), "bucket").select("bucket", "first", "node")
+
+
+def _close(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose signatures are near enough to look at their sets."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("sig_a", "sig_b"))
-                yield pdf.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
+                yield pdf.loc[(x == y).mean(axis=1) >= least_share(percent, x.shape[1]), ["a", "b"]]
 
     return pairs.mapInPandas(of, "a long, b long")
 
@@ -170,38 +288,31 @@ def _links(pairs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            alike = np.zeros(len(pdf), bool)
+            ok = np.zeros(len(pdf), bool)
+            size = np.cumsum([len(x) + len(y) for x, y in zip(pdf["text_a"], pdf["text_b"], strict=True)])
             at = 0
             while at < len(pdf):
-                size = (pdf["text_a"].iloc[at : at + 4096].str.len() + pdf["text_b"].iloc[at : at + 4096].str.len()).cumsum()
-                upto = at + max(1, int((size <= CHUNK).sum()))
-                texts = [*pdf["text_a"].iloc[at:upto], *pdf["text_b"].iloc[at:upto]]
-                sets, n = _sets(texts, k), upto - at
-                for i in range(n):
-                    x, y = sets[i], sets[n + i]
-                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        both = np.intersect1d(x, y, assume_unique=True).size
-                        alike[at + i] = 100 * both >= percent * (len(x) + len(y) - both)
+                upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, side="right")))
+                texts = {t: i for i, t in enumerate(dict.fromkeys([*pdf["text_a"].iloc[at:upto], *pdf["text_b"].iloc[at:upto]]))}
+                h, count = shingle_hashes(list(texts), k)
+                sets = [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+                ok[at:upto] = [alike(sets[texts[x]], sets[texts[y]], percent) for x, y in zip(pdf["text_a"].iloc[at:upto], pdf["text_b"].iloc[at:upto], strict=True)]
                 at = upto
-            yield pdf.loc[alike, ["a", "b"]]
+            yield pdf.loc[ok, ["a", "b"]]
 
     return pairs.mapInPandas(of, "a long, b long")
 
 
 def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """All lines that aren't blank, (id, h, line, a, b), and the classes of more than one, (a, b, first): the struct (last, id, h, line) of the line that stays. h is a hash of the text, (a, b) the key of the line."""
+    """All lines that aren't blank, (id, h, line, of, a, b), and the classes of more than one, (a, b, first): the struct (last, id, h, line) of the line that stays. h is a hash of the text, (a, b) the key of the line, ``of`` the number of such lines of the text."""
     lines = stored(signed_lines(docs, k, text, key), compression="zstd")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "line")
-    node = stored(lines.groupBy("a", "b").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")))
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30  # a smaller set has no partner but its equals
-    each = F.transform(F.sequence(F.lit(0), F.lit(PLACES // BAND - 1)), lambda i: bucket_of(i, F.substring("sig", i * BAND + 1, F.lit(BAND))))
-    bands = lines.where(F.col("sig").isNotNull() & (F.col("n") >= least)).select(F.explode(each).alias("bucket"), F.col("a").alias("node"))
 
-    def of_nodes(nodes: DataFrame, column: str) -> DataFrame:
-        """(node, column). Where two lines share the first half of their keys, the one of smaller second half stands for the node."""
+    def of_nodes(nodes: DataFrame, *columns: str) -> DataFrame:
+        """(node, columns). Where two lines share the first half of their keys, the one of smaller second half stands for the node."""
         wanted = held(stored(nodes.select(F.col("node").alias("wanted"))), BROADCAST_NODES)
-        found = lines.where(F.col(column).isNotNull()).select("a", "b", column).join(wanted, F.col("a") == F.col("wanted"))
-        return found.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("b", column))[column].alias(column))
+        found = lines.where(F.col("sig").isNotNull()).select("a", "b", *columns).join(wanted, F.col("a") == F.col("wanted"))
+        return found.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("b", *columns)).alias("f")).select("node", *[f"f.{c}" for c in columns])
 
     def with_both(pairs: DataFrame, column: str) -> DataFrame:
         found = of_nodes(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), column)
@@ -210,29 +321,28 @@ def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text
         return pairs
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = stored(_alike(with_both(stored(pairs), "sig"), percent / 100 - SLACK))
+        near = stored(_close(with_both(stored(pairs), "sig"), percent))
         return _links(with_both(near, "text"), k, percent)
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        return of_nodes(nodes, "text")
-
-    def unpack(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = list(pdf["text"])
-        return pdf.assign(sig=[r.astype(np.uint16).tobytes() for r in signatures(own, k)[0]], elements=[np.unique(s.astype(np.uint32)).tobytes() for s in _sets(own, k)])
+    def signed(nodes: DataFrame) -> DataFrame:
+        return of_nodes(nodes, "n", "sig", "text").withColumnRenamed("text", "payload")
 
-    roots = link(bands, verify, texts, percent, BAND, unpack)
-    root = F.coalesce("root", "a")
+    roots = link(band_buckets(lines, least), lambda large: members_of(lines, least, large), verify, signed, lambda line: line_set(line, k), percent=percent, band=BAND, kind=np.uint8)
     # Of lines that share the first half of their keys only the node's own is linked.
-    of_class = node.join(roots, F.col("a") == F.col("node"), "left").where("root IS NOT NULL OR copies > 1")
+    copies = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"))
+    of_class = copies.join(roots, F.col("a") == F.col("node"), "left").where("root IS NOT NULL OR copies > 1")
     own = F.col("b") == F.min("b").over(W.partitionBy("a"))
-    of_class = of_class.withColumn("other", F.when(F.col("root").isNull() | ~own, F.col("b"))).select("a", "b", "place", root.alias("root"), "other")
-    first = of_class.groupBy(F.col("root").alias("r"), F.col("other").alias("o")).agg(F.min("place").alias("first"))
-    found = of_class.join(first, (F.col("root") == F.col("r")) & F.col("other").eqNullSafe(F.col("o"))).select("a", "b", "first")
-    return lines.select("id", "h", "line", "a", "b"), stored(found)
+    of_class = of_class.select("a", "b", F.coalesce("root", "a").alias("root"), F.when(F.col("root").isNull() | ~own, F.col("b")).alias("other"))
+    of_class = held(stored(of_class), BROADCAST_CLASSES).withColumnsRenamed({"a": "ca", "b": "cb"})
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "line")
+    met = lines.select("id", "h", "line", "a", "b").join(of_class, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
+    first = met.groupBy("root", "other").agg(F.min(place).alias("first"))
+    found = of_class.join(first.select(F.col("root").alias("r"), F.col("other").alias("o"), "first"), (F.col("root") == F.col("r")) & F.col("other").eqNullSafe(F.col("o")))
+    return lines.select("id", "h", "line", "of", "a", "b"), stored(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "first"))
 
 
 def dropped(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """All lines that aren't blank, (id, h, line, a, b), and (id, h, drop): the sorted numbers of the lines that go, of each text that loses some."""
+    """All lines that aren't blank, as from ``classes``, and (id, h, drop): the sorted numbers of the lines that go, of each text that loses some."""
     lines, found = classes(docs, k=k, percent=percent, text=text, key=key)
     found = held(found.withColumnsRenamed({"a": "ca", "b": "cb"}), BROADCAST_CLASSES)
     met = lines.join(found, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
@@ -255,7 +365,7 @@ def deduplicated(docs: DataFrame, *, k: int = K, percent: int = 80, text: str =
 def report(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each document: key, n_lines (not blank), n_kept, and the numbers of the lines that go, comma-joined."""
     lines, go = dropped(docs, k=k, percent=percent, text=text, key=key)
-    counted = lines.groupBy("id", "h").agg(F.count_distinct("line").alias("n"))
+    counted = lines.groupBy("id", "h").agg(F.max("of").alias("n"))
     each = counted.join(go.withColumnsRenamed({"id": "gid", "h": "gh"}), F.col("id").eqNullSafe(F.col("gid")) & (F.col("h") == F.col("gh")), "left")
     each = each.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "n", "drop")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"))

@@ -1,4 +1,4 @@
-"""From band keys to verified links: what the two MinHash operators share.
+"""From buckets to verified links: what the two MinHash operators share.
 
 A node is a distinct set of shingles. Nodes that agree in a band meet in a bucket. A
 bucket may hold a third of all nodes, so its pairs are never made into rows. Instead:
@@ -7,9 +7,9 @@ bucket may hold a third of all nodes, so its pairs are never made into rows. Ins
    smallest and its largest, which one aggregate gives), and the pairs that a verifier
    confirms are joined into components;
 2. where a bucket still holds several components, the members outside its largest one
-   are compared with all members, block by block: a task holds one block of either side
-   with signatures and sets, skips what is already in one component, and returns only
-   links, which are verified again on the full sets.
+   are compared with all members, block by block: a task holds one block of either side,
+   skips what is already in one component, compares signatures, makes the sets of what is
+   left once for each block, and returns only links.
 
 A pair that meets in a bucket is then compared, in the first band that it shares, or in
 one component already; what is not compared could change nothing.
@@ -17,26 +17,32 @@ one component already; what is not compared could change nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, held, stored
+from sparkloom.llm.common import held, stored
 from sparkloom.llm.components import components
 
 #: Nodes in a block.
 BLOCK = 512
 #: Buckets of three and more up to which their numbers are broadcast; beyond that the bands are shuffled again.
 BROADCAST_BUCKETS = 500_000
-#: Signatures agree in this share less than the threshold, or the pair isn't compared: five standard deviations and more.
-SLACK = 0.18
-
-
+#: Standard deviations by which the share of equal places may stay below the threshold before a pair isn't compared.
+SIGMAS = 5.0
 #: Low bits of a bucket's number that hold its band.
 BAND_BITS = 8
+#: Pairs of signatures that are compared at once.
+PAIRS = 1 << 14
+
+
+def least_share(percent: int, places: int) -> float:
+    """The share of equal places from which a pair of signatures is looked at."""
+    p = percent / 100
+    return p - SIGMAS * (p * (1 - p) / places) ** 0.5
 
 
 def bucket_of(band: Column, places: Column) -> Column:
@@ -44,104 +50,151 @@ def bucket_of(band: Column, places: Column) -> Column:
     return F.shiftleft(F.xxhash64(band, places), BAND_BITS).bitwiseOR(band.cast("long"))
 
 
-def signature_rows(column: pd.Series) -> np.ndarray:
-    """Signatures (16-bit places) as a matrix."""
-    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+def signature_rows(column: pd.Series, kind: type = np.uint16) -> np.ndarray:
+    """Signatures as a matrix."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are alike enough."""
+    few, many = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(few) < percent * len(many) or not len(few):
+        return False
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    both = int((many[at] == few).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def links_in(apart: pd.DataFrame, members: pd.DataFrame, percent: int, band: int) -> list[tuple]:
-    """Links between rows of ``apart`` and of ``members`` that join components: (node, node).
+def buckets(bands: DataFrame) -> DataFrame:
+    """(bucket, first, last, members) of the buckets of (bucket, node) rows that hold two nodes and more; members may count repeats."""
+    met = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).cast("int").alias("members"))
+    return met.where(F.col("first") != F.col("last"))
+
+
+def starts(rows: pd.DataFrame) -> np.ndarray:
+    """Whether a row is the first of its (bucket, p, q)."""
+    out = np.ones(len(rows), bool)
+    out[1:] = np.any([(v := rows[c].to_numpy())[1:] != v[:-1] for c in ("bucket", "p", "q")], axis=0)
+    return out
 
-    Rows have bucket (one for all), node, root, largest, sig and elements (sorted 32-bit hashes). Pairs that agree
-    in an earlier band belong to another bucket.
+
+def pairs_apart(rows: pd.DataFrame, percent: int, band: int, kind: type) -> Iterator[tuple[int, int, int]]:
+    """(group, row, row) of the pairs of whole groups that signatures leave open, most alike first within a slice.
+
+    Rows have bucket, p, q, x and y (on which side they stand), node, root, largest, n and sig; rows of a group follow each other.
     """
-    roots = {r: i for i, r in enumerate(dict.fromkeys([*apart["root"], *members["root"]]))}
-    of_x, of_y = (np.array([roots[r] for r in side["root"]]) for side in (apart, members))
-    sig_x, sig_y = signature_rows(apart["sig"]), signature_rows(members["sig"])
-    sets_x, sets_y = ([np.frombuffer(e, np.uint32) for e in side["elements"]] for side in (apart, members))
-    n_y = np.array([len(s) for s in sets_y])
-    x_nodes, y_nodes = list(apart["node"]), list(members["node"])
-    outside = (members["root"] != members["largest"]).to_numpy()
-
-    def shared(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        same = sig_y == row
-        return same, same.reshape(len(same), -1, band).all(axis=2)
-
-    here = int(apart["bucket"].iloc[0]) & (1 << BAND_BITS) - 1
-    found = []
-    for i, x in enumerate(x_nodes):
-        same, agree = shared(sig_x[i])
-        size = len(sets_x[i])
-        open_ = (of_y != of_x[i]) & (agree.argmax(axis=1) == here) & (same.mean(axis=1) >= percent / 100 - SLACK)
-        open_ &= (100 * np.minimum(n_y, size) >= percent * np.maximum(n_y, size))
-        at = [j for j in np.flatnonzero(open_) if not outside[j] or x < y_nodes[j]]
-        if not at:
+    start = starts(rows)
+    group = np.cumsum(start) - 1
+    band_of = rows["bucket"].to_numpy()[start] & (1 << BAND_BITS) - 1
+    node, root = (pd.factorize(rows[c], sort=c == "node")[0] for c in ("node", "root"))
+    outside = (rows["root"] != rows["largest"]).to_numpy()
+    sig, size = signature_rows(rows["sig"], kind), rows["n"].to_numpy()
+    least = np.ceil(least_share(percent, sig.shape[1]) * sig.shape[1])
+    xs, ys = np.flatnonzero(rows["x"].to_numpy()), np.flatnonzero(rows["y"].to_numpy())
+    first, count = np.searchsorted(group[ys], np.arange(group[-1] + 1)), np.bincount(group[ys], minlength=group[-1] + 1)
+    ends = np.cumsum(count[group[xs]])
+    at = 0
+    while at < len(xs):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        each = count[group[xs[at:upto]]]
+        x = np.repeat(xs[at:upto], each)
+        y = ys[np.repeat(first[group[xs[at:upto]]] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        at = upto
+        open_ = (root[x] != root[y]) & (~outside[y] | (node[x] < node[y])) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+        x, y = x[open_], y[open_]
+        for lo in range(0, len(x), PAIRS):
+            a, b = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
+            same = sig[a] == sig[b]
+            share = same.sum(axis=1)
+            near = np.flatnonzero(share >= least)
+            near = near[same[near].reshape(len(near), sig.shape[1] // band, band).all(axis=2).argmax(axis=1) == band_of[group[a[near]]]]
+            for i in near[np.lexsort((-share[near], group[a[near]]))].tolist():
+                yield int(group[a[i]]), int(a[i]), int(b[i])
+
+
+def links_in(rows: pd.DataFrame, percent: int, band: int, kind: type, unpack: Callable) -> list[tuple]:
+    """(root, root) of the components of whole groups that a verified link joins. ``unpack`` makes a row's sorted set of its payload."""
+    found, sets, of, now = [], {}, {}, -1
+    roots, payload = list(rows["root"]), list(rows["payload"])
+
+    def top(r):
+        while of.get(r, r) != r:
+            r = of[r]
+        return r
+
+    for group, x, y in pairs_apart(rows, percent, band, kind):
+        if group != now:
+            sets, now = {}, group
+        a, b = top(roots[x]), top(roots[y])
+        if a == b:
             continue
-        joined = np.concatenate([sets_y[j] for j in at])
-        place = np.minimum(np.searchsorted(sets_x[i], joined), size - 1)
-        common = np.add.reduceat(sets_x[i][place] == joined, np.concatenate([[0], np.cumsum(n_y[at])[:-1]]), dtype=np.int64)
-        for j, c in zip(at, common, strict=True):
-            if 100 * c >= percent * (size + n_y[j] - c) and of_y[j] != of_x[i]:
-                found.append((x, y_nodes[j]))
-                old, new = of_y[j], of_x[i]
-                of_x[of_x == old] = new
-                of_y[of_y == old] = new
+        for i in (x, y):
+            if i not in sets:
+                sets[i] = unpack(payload[i])
+        if alike(sets[x], sets[y], percent):
+            of[max(a, b)] = min(a, b)
+            found.append((roots[x], roots[y]))
     return found
 
 
-def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], signed: Callable[[DataFrame], DataFrame], percent: int, band: int, unpack: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+def link(met: DataFrame, members: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], signed: Callable[[DataFrame], DataFrame], unpack: Callable, *, percent: int, band: int, kind: type) -> DataFrame:
     """(node, root) for each node linked with another.
 
-    ``bands`` has (bucket, node) rows, buckets by ``bucket_of``, from bands of ``band`` signature places; ``verify``
-    gets distinct (a, b) pairs with a < b and returns those that are links; ``signed`` gets
-    nodes and returns node and what ``unpack``, in the task, makes sig and elements of
-    (without it they are there).
+    ``met`` has the buckets (``buckets``), numbered as by ``bucket_of``, from bands of ``band`` signature places of type
+    ``kind``; ``members`` gets (bucket, first) rows and returns them with each of their nodes, (bucket, first, node);
+    ``verify`` gets distinct (a, b) pairs with a < b and returns those that are links; ``signed`` gets nodes and returns
+    (node, n, sig, payload) of each, n the size of its set; ``unpack`` makes the sorted set of a payload, in the task.
     """
-    met = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).cast("int").alias("members"))
-    met = stored(met.where(F.col("first") != F.col("last")))
-    large = held(met.where("members > 2").select("bucket", "first"), BROADCAST_BUCKETS)
-    shared = stored(bands.join(large, "bucket"))
+    met = stored(met)
+    shared = stored(members(met.where("members > 2").select("bucket", "first")).distinct())
     pairs = met.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
     stars = pairs.union(shared.where(F.col("node") != F.col("first")).select("first", "node")).distinct()
-    links = stored(verify(stars))
-    roots = components(links)
+    roots = components(stored(verify(stars)))
 
     # A node without a link is a component of its own.
-    at = stored(_rooted(shared.select("bucket", "node").distinct(), roots))
+    at = stored(_rooted(shared.select("bucket", "node"), roots))
     counts = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     several = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     several = several.select("bucket", "largest", blocks(F.col("all") - F.col("most")).alias("np"), blocks(F.col("all")).alias("nq"))
     left = stored(at.join(several, "bucket"))
-    info = stored(signed(left.select("node").distinct()))
-    rows = left.join(info, "node")
+    rows = left.join(signed(left.select("node").distinct()), "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    payload = [c for c in info.columns if c != "node"]
-    columns = ("bucket", "p", "q", "node", "root", "largest", *payload)
-    apart = rows.where(F.col("root") != F.col("largest")).withColumn("p", own("np")).withColumn("q", every("nq")).select(*columns)
-    members = rows.withColumn("q", own("nq")).withColumn("p", every("np")).select(*columns)
-    members = members.select(*[F.col(c).alias(f"m_{c}") for c in columns])  # other names and ids: both sides come from ``rows``
-
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        y.columns = list(columns)
-        if unpack and len(x) and len(y):
-            x, y = unpack(x), unpack(y)
-        return pd.DataFrame(links_in(x, y, percent, band) if len(x) and len(y) else [], columns=["x", "y"])
-
-    both = apart.groupBy("bucket", "p", "q").cogroup(members.groupBy("m_bucket", "m_p", "m_q"))
-    kind = dict(bands.dtypes)["node"]
-    pairs = both.applyInPandas(compare, f"x {kind}, y {kind}")
-    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = cut(verify(pairs))
-    # Links found now are between components: the final components are those of the roots.
-    of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
-    ends = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    joined = components(ends)
-    final = roots.select("node", F.col("root").alias("r")).unionByName(more.select(F.col("a").alias("node"), F.col("a").alias("r"))).unionByName(more.select(F.col("b").alias("node"), F.col("b").alias("r")))
-    # A node of ``more`` without an earlier link is its own earlier root.
-    final = final.groupBy("node").agg(F.min("r").alias("r"))
-    return cut(final.join(joined.select(F.col("node").alias("r"), "root"), "r", "left").select("node", F.coalesce("root", "r").alias("root")))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # A bucket of one block is sent once; of a larger one each block of one side meets each of the other.
+    apart, one = F.col("root") != F.col("largest"), F.col("nq") == 1
+    side = lambda p, q, x, y: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), x.alias("x"), y.alias("y"))
+    as_x = F.when(apart, F.transform(every("nq"), lambda q: side(own("np"), q, F.lit(True), F.lit(False)))).otherwise(F.array())
+    as_y = F.transform(every("np"), lambda p: side(p, own("nq"), F.lit(False), F.lit(True)))
+    places = F.when(one, F.array(side(F.lit(0), F.lit(0), apart, F.lit(True)))).otherwise(F.concat(as_x, as_y))
+    dealt = rows.select("bucket", "node", "root", "largest", "n", "sig", "payload", F.inline(places))
+    dealt = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    root = dict(roots.dtypes)["root"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole groups of what came in; the last one waits for its rest."""
+        rest = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            whole = int(np.flatnonzero(starts(pdf))[-1])
+            rest = pdf.iloc[whole:].reset_index(drop=True)
+            if whole:
+                yield pd.DataFrame(links_in(pdf.iloc[:whole], percent, band, kind, unpack), columns=["a", "b"])
+        if rest is not None:
+            yield pd.DataFrame(links_in(rest, percent, band, kind, unpack), columns=["a", "b"])
+
+    joined = stored(components(dealt.mapInPandas(compare, f"a {root}, b {root}")))
+    # A node that is its own component and has a link now is in ``joined`` alone.
+    final = roots.unionByName(joined.select("node", F.col("node").alias("root"))).distinct()
+    final = final.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return stored(final.select("node", F.coalesce("top", "root").alias("root")))
+
+
+def of_large(bands: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``members`` for ``link`` from all (bucket, node) rows."""
+    return lambda large: bands.join(held(stored(large), BROADCAST_BUCKETS), "bucket").select("bucket", "first", "node")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:

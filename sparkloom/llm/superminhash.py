@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, small, stored
-from sparkloom.llm.linking import SLACK, bucket_of, link, signature_rows
+from sparkloom.llm.linking import alike, bucket_of, buckets, least_share, link, of_large, signature_rows
 
 PLACES = 160
 BAND = 5
@@ -114,8 +114,8 @@ def signed(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id", lea
     return found.select("doc_id", "h", "f.n", "f.node", "f.sig")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text: str = "text", key: str = "doc_id", brief: bool = False) -> DataFrame:
-    """(node, elements) of each node in ``nodes`` (node, doc_id), from the text of one of its documents; ``brief``: 32 bits of each element, packed."""
+def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(node, elements) of each node in ``nodes`` (node, doc_id), packed, from the text of one of its documents."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     wanted = small(nodes.select(F.col("doc_id").alias("_id")).distinct())
     rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
@@ -123,23 +123,36 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text: str = "text", key:
     def of(batches):
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
-                sets = [shingles(t if isinstance(t, str) else None, k) for t in pdf["text"].iloc[lo : lo + 256]]
-                sets = [s for s in sets if len(s)]
-                elements = [np.unique(s.astype(np.uint32)).tobytes() if brief else s.view(np.int64) for s in sets]
+                sets = [s for t in pdf["text"].iloc[lo : lo + 256] if len(s := shingles(t if isinstance(t, str) else None, k))]
                 if sets:
-                    yield pd.DataFrame({"node": [node_key(s) for s in sets], "elements": elements})
+                    yield pd.DataFrame({"node": [node_key(s) for s in sets], "elements": [s.tobytes() for s in sets]})
 
-    found = rows.mapInPandas(of, f"node binary, elements {'binary' if brief else 'array<long>'}")
+    found = rows.mapInPandas(of, "node binary, elements binary")
     return found.groupBy("node").agg(F.first("elements").alias("elements"))
 
 
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures agree in at least a share ``least`` of their places."""
+def unpack(elements: bytes) -> np.ndarray:
+    return np.frombuffer(elements, np.uint64)
+
+
+def _links(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, e_a, e_b) whose sets are alike enough."""
+
+    def of(batches):
+        for pdf in batches:
+            ok = [alike(unpack(x), unpack(y), percent) for x, y in zip(pdf["e_a"], pdf["e_b"], strict=True)]
+            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+
+    return pairs.mapInPandas(of, "a binary, b binary")
+
+
+def _close(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures are near enough to look at their sets."""
 
     def of(batches):
         for pdf in batches:
             if len(pdf):
-                pdf = pdf[(signature_rows(pdf["sig_a"]) == signature_rows(pdf["sig_b"])).mean(axis=1) >= least]
+                pdf = pdf[(signature_rows(pdf["sig_a"]) == signature_rows(pdf["sig_b"])).mean(axis=1) >= least_share(percent, PLACES)]
             yield pdf[["a", "b"]]
 
     return pairs.mapInPandas(of, "a binary, b binary")
@@ -161,19 +174,18 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text"
         for side in "ab":
             pairs = pairs.join(info.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
         pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        pairs = cut(_alike(pairs, percent / 100 - SLACK))
+        pairs = cut(_close(pairs, percent))
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = stored(sets_of(docs, nodes.join(ends, "node", "left_semi"), k, text, key))
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("elements").alias(f"e_{side}")), side)
-        both = F.size(F.array_intersect("e_a", "e_b"))
-        return pairs.where(100 * both >= percent * (F.size("e_a") + F.size("e_b") - both)).select("a", "b")
+        return _links(pairs, percent)
 
     def with_sets(wanted: DataFrame) -> DataFrame:
         few = nodes.join(wanted, "node", "left_semi")
-        return sets_of(docs, few, k, text, key, brief=True).join(few.select("node", "sig"), "node")
+        return sets_of(docs, few, k, text, key).withColumnRenamed("elements", "payload").join(few.select("node", F.col("n").cast("int"), "sig"), "node")
 
-    roots = link(wide, verify, with_sets, percent, BAND)
+    roots = link(buckets(wide), of_large(wide), verify, with_sets, unpack, percent=percent, band=BAND, kind=np.uint16)
     grouped = nodes.select("node", "doc_id", "members").join(roots, "node", "left")
     grouped = grouped.where("members > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     ids = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -64,15 +64,35 @@ def test_chains_and_odd_rows(spark, odd, none):
 def test_links_of_the_bucket_own_band():
     """A block whose members agree in an earlier band than the bucket's; the second of the nodes apart shares the bucket's alone."""
     family, inside, outside = [1] * 15, [1] * 10 + [2] * 5, [3] * 5 + [1] * 10
-    elements = np.arange(40, dtype=np.uint32).tobytes()
+    elements = np.arange(40, dtype=np.uint64).tobytes()
 
-    def rows(found, bucket):
-        return pd.DataFrame([(bucket, n, root, "f", np.array(sig, np.uint16).tobytes(), elements) for n, root, sig in found], columns=["bucket", "node", "root", "largest", "sig", "elements"])
+    def rows(found, bucket, x, y):
+        return pd.DataFrame([(bucket, 0, 0, x, y, n, root, "f", 40, np.array(sig, np.uint16).tobytes(), elements) for n, root, sig in found], columns=["bucket", "p", "q", "x", "y", "node", "root", "largest", "n", "sig", "payload"])
 
     apart, members = [("x0", "x0", inside), ("x1", "x1", outside)], [(f"f{i}", "f", family) for i in range(3)]
     for block in (members[:2], members[2:], members):
-        found = [linking.links_in(rows(apart, 1 << 20 | band), rows(block, 1 << 20 | band), 80, 5) for band in (0, 1)]
-        assert [{x for x, _ in links} for links in found] == [{"x0"}, {"x1"}]
+        both = [pd.concat([rows(apart, 1 << 20 | band, True, False), rows(block, 1 << 20 | band, False, True)], ignore_index=True) for band in (0, 1)]
+        assert [[x for x, _ in linking.links_in(b, 80, 5, np.uint16, s.unpack)] for b in both] == [["x0"], ["x1"]]
+        together = pd.concat(both, ignore_index=True)
+        together["bucket"] += np.repeat([0, 1 << 20], len(both[0]))
+        assert {x for x, _ in linking.links_in(together, 80, 5, np.uint16, s.unpack)} == {"x0", "x1"}
+
+
+def test_small_blocks(spark, monkeypatch):
+    """Buckets of many blocks, of families that are linked, nearly linked and not linked."""
+    monkeypatch.setattr(linking, "BLOCK", 3)
+    r = np.random.default_rng(11)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(14):
+            words = list(base)
+            for i in r.choice(60, int(r.integers(0, 14)), replace=False):
+                words[i] = f"x{r.integers(1_000_000)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = s.groups(docs, k=1).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == by_hand(rows, 1)
 
 
 def test_components(spark):
