@@ -1,29 +1,36 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is scaled to unit length and rotated by one random orthogonal matrix;
-its code is the signs of the result, one bit for each dimension, packed. With the
-code go a scalar, ``fit``: the inner product of the unit vector with its own code
-read as +-1/sqrt(dim). The inner product of a unit query and the code, divided by
-``fit``, estimates the cosine without bias, and differs from it by at most about
-``sqrt(1 - fit^2) / fit / sqrt(dim - 1)`` for each standard deviation. A vector is
-reranked by its exact cosine if its upper bound reaches the k-th best lower bound
-of its shard, so what is left out is out by that bound.
-
-The rows are dealt to shards and the queries to blocks, both of bounded size, and
-each shard meets each block once; a task holds one shard and one block. Within a
-shard only the k + 1 smallest ids of equal vectors can be among anyone's k nearest,
-so the rest of a group of copies is left out before scoring.
+Every vector is scaled to unit length and turned by one random matrix with orthonormal
+columns into ``BITS`` dimensions (or its own number, if larger); its code is the signs of
+the result, packed. With the code goes a scalar, ``fit``: the inner product of the turned
+vector with its own code read as +-1/sqrt(bits). The inner product of a turned query and
+the code, divided by ``fit``, estimates the cosine without bias, with a standard deviation
+of about ``sqrt(1 - fit^2) / fit / sqrt(bits - 1)`` (Gao and Long, 2024). Queries are
+rounded to ``PLANES`` bits a dimension, so inner products are counts of common bits, and
+the rounding widens the bound by its own standard deviation.
+
+A search goes over the codes twice, never over the vectors. First every query takes the
+k + 1 rows of largest estimate; the least of their exact cosines is a bar that the k-th
+best reaches for certain. Then every row whose upper bound (``sigmas`` standard deviations)
+reaches the query's bar is reranked: its vector is fetched and its exact cosine taken.
+
+Codes are dealt to shards and queries to blocks, both of bounded size, and each shard
+meets each block once in a task that holds one of either. Of equal vectors only the k + 1
+smallest ids can be among anyone's k nearest, so the rest of a group of copies isn't
+searched, and queries with equal vectors are searched once.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite
 component take no part, nor do rows without an id; repeated rows count once; an id
 that stands on several different vectors is searched with each and has, with any
 other id, the largest of their scores; vectors are compared only with vectors of
-their length; with fewer than k candidates all are returned.
+their length; equal scores go by the smaller id; with fewer than k candidates all are
+returned; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,41 +38,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import stored
+from sparkloom.llm.common import held, stored, tasks
 
-SHARD_ROWS = 8192
+BITS = 512
+PLANES = 4
+SHARD_ROWS = 65_536
 BLOCK_ROWS = 4096
-LEAST_SHARDS = 32
+#: Rows from which a shard is worth a task of its own.
+LEAST_ROWS = 2048
+#: Query vectors up to which they are broadcast to be reranked; beyond that Spark picks the join.
+BROADCAST_QUERIES = 10_000
 SIGMAS = 3.0
 SEED = 20240607
 
 
+def bits_of(dim: int) -> int:
+    return -(-max(BITS, dim) // 64) * 64
+
+
+@lru_cache(maxsize=4)
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, the same in every task."""
-    q, r = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((dim, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+    """A random matrix of dim x bits with orthonormal rows, the same in every task."""
+    q, r = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((bits_of(dim), dim)))
+    return np.ascontiguousarray((q * np.sign(np.diag(r))).T.astype(np.float32))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to unit length. The largest component is divided out first, so that squares neither overflow nor vanish."""
+def turned(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit length and turned. The largest component is divided out first, so that squares neither overflow nor vanish."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32) @ rotation(x.shape[1])
 
 
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The packed signs of each rotated unit vector, and its fit."""
-    dim = x.shape[1]
-    turned = _unit(x).astype(np.float32) @ rotation(dim)
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.float32(math.sqrt(dim))
+    """The code of each vector, in words of 64 bits, and its fit."""
+    t = turned(x)
+    return np.packbits(t > 0, axis=1).view(np.uint64), np.abs(t).sum(axis=1) / np.float32(math.sqrt(t.shape[1]))
+
+
+def rounded(queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Turned queries as bit planes (query, plane, word), least value, step, and sum of the rounded values."""
+    t = turned(queries)
+    low = t.min(axis=1, keepdims=True)
+    step = np.maximum((t.max(axis=1, keepdims=True) - low) / (2**PLANES - 1), np.float32(1e-9))
+    level = np.rint((t - low) / step).astype(np.uint8)
+    planes = np.stack([np.packbits(level >> p & 1, axis=1).view(np.uint64) for p in range(PLANES)], axis=1)
+    return planes, low[:, 0], step[:, 0], (low * t.shape[1] + step * level.sum(axis=1, keepdims=True))[:, 0]
 
 
 def estimate(codes: np.ndarray, fit: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines (queries x codes) and, for each code, one standard deviation of the error."""
-    dim = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    turned = _unit(queries).astype(np.float32) @ rotation(dim)
-    inner = turned @ signs.T / np.float32(math.sqrt(dim))
-    return inner / fit, np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / math.sqrt(max(1, dim - 1))
+    """Estimated cosines (queries x codes) and their standard deviations, from the bits that codes and planes have in common."""
+    bits = codes.shape[1] * 64
+    planes, low, step, total = rounded(queries)
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int32)
+    out = np.empty((len(queries), len(codes)), np.float32)
+    for i, own in enumerate(planes):
+        common = sum(np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int32) << p for p, plane in enumerate(own))
+        out[i] = (2 * (low[i] * ones + step[i] * common) - total[i]) / np.float32(math.sqrt(bits)) / fit
+    own = np.maximum(0, 1 - fit * fit) / max(1, bits - 1)
+    return out, np.sqrt(own[None, :] + step[:, None] ** 2 / 12) / fit[None, :]
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,11 +109,15 @@ def valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Every comparable vector with its code: id, vector, dim, code, fit."""
+def comparable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The distinct rows that take part: id, vector, its hash and its length."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & valid(F.col("vector"))).dropDuplicates(["id", "vector"])
-    rows = rows.withColumn("dim", F.size("vector"))
+    return rows.withColumns({"h": F.xxhash64("vector"), "dim": F.size("vector")})
+
+
+def index(rows: DataFrame) -> DataFrame:
+    """``comparable`` rows with their codes: id, h, vector, dim, code, fit."""
 
     def coded(batches):
         for pdf in batches:
@@ -91,49 +125,90 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 codes, fit = encode(np.stack(part["vector"].to_numpy()))
                 yield part.assign(code=[c.tobytes() for c in codes], fit=fit.astype(np.float64))
 
-    return rows.mapInPandas(coded, "id long, vector array<double>, dim int, code binary, fit double")
-
-
-def _nearest(base: pd.DataFrame, queries: pd.DataFrame, k: int, sigmas: float) -> pd.DataFrame:
-    out = []
-    if len(base) and len(queries):
-        base = base.sort_values("id")
-        base = base[base.groupby(base["vector"].map(lambda v: v.tobytes())).cumcount() <= k]
-        x, q = np.stack(base["vector"].to_numpy()), np.stack(queries["vector"].to_numpy())
-        codes = np.frombuffer(b"".join(base["code"]), np.uint8).reshape(len(base), -1)
-        fit, ids, asked = base["fit"].to_numpy(np.float32), base["id"].to_numpy(), queries["id"].to_numpy()
-        for at in range(0, len(q), 256):
-            mine, own = q[at : at + 256], asked[at : at + 256]
-            near, sd = estimate(codes, fit, mine)
-            others = ids[None, :] != own[:, None]
-            low = np.where(others, near - sigmas * sd, -np.inf)
-            bar = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(mine), -np.inf)
-            for lo in range(0, len(mine), 32):
-                qi, xi = np.nonzero(others[lo : lo + 32] & (near[lo : lo + 32] + sigmas * sd >= bar[lo : lo + 32, None]))
-                for c in range(0, len(qi), 65536):
-                    a, b = qi[c : c + 65536] + lo, xi[c : c + 65536]
-                    found = pd.DataFrame({"row": a + at, "query_id": own[a], "vec_id": ids[b], "score": cosine(mine[a], x[b])})
-                    out.append(_best(found, "row", k))
-    if not out:
-        return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-    return _best(pd.concat(out).groupby(["query_id", "vec_id"], as_index=False)["score"].max(), "query_id", k)
-
-
-def _best(found: pd.DataFrame, by: str, k: int) -> pd.DataFrame:
-    """The k largest scores of each ``by``, ties to the smaller id."""
-    return found.sort_values([by, "score", "vec_id"], ascending=[True, False, True]).groupby(by).head(k)
+    return rows.select("id", "h", "vector", "dim").mapInPandas(coded, "id long, h long, vector array<double>, dim int, code binary, fit double")
+
+
+_FOUND = ["qid", "qh", "id", "h"]
+
+
+def _scan(codes: DataFrame, asked: DataFrame, shards: int, blocks: int, pick) -> DataFrame:
+    """(qid, qh, id, h, near) of the rows that ``pick`` chooses of each shard for each query."""
+    left = codes.withColumn("shard", F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("qh", "qid"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def both(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(base) and len(queries):
+            codes = np.frombuffer(b"".join(base["code"]), np.uint64).reshape(len(base), -1)
+            fit = base["fit"].to_numpy(np.float32)
+            for at in range(0, len(queries), 16):
+                part = queries.iloc[at : at + 16]
+                near, sd = estimate(codes, fit, np.stack(part["vector"].to_numpy()))
+                q, x = pick(near, sd, part)
+                out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[q], "qh": part["qh"].to_numpy()[q], "id": base["id"].to_numpy()[x], "h": base["h"].to_numpy()[x], "near": near[q, x].astype(np.float64)}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=[*_FOUND, "near"]).astype("int64")
+
+    keys = ("dim", "shard", "block")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, "qid long, qh long, id long, h long, near double")
+
+
+def _exact(found: DataFrame, coded: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, qh, id, score): the exact cosines of what was found."""
+    vectors = coded.select("id", "h", F.col("vector").alias("x"))
+    queries = held(asked.select("qid", "qh", F.col("vector").alias("q")), BROADCAST_QUERIES)
+    rows = found.select(*_FOUND).join(vectors, ["id", "h"]).join(queries, ["qid", "qh"]).select("qid", "qh", "id", "x", "q")
+
+    def scored(batches):
+        for pdf in batches:
+            if len(pdf):
+                sizes = pdf["x"].map(len).to_numpy()
+                for n in np.unique(sizes):
+                    part = pdf[sizes == n]
+                    yield part[["qid", "qh", "id"]].assign(score=cosine(np.stack(part["q"].to_numpy()), np.stack(part["x"].to_numpy())))
+
+    got = rows.mapInPandas(scored, "qid long, qh long, id long, score double")
+    return got.groupBy("qid", "qh", "id").agg(F.max("score").alias("score"))
+
+
+def _first(rows: DataFrame, by: tuple, order: tuple, k: int) -> DataFrame:
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return ranked.where(F.col("rank") <= k)
+
+
+def chosen(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", sigmas: float = SIGMAS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The searched rows with their codes, the queries (id, qid, qh), their distinct vectors (qid, qh, vector, dim), and the rows that are reranked for each."""
+    rows = stored(comparable(vectors, id_col, vector_col))
+    searched = _first(rows, ("vector",), ("id",), k + 1)
+    coded = stored(index(searched))
+    asks = rows.where(queries)
+    asked = stored(asks.groupBy("vector").agg(F.min("id").alias("qid")).select("qid", F.xxhash64("vector").alias("qh"), "vector", F.size("vector").alias("dim")))
+    named = asks.select("id", "vector").join(asked.select("qid", "qh", "vector"), "vector").select("id", "qid", "qh")
+
+    n, m = coded.count(), asked.count()
+    shards = max(1, -(-n // SHARD_ROWS), min(tasks(rows.sparkSession), n // LEAST_ROWS))
+    blocks = max(1, -(-m // BLOCK_ROWS))
+    codes = coded.select("id", "h", "dim", "code", "fit")
+
+    def best(near: np.ndarray, sd: np.ndarray, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        if near.shape[1] <= k + 1:
+            return tuple(x.ravel() for x in np.indices(near.shape))
+        x = np.argpartition(-near, k, axis=1)[:, : k + 1]
+        return np.repeat(np.arange(len(near)), k + 1), x.ravel()
+
+    def open_(near: np.ndarray, sd: np.ndarray, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(near + sigmas * sd >= part["bar"].to_numpy(np.float32)[:, None])
+
+    first = _first(_scan(codes, asked, shards, blocks, best), ("qid", "qh"), (F.desc("near"), "id", "h"), k + 1)
+    least = _exact(first, coded, asked).groupBy("qid", "qh").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    bars = stored(least.select("qid", "qh", F.when(F.col("n") > k, F.col("least") - 1e-6).otherwise(-2.0).alias("bar")))
+    found = stored(_scan(codes, asked.join(bars, ["qid", "qh"]), shards, blocks, open_))
+    return coded, named, asked, found
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", sigmas: float = SIGMAS) -> DataFrame:
     """The k nearest rows by cosine of each row for which ``queries`` (over the column ``id``) holds: query_id, rank, vec_id, score."""
-    coded = stored(index(vectors, id_col, vector_col))
-    asked = coded.where(queries)
-    n, m = coded.count(), asked.count()
-    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
-    left = coded.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.select("id", "vector", "dim", F.pmod(F.xxhash64("vector", "id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    keys = ("dim", "shard", "block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _nearest(a, b, k, sigmas), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    coded, named, asked, found = chosen(vectors, queries, k, id_col=id_col, vector_col=vector_col, sigmas=sigmas)
+    best = _first(_exact(found, coded, asked), ("qid", "qh"), (F.desc("score"), "id"), k + 1).select("qid", "qh", F.col("id").alias("vec_id"), "score")
+    each = named.join(best, ["qid", "qh"]).where(F.col("id") != F.col("vec_id"))
+    each = each.groupBy(F.col("id").alias("query_id"), "vec_id").agg(F.max("score").alias("score"))
+    return _first(each, ("query_id",), (F.desc("score"), "vec_id"), k).select("query_id", "rank", "vec_id", "score")

@@ -14,12 +14,17 @@ def brute(rows, k=5, divisor=50):
     return out
 
 
-def test_recall(spark):
+def test_recall_and_share_reranked(spark):
     path = "/root/testdata/sf0.1"
-    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    table = spark.read.parquet(f"{path}/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect()]
     got = op2_onebit_nearest(spark, path).collect()
     want = brute(rows)
-    assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
+    recall = len({(r.query_id, r.vec_id) for r in got} & want) / len(want)
+    coded, _, asked, found = onebit.chosen(table, F.col("id") % 50 == 0)
+    share = found.count() / coded.count() / asked.count()
+    print("recall", recall, "share of pairs reranked", share)
+    assert recall >= 0.99 and share < 0.2
     vectors = dict(rows)
     for r in got:
         x, y = vectors[r.query_id], vectors[r.vec_id]
@@ -32,7 +37,28 @@ def test_estimates_lie_within_their_bounds():
     near, sd = onebit.estimate(codes, fit, x[:50])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     off = np.abs(near - unit[:50] @ unit.T)
-    assert (off <= 3 * sd).mean() > 0.98
+    assert (off <= 3 * sd).mean() > 0.99 and off.mean() < 0.04
+
+
+def test_groups_of_copies(spark):
+    """Many equal vectors, also among the queries, over several shards and blocks."""
+    r = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else r.standard_normal(3).round(1).tolist()) for i in range(400)]
+    rows = [(i, v) for i, v in rows if any(v)] + [(50, [0.5, 0.5, 0.5]), (51, [3.0, 2.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in onebit.nearest(table, F.col("id") % 10 == 0, 5, sigmas=6.0).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.score, x.vec_id))
+    for q in {i for i, _ in rows if i % 10 == 0}:
+        best = {}
+        for i, v in rows:
+            if i != q:
+                for j, w in rows:
+                    if j == q:
+                        s = float(onebit.cosine(np.array([w], float), np.array([v], float))[0])
+                        best[i] = max(best.get(i, -2), s)
+        want = sorted(((-s, i) for i, s in best.items()))[:5]
+        assert [(rank, v) for rank, _, v in sorted(got[q])] == [(n + 1, i) for n, (_, i) in enumerate(want)]
 
 
 def test_odd_vectors(spark):
