@@ -2,6 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparkloom.llm import pii
+from sparkloom.llm.queries import op7_feistel_pseudonyms
 
 VALUES = ["4845168114407329", "4845 1681 1440 7329", "378282246310005", "+1 (017) 555-7713", "(212) 555-0199", "212-555-0199", "97.51.17.173", "und.34@mail7.example.com", "078-05-1120", "2020-02-29", "31/12/1999", "12/31/1999", "10.10.2010", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
 LEFT = ["4845168114407328", "999-05-1120", "2021-02-29", "45/13/1999", "1.2.3.4.5", "300.1.1.1", "GB83 WEST 1234 5698 7654 32", "0000000000000000", "12345", "x4845168114407329"]
@@ -65,6 +66,32 @@ def test_small_domain_is_a_permutation():
     assert sorted(pii.permute(v, 97, b"k", "t", lambda x: x % 3 > 0) for v in range(97) if v % 3) == [v for v in range(97) if v % 3]
 
 
+def test_no_value_is_its_own_pseudonym():
+    for key in (b"a", b"b", b"c"):
+        assert sorted(pii.moved(v, 26, key, "t") for v in range(26)) == list(range(26))
+        assert all(pii.moved(v, n, key, "t") != v for n in (2, 26, 97) for v in range(n))
+        for c in "abcdefghijklmnopqrstuvwxyz":
+            new = pii.rewritten(t := f"{c}@x.org", pii.found_in(t, key))
+            assert new != t and pii.reveal(new, key) == t
+    for v in ["665-01-0001", "667-99-9999", "001-01-0001", "899-99-9999"]:
+        assert pii.reveal(pii.rewritten(v, pii.found_in(v))) == v
+
+
+def test_phones_are_linked(spark):
+    spelled = ["(212) 555-0199", "212-555-0199", "+1 (212) 555-0199", "+1 212 555 0199"]
+    assert len({"".join(c for c in pii.found_in(v)[0][3] if c.isdigit())[-10:] for v in spelled}) == 1
+
+
+def test_query_against_revealing_it(spark, sf_dir):
+    """Every text of the query, revealed, is the original; its spans are those of the texts by themselves."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = op7_feistel_pseudonyms(spark, sf_dir).collect()
+    assert len(got) == len(texts) and any(r.has_pii for r in got)
+    for r in got:
+        assert pii.reveal(r.text) == texts[r.doc_id] and (r.text != texts[r.doc_id]) == r.has_pii
+        assert r.pii == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in pii.found_in(texts[r.doc_id]))
+
+
 def test_odd_rows(spark, odd, none):
     got = pii.pseudonymised(odd.withColumn("pii", odd["id"]))
     assert got.columns == [*odd.columns, "pii"]
