@@ -2,12 +2,16 @@
 
 Each source has a target in words. A source whose target is k times its size and
 more gives k certain whole copies of every document; what is left of the target is
-a fixed-size sample of its documents. For that sample every document has a fixed
-uniform number u (from a hash of its id) and the rank ``odds(u) / odds(inclusion)``;
-the sample is the documents of lowest rank whose words fill the rest. The inclusion
-odds are ``sqrt(size)`` up to a factor common to the source, which cancels in the
-order and is set by where the sample ends. One more document, the one whose size
-comes nearest to the words then missing, closes the gap.
+a fixed-size sample of its documents. For that sample a document's inclusion probability
+is ``min(1, c * floor(sqrt(size)))``, with the c of its source for which the expected words
+of the sample are the rest of the target; documents that reach 1 are certain. Every document
+has a fixed uniform number u (from a hash of its id) and the rank ``odds(u) / odds(p)``
+(Rosen, 1997); the sample is the documents of lowest rank whose words fill the rest. One
+more document, the one whose size comes nearest to the words then missing, closes the gap.
+
+The factor c is found from the words at each value of ``floor(sqrt(size))``, of which there
+are few thousand for documents of millions of words: with the largest ones certain, the rest
+gives c, and the first c that makes no other one certain is the source's.
 
 No source is ordered in one task: the place where its sample ends is found by
 summing sizes over cells of the rank axis, twice over ``CELLS`` cells, and only the
@@ -66,14 +70,33 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def keyed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The documents with _mix_source, _mix_size, _mix_rank and the two cell numbers."""
+    """The documents with _mix_source, _mix_size, _mix_m (what the inclusion probability goes by) and _mix_odds, those of u."""
     size = word_count(F.col(text))
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.col(text)), F.lit("none"))
     out = docs.withColumns({"_mix_source": F.col(source), "_mix_size": size, "_mix_u": uniform(name)})
-    out = out.withColumn("_mix_rank", F.col("_mix_u") / (1 - F.col("_mix_u")) / F.sqrt(F.greatest(F.col("_mix_size"), F.lit(1)).cast("double")))
-    at = 32 * F.col("_mix_rank") / (1 + 32 * F.col("_mix_rank")) * CELLS
-    out = out.withColumn("_mix_c1", F.floor(at))
-    return out.withColumn("_mix_c2", F.floor((at - F.col("_mix_c1")) * CELLS)).drop("_mix_u")
+    out = out.withColumn("_mix_m", F.floor(F.sqrt(F.greatest(F.col("_mix_size"), F.lit(1)).cast("double"))))
+    return out.withColumn("_mix_odds", F.col("_mix_u") / (1 - F.col("_mix_u"))).drop("_mix_u")
+
+
+def inclusion(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(_mix_source, _mix_c): the factor of each source's inclusion probabilities. A window runs over the values of _mix_m of a source."""
+    per = _same(sizes.groupBy("_mix_source", "_mix_m").agg(F.sum("_mix_size").alias("_words")), targets.select("_mix_source", "_rest"))
+    larger = W.partitionBy("_mix_source").orderBy(F.desc("_mix_m"))
+    per = per.withColumn("_certain", F.sum("_words").over(larger) - F.col("_words"))
+    per = per.withColumn("_per_c", F.sum(F.col("_mix_m") * F.col("_words")).over(larger.rowsBetween(0, W.unboundedFollowing)))
+    per = per.withColumn("_c", F.when(F.col("_per_c") > 0, (F.col("_rest") - F.col("_certain")) / F.col("_per_c")))
+    # The least of the values that make nothing smaller certain belongs to the largest such _mix_m.
+    return per.where(F.col("_c") * F.col("_mix_m") <= 1).groupBy("_mix_source").agg(F.max_by("_c", "_mix_m").alias("_mix_c"))
+
+
+def ranked(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """Keyed rows with _mix_rank and their cells on the rank axis."""
+    out = _same(rows, factors, "left")
+    p = F.least(F.coalesce("_mix_c", F.lit(0.0)) * F.col("_mix_m"), F.lit(1.0))
+    out = out.withColumn("_mix_rank", F.when(p >= 1, 0.0).when(p > 0, F.col("_mix_odds") / (p / (1 - p))).otherwise(1e300)).drop("_mix_c")
+    at = F.col("_mix_rank") / (1 + F.col("_mix_rank")) * CELLS
+    out = out.withColumn("_mix_c1", F.least(F.floor(at), F.lit(CELLS - 1)))
+    return out.withColumn("_mix_c2", F.floor((at - F.col("_mix_c1")) * CELLS))
 
 
 def _same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -93,12 +116,14 @@ def _first_over(cells: DataFrame, cell: str) -> DataFrame:
     )
 
 
-def decisions(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """For each source of keyed rows: its words, target, ``_mix_k`` copies of all, and the ranks that the sample holds."""
+def decisions(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """The keyed rows with their ranks, and for each source its words, target, ``_mix_k`` copies of all, the factor of its inclusion probabilities and the ranks that the sample holds."""
     targets = cut(source_targets(rows, weights, cap))
     ratio = F.when(F.col("_mix_words") > 0, F.col("_mix_target") / F.col("_mix_words")).otherwise(0.0)
     targets = targets.withColumn("_mix_k", F.least(F.floor(ratio + 1e-12), F.lit(cap)))
     targets = targets.withColumn("_rest", F.when(F.col("_mix_k") < cap, F.greatest(F.col("_mix_target") - F.col("_mix_k") * F.col("_mix_words"), F.lit(0.0))).otherwise(0.0))
+    factors = cut(inclusion(rows, targets))
+    rows = cut(ranked(rows, factors))
 
     level1 = _same(rows.groupBy("_mix_source", "_mix_c1").agg(F.sum("_mix_size").alias("_words")), targets.select("_mix_source", "_rest"))
     cut1 = cut(_first_over(level1, "_mix_c1"))
@@ -117,7 +142,7 @@ def decisions(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
     off = F.abs(F.col("_mix_size") - F.col("_gap"))
     closing = out.where(off < F.col("_gap")).groupBy("_mix_source").agg(F.min(F.struct(off.alias("off"), F.col("_mix_rank").alias("rank")))["rank"].alias("_mix_closing"))
     ends = _same(ends, closing, "left")
-    return _same(targets.drop("_rest"), ends.drop("_gap"), "left")
+    return rows, _same(_same(targets.drop("_rest"), ends.drop("_gap"), "left"), factors, "left")
 
 
 def _sampled() -> Column:
@@ -127,24 +152,25 @@ def _sampled() -> Column:
     return F.coalesce((c1 < F.col("_mix_cut1")) | inside, F.lit(False))
 
 
-def with_copies(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Keyed rows with ``_mix_words``, ``_mix_target`` and ``_mix_copies``, how often the mix takes each."""
+def with_copies(rows: DataFrame, found: DataFrame, cap: int = CAP) -> DataFrame:
+    """Ranked rows with ``_mix_words``, ``_mix_target`` and ``_mix_copies``, how often the mix takes each."""
     closing = F.coalesce(F.col("_mix_rank") == F.col("_mix_closing"), F.lit(False))
     out = _same(rows, found)
-    return out.withColumn("_mix_copies", F.col("_mix_k") + (_sampled() | closing).cast("int")).drop("_mix_k", "_mix_cut1", "_mix_cut2", "_mix_last", "_mix_closing")
+    copies = F.least(F.col("_mix_k") + (_sampled() | closing).cast("int"), F.lit(cap))
+    return out.withColumn("_mix_copies", copies).drop("_mix_k", "_mix_cut1", "_mix_cut2", "_mix_last", "_mix_closing", "_mix_c")
 
 
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as the mix takes it."""
     rows = keyed(docs, text, source, key)
-    found = decisions(cut(rows.select("_mix_source", "_mix_size", "_mix_rank", "_mix_c1", "_mix_c2")), weights, cap)
-    out = with_copies(rows, found).where(F.col("_mix_copies") > 0)
+    _, found = decisions(cut(rows.select("_mix_source", "_mix_size", "_mix_m", "_mix_odds")), weights, cap)
+    found = cut(found)
+    out = with_copies(ranked(rows, found.select("_mix_source", "_mix_c")), found, cap).where(F.col("_mix_copies") > 0)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")).drop("_mix_copy")
 
 
 def mix_report(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row for each document: key, size, source_size, target and taken, the words that the mix takes of it."""
-    rows = keyed(docs, text, source, key).select(F.col(key).alias("_mix_key"), "_mix_source", "_mix_size", "_mix_rank", "_mix_c1", "_mix_c2")
-    rows = cut(rows)
-    out = with_copies(rows, decisions(rows, weights, cap))
+    rows = keyed(docs, text, source, key).select(F.col(key).alias("_mix_key"), "_mix_source", "_mix_size", "_mix_m", "_mix_odds")
+    out = with_copies(*decisions(cut(rows), weights, cap), cap)
     return out.select(F.col("_mix_key").alias(key), F.col("_mix_size").alias("size"), F.col("_mix_words").cast("long").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).cast("long").alias("taken"))

@@ -14,7 +14,7 @@ WITH RECURSIVE d AS (
 k AS (
   SELECT *, (('0x' || substr(h, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM d),
 r AS (
-  SELECT *, u / (1 - u) / sqrt(greatest(size, 1)::DOUBLE) AS q FROM k),
+  SELECT *, u / (1 - u) AS odds, floor(sqrt(greatest(size, 1)::DOUBLE))::BIGINT AS m FROM k),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS w
@@ -32,17 +32,25 @@ t2 AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size + 1e-12), 3) ELSE 0 END AS copies FROM t),
 t3 AS (
   SELECT *, CASE WHEN copies < 3 THEN greatest(target - copies * source_size, 0) ELSE 0 END AS rest FROM t2),
+v AS (SELECT source, m, sum(size) AS words FROM r GROUP BY source, m),
+v2 AS (
+  SELECT v.source, m, (rest - (sum(words) OVER (PARTITION BY v.source ORDER BY m DESC) - words))::DOUBLE
+         / nullif(sum(m * words) OVER (PARTITION BY v.source ORDER BY m), 0)::DOUBLE AS c
+  FROM v JOIN t3 ON v.source IS NOT DISTINCT FROM t3.source),
+v3 AS (SELECT source, arg_max(c, m) AS c FROM v2 WHERE c * m <= 1 GROUP BY source),
+p AS (
+  SELECT r.doc_id, r.size, r.odds, t3.*, least(coalesce(v3.c, 0) * m, 1.0) AS p
+  FROM r JOIN t3 ON r.source IS NOT DISTINCT FROM t3.source LEFT JOIN v3 ON r.source IS NOT DISTINCT FROM v3.source),
+q AS (SELECT *, CASE WHEN p >= 1 THEN 0.0::DOUBLE WHEN p > 0 THEN odds / (p / (1 - p)) ELSE 1e300 END AS q FROM p),
 o AS (
-  SELECT r.doc_id, r.size, r.q, t3.*,
-         sum(r.size) OVER (PARTITION BY r.source ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM r JOIN t3 ON r.source IS NOT DISTINCT FROM t3.source),
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q),
 g AS (
   SELECT *, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM o),
 c AS (
   SELECT source, arg_min(q, (abs(size - gap), q)) AS closing FROM g
   WHERE upto > rest AND size > 0 AND abs(size - gap) < gap GROUP BY source)
 SELECT g.doc_id, g.size, g.source_size, g.target,
-       (g.size * (g.copies + CASE WHEN g.upto <= g.rest OR g.q = c.closing THEN 1 ELSE 0 END))::BIGINT AS taken
+       (g.size * least(g.copies + CASE WHEN g.upto <= g.rest OR g.q = c.closing THEN 1 ELSE 0 END, 3))::BIGINT AS taken
 FROM g LEFT JOIN c ON g.source IS NOT DISTINCT FROM c.source
 """
 

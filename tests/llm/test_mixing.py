@@ -43,6 +43,35 @@ def test_taken_comes_near_the_targets(spark):
     assert all(math.isclose(taken[s], target[s], rel_tol=0.02, abs_tol=40) for s in target)
 
 
+def test_documents_are_taken_as_often_as_their_probability_says(spark):
+    """400 sources of the same sizes, every other one of weight 2, are 200 samples each of one design."""
+    sizes = [(j % 40 + 1) ** 2 for j in range(60)] + [4000]
+    docs = spark.range(400 * len(sizes)).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / len(sizes)).cast("string").alias("source"), F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") % len(sizes) + 1).cast("int")).alias("n"))
+    docs = docs.withColumn("source", F.lpad("source", 5, "0")).withColumn("text", F.repeat(F.lit("w "), F.col("n")))
+    rows = mixing.mix_report(docs, weights=(1, 2)).collect()
+    for target in sorted({r.target for r in rows}):
+        own = [r for r in rows if r.target == target]
+        rest = target % own[0].source_size
+        c = rest / sum(math.isqrt(n) * n for n in sizes)
+        certain: list[int] = []
+        while (top := max(n for n in sizes if n not in certain)) and c * math.isqrt(top) > 1:
+            certain.append(top)
+            c = (rest - sum(n for n in sizes if n in certain)) / sum(math.isqrt(n) * n for n in sizes if n not in certain)
+        share, want = defaultdict(list), {n: min(1.0, c * math.isqrt(n)) if n not in certain else 1.0 for n in sizes}
+        for r in own:
+            share[r["size"]].append(r.taken // r["size"] - target // r.source_size)
+        assert all(abs(sum(x) / len(x) - want[n]) < 0.15 for n, x in share.items())
+        off = [(sum(x) / len(x) - want[n]) * math.sqrt(len(x)) for n, x in share.items()]
+        # The document that closes the gap comes on top: about half a document of 61.
+        assert abs(sum(off)) / len(off) < 0.4 and all(want[n] < 1 or set(x) == {1} for n, x in share.items())
+
+
+def test_no_row_exceeds_the_cap(spark):
+    """Rows without words neither."""
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "x"), (3, "", "x"), (4, "w " * 500, "y"), (5, None, "z")], "doc_id long, text string, source string")
+    assert all(r["count"] <= 3 for r in mixing.mix(docs).groupBy("doc_id").count().collect())
+
+
 def test_mix_repeats_rows(odd):
     taken = {(r.doc_id, r["size"]): r.taken for r in mixing.mix_report(odd).collect()}
     mixed = mixing.mix(odd)
