@@ -10,14 +10,18 @@ A batch of texts is a 0/1 matrix P over the n-gram places. Its kernel values wit
 landmarks, times the coefficients, are ``(P L') a``; because the product is
 associative, ``L' a`` is worked out once and each batch costs one matrix product.
 
-Training looks at a bounded sample: at most ``PER_LANGUAGE`` documents of each
-language for the regression and ``LANDMARKS`` of those as landmarks, chosen by a hash
-of the id. Scoring reads every whole text.
+Training looks at a bounded sample: the ``MOST_LANGUAGES`` languages with the most rows,
+at most ``PER_LANGUAGE`` documents of each for the regression, and ``LANDMARKS`` of those
+(fewer where there are so many languages that there would be more than ``MOST_LANDMARKS``)
+as landmarks, chosen by a hash of id and text. What the driver and a broadcast hold is
+bounded by these numbers. Scoring reads every whole text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no
-training rows every text is ``und``; null ids count as held out; rows without a
-language, or with a null text, teach nothing; extra columns are carried by
-``predict`` and ignored by the query.
+training rows every text is ``und``; null ids count as held out and teach nothing; rows
+without a language, or with a null text, teach nothing; rows that agree in id, text and
+language teach once, other rows of one id each by themselves; equal outputs go to the
+language that is first in order; extra columns are carried by ``predict`` and ignored by
+the query.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small
+from sparkloom.llm.common import cut, small
 
 WIDTH = 1 << 16
 ORDERS = 4
 LANDMARKS = 40
+MOST_LANDMARKS = 640
+MOST_LANGUAGES = 128
 PER_LANGUAGE = 1000
 RIDGE = 1e-3
 BATCH = 32
@@ -112,16 +118,32 @@ def sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     return few.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_u", "_n", "_by")
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, landmarks: int = LANDMARKS, per_language: int = PER_LANGUAGE, ridge: float = RIDGE) -> Model:
-    """Fit on the labelled rows of ``docs``. The driver sees ``landmarks`` whole texts of each language and, for the rest of the sample, one kernel value for each landmark."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    picked = sample(rows.drop("text"), "lang", "id", per_language).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), "_rank")
-    rows = rows.join(F.broadcast(picked), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "lang", "_rank")
-
-    marks = rows.where(F.col("_rank") <= landmarks).select("lang", "text").toPandas()
-    if marks.empty:
+def sampled(docs: DataFrame, text: str, lang: str, key: str, per_language: int, most_languages: int) -> DataFrame:
+    """(text, lang, rank) of the training sample: distinct rows, told apart by hashes of id and text."""
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    learned = [r.lang for r in counts]
+    if not learned:
+        return rows.where("false").select("text", "lang", F.lit(0).alias("rank"))
+    u = (F.xxhash64("h", F.lit(8)) + F.lit(2.0**63)) / F.lit(2.0**64)
+    n = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, r.n)]), F.col("lang"))
+    # A first cut by share bounds what is sorted. Repeated rows fall on one side of it together, and count once.
+    few = rows.where(F.col("lang").isin(learned)).where(u * n < 2 * per_language + 100).select("lang", "h").distinct()
+    ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("h", F.lit(8)), "h"))).where(F.col("rank") <= per_language)
+    picked = small(ranked.select(F.col("h").alias("_h"), F.col("lang").alias("_lang"), "rank"))
+    found = rows.join(picked, (F.col("h") == F.col("_h")) & (F.col("lang") == F.col("_lang"))).select("text", "lang", "rank", "h")
+    return cut(found.dropDuplicates(["h", "lang"]).select("text", "lang", "rank"))
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, landmarks: int = LANDMARKS, per_language: int = PER_LANGUAGE, ridge: float = RIDGE, most_languages: int = MOST_LANGUAGES, most_landmarks: int = MOST_LANDMARKS) -> Model:
+    """Fit on the labelled rows of ``docs``. The driver sees the whole texts of the landmarks and, for the rest of the sample, one kernel value for each landmark."""
+    rows = sampled(docs, text, lang, key, per_language, most_languages)
+    n_languages = rows.select("lang").distinct().count()
+    if not n_languages:
         return Model([], np.zeros((WIDTH, 1), np.float32))
-    marks = marks.sort_values(["lang", "text"]).groupby("lang").head(landmarks)
+    marks = rows.where(F.col("rank") <= max(1, min(landmarks, most_landmarks // n_languages))).select("lang", "text").toPandas()
+    marks = marks.sort_values(["lang", "text"])
     at = presence(list(marks["text"]))
     at /= np.sqrt(np.maximum(at.sum(axis=1, keepdims=True), 1))
     shared = rows.sparkSession.sparkContext.broadcast(at)
@@ -134,7 +156,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 k = (p @ shared.value.T) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
                 yield pd.DataFrame({"lang": part["lang"].to_numpy(), "k": [r.tobytes() for r in k.astype(np.float32)]})
 
-    got = rows.mapInPandas(kernels, "lang string, k binary").toPandas().sort_values(["lang", "k"])
+    got = rows.select("lang", "text").mapInPandas(kernels, "lang string, k binary").toPandas().sort_values(["lang", "k"])
     languages = sorted(set(got["lang"]))
     knm = np.frombuffer(b"".join(got["k"]), np.float32).reshape(len(got), -1).astype(np.float64)
     y = (got["lang"].to_numpy()[:, None] == np.array(languages, object)[None, :]).astype(np.float64)

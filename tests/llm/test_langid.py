@@ -1,3 +1,9 @@
+import math
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
 from sparkloom.llm import langid
 from sparkloom.llm.queries import op8_language_id
 
@@ -21,6 +27,39 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns and not kept.where("text IS NULL OR text = ''").count()
 
 
+def test_repeated_rows_teach_once(spark):
+    text = [f"voici un texte en francais numero {i}" for i in range(300)] + [f"this is an english text number {i}" for i in range(30)]
+    rows = [(7, t, "fr") for t in text[:300]] + [(i, t, "en") for i, t in enumerate(text[300:])] + [(1, "one and the same", "en")] * 300 + [(None, "nobody", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sampled(docs, "text", "lang", "doc_id", 50, 10).collect()
+    assert Counter(r.lang for r in got) == {"fr": 50, "en": 31} and len({(r.lang, r.rank) for r in got}) == 81
+    assert {r.lang for r in langid.sampled(docs, "text", "lang", "doc_id", 50, 1).collect()} == {"en"}
+    model = langid.train(docs, per_language=50, most_landmarks=8)
+    assert model.weights.shape == (langid.WIDTH, 3)
+
+
+def test_outputs_against_the_kernel(spark):
+    """Scores of the query's model, from kernel values of every text with every landmark by sets of n-grams."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("text", F.substring("text", 1, 400))
+    sample = langid.sampled(docs, "text", "lang", "doc_id", 30, 9).collect()
+    model = langid.train(docs, per_language=30, landmarks=5)
+
+    def grams(t):
+        return frozenset(np.flatnonzero(langid.presence([t])[0]).tolist())
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / math.sqrt(max(1, len(x)) * max(1, len(y))) for y in b] for x in a])
+
+    order = sorted(sample, key=lambda r: (r.lang, r.text))
+    marks, all_ = [grams(r.text) for r in order if r["rank"] <= 5], [grams(r.text) for r in sample]
+    knm, kmm = kernel(all_, marks), kernel(marks, marks)
+    y = np.array([[float(r.lang == x) for x in model.languages] for r in sample])
+    a = np.linalg.solve(knm.T @ knm + langid.RIDGE * len(knm) * kmm + 1e-6 * np.eye(len(kmm)), knm.T @ y)
+    texts = [r.text for r in docs.limit(60).collect()]
+    assert np.abs(model.outputs(texts) - kernel([grams(t) for t in texts], marks) @ a).max() < 1e-3
+
+
 def test_kernel_values():
     a, b = langid.presence(["abcd", "abce"])
     grams = lambda s: {s[i : i + n] for n in range(1, 5) for i in range(len(s) - n + 1)}
