@@ -10,7 +10,7 @@ A batch of texts is a 0/1 matrix P over the n-gram places. Its kernel values wit
 landmarks, times the coefficients, are ``(P L') a``; because the product is
 associative, ``L' a`` is worked out once and each batch costs one matrix product.
 
-Training looks at a bounded sample: the ``MOST_LANGUAGES`` languages with the most rows,
+Training looks at a bounded sample: the ``MOST_LANGUAGES`` languages with the most distinct rows (about),
 at most ``PER_LANGUAGE`` documents of each for the regression, and ``LANDMARKS`` of those
 (fewer where there are so many languages that there would be more than ``MOST_LANDMARKS``)
 as landmarks, chosen by a hash of id and text. What the driver and a broadcast hold is
@@ -122,7 +122,7 @@ def sampled(docs: DataFrame, text: str, lang: str, key: str, per_language: int,
     """(text, lang, rank) of the training sample: distinct rows, told apart by hashes of id and text."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("h", F.xxhash64("id", "text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     learned = [r.lang for r in counts]
     if not learned:
         return rows.where("false").select("text", "lang", F.lit(0).alias("rank"))

@@ -64,8 +64,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
         .withColumn("_before", F.coalesce(F.sum(cap * F.col("_mix_words")).over(full.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_rest", F.sum("_w").over(full.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("_level", (F.col("_all") - F.col("_before")) / F.col("_rest"))
+        .withColumn("_place", F.row_number().over(full))
     )
-    level = F.coalesce(F.min(F.when(F.col("_level") <= F.col("_full"), F.struct("_full", "_level"))).over(everything)["_level"], F.max("_full").over(everything))
+    level = F.coalesce(F.min(F.when(F.col("_level") <= F.col("_full"), F.struct("_place", "_level"))).over(everything)["_level"], F.max("_full").over(everything))
     return per.select("_mix_source", "_mix_words", F.least(cap * F.col("_mix_words").cast("double"), level * F.col("_w")).alias("_mix_target"))
 
 
