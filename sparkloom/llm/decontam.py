@@ -5,10 +5,10 @@ each item's own score (that of the item asked for with its own words). Impacts a
 divided by ``share`` times the own score, so that one threshold, 1, serves all items: a
 passage finds an item if it earns that share of what the item itself would.
 
-Items are numbered and dealt to shards of ``SHARD_ITEMS``; the index of a shard is of
-bounded size and is broadcast, one shard after another, so a benchmark of any size will
-do. Within a shard items stand in blocks, and every term has its largest impact in each
-block.
+Items are dealt by a hash to shards of about ``SHARD_ITEMS`` and numbered within them; the
+index of a shard is of bounded size. Shards are broadcast, as many at once as ``ROUND_BYTES``
+allows, so a benchmark of any size will do, and the corpus is read once for each such round.
+Within a shard items stand in blocks, and every term has its largest impact in each block.
 
 A document is cut into passages of ``2 * stride`` words, one for each ``stride`` words,
 where the stride is the length of the longest item of the shard: every run of words as
@@ -19,9 +19,9 @@ skipped, and in the others WAND moves its cursors from pivot to pivot (Ding and
 
 What is found is verified. Every window of the passage of one and a half item lengths that
 has words enough is aligned with the item's question and answer (an item is one text here:
-its last sentence is the answer, or the last third of its words where there is just one
-sentence), and both must have ``overlap`` of their words there, in order; the overlaps of the
-best window are reported, that in which the smaller one is largest.
+the answer is its last sentence, with those before it until there are ``LEAST_ANSWER`` words,
+or the last third of the words where that leaves no question), and both must have ``overlap`` of their words there, in order; the overlaps of the
+best window are reported, that in which the smaller one is largest, the first of equal ones.
 
 Defined cases: null or empty texts on either side match nothing; items without an id are
 left out; items with equal ids are found under that id; repeated document rows are reported once;
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -45,6 +46,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import cut, small
 
 SHARD_ITEMS = 1024
+#: Bytes (about) of the shards that are broadcast at once.
+ROUND_BYTES = 64 << 20
 BLOCKS = 32
 K1 = 1.2
 B = 0.75
@@ -52,8 +55,12 @@ B = 0.75
 SHARE = 0.6
 #: Share of the words of question and of answer that must stand in the passage in order.
 OVERLAP = 0.8
-#: Words of documents that are worked on at once.
+#: Words that an answer has at least.
+LEAST_ANSWER = 5
+#: Words of documents that are worked on at once; a longer document is worked on in parts that overlap by a passage.
 CHUNK_WORDS = 100_000
+#: Characters from which the words of a text aren't listed but counted off.
+LONG_TEXT = 1 << 20
 
 _WORDS = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -66,9 +73,12 @@ def words_of(text: str) -> list[str]:
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """The words of an item's question and of its answer."""
     parts = [w for w in map(words_of, _SENTENCE.split(text)) if w]
-    if len(parts) > 1:
-        return [w for p in parts[:-1] for w in p], parts[-1]
-    all_words = parts[0] if parts else []
+    all_words = [w for p in parts for w in p]
+    at = len(all_words)
+    for part in reversed(parts[1:]):
+        at -= len(part)
+        if len(all_words) - at >= LEAST_ANSWER:
+            return all_words[:at], all_words[at:]
     at = len(all_words) - len(all_words) // 3
     return all_words[:at], all_words[at:]
 
@@ -90,6 +100,22 @@ class Shard:
     maxima: np.ndarray
     stride: int
 
+    @property
+    def bytes(self) -> int:
+        """About what the index takes."""
+        return self.maxima.nbytes + 72 * len(self.items) + 120 * len(self.terms) + 40 * sum(len(q) + len(a) for q, a in zip(self.questions, self.answers, strict=True))
+
+    def parts(self, text: str) -> list[np.ndarray]:
+        """A text's words as term numbers (-1: not in the index), in parts of bounded length that no passage is cut by."""
+        low, number = text.lower(), self.terms.get
+        if len(low) < LONG_TEXT:
+            w = _WORDS.findall(low)
+            all_ = np.fromiter(map(number, w, repeat(-1)), np.int32, len(w))
+        else:
+            all_ = np.fromiter((number(m.group(), -1) for m in _WORDS.finditer(low)), np.int32)
+        step = max(1, CHUNK_WORDS // self.stride) * self.stride
+        return [all_[at : at + step + self.stride] for at in range(0, max(1, len(all_) - self.stride), step)]
+
     def wand(self, terms: list[int], blocks: list[int]) -> list[tuple[int, float]]:
         """(item, score) of every item with a score of 1 or more for a set of terms, looking only into the given blocks."""
         found = []
@@ -205,28 +231,29 @@ def in_order(needed: list[int], there: list[int]) -> float:
 def build(items: DataFrame, *, share: float = SHARE, text: str = "text", key: str = "item_id", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The index as rows: shard, term, item numbers and impacts of its postings, and the items' own rows."""
     rows = items.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
-    # Items are numbered over (id, hash); the window sees those two numbers alone, not the texts.
-    rows = cut(rows.withColumn("h", F.xxhash64("text")))
-    number = rows.select("id", "h").withColumn("no", F.row_number().over(W.orderBy("id", "h")) - 1)
-    rows = rows.join(number, ["id", "h"]).select("no", "id", "text")
+    rows = cut(rows.withColumn("h", F.xxhash64("id", "text")))
+    shards = max(1, -(-rows.count() // shard_items))
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    # The window sees numbers alone, not the texts.
+    number = rows.select("shard", "id", "h").withColumn("no", F.row_number().over(W.partitionBy("shard").orderBy("id", "h")) - 1)
+    rows = rows.join(number.drop("shard"), ["id", "h"]).select("shard", "no", "id", "text")
 
     def spelled(batches):
         for pdf in batches:
-            out = [(no, id_, t, len(w := words_of(body)), w.count(t)) for no, id_, body in pdf.itertuples(index=False) for t in dict.fromkeys(words_of(body))]
-            yield pd.DataFrame(out, columns=["no", "id", "term", "words", "tf"])
+            out = [(shard, no, t, len(w), n) for shard, no, _, body in pdf.itertuples(index=False) if (w := words_of(body)) for t, n in Counter(w).items()]
+            yield pd.DataFrame(out, columns=["shard", "no", "term", "words", "tf"])
 
-    terms = cut(rows.mapInPandas(spelled, "no int, id long, term string, words int, tf int"))
-    n, mean = terms.select("no", "words").distinct().agg(F.count(F.lit(1)), F.avg("words")).first()
+    terms = cut(rows.mapInPandas(spelled, "shard int, no int, term string, words int, tf int"))
+    n, mean = terms.select("shard", "no", "words").distinct().agg(F.count(F.lit(1)), F.avg("words")).first()
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(mean or 1.0)))
     weighed = terms.join(df, "term").withColumn("impact", weight)
-    own = weighed.groupBy("no").agg(F.sum("impact").alias("own"))
-    weighed = weighed.join(own, "no").select((F.col("no") / shard_items).cast("int").alias("shard"), "no", "term", (F.col("impact") / (share * F.col("own"))).alias("impact"))
+    own = weighed.groupBy("shard", "no").agg(F.sum("impact").alias("own"))
+    weighed = weighed.join(own, ["shard", "no"]).select("shard", "no", "term", (F.col("impact") / (share * F.col("own"))).alias("impact"))
     postings = weighed.groupBy("shard", "term").agg(F.array_sort(F.collect_list(F.struct("no", "impact"))).alias("p"))
-    listed = rows.select((F.col("no") / shard_items).cast("int").alias("shard"), "no", "id", "text")
     return postings.select("shard", "term", F.col("p.no").alias("items"), F.col("p.impact").alias("impacts"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text")).unionByName(
-        listed.select("shard", F.lit(None).cast("string").alias("term"), F.array("no").alias("items"), F.lit(None).cast("array<double>").alias("impacts"), "id", "text")
+        rows.select("shard", F.lit(None).cast("string").alias("term"), F.array("no").alias("items"), F.lit(None).cast("array<double>").alias("impacts"), "id", "text")
     )
 
 
@@ -238,10 +265,10 @@ def shard_of(rows: pd.DataFrame) -> Shard | None:
     texts = rows[rows["term"].isna()].copy()
     texts["no"] = [x[0] for x in texts["items"]]
     texts = texts.sort_values("no")
-    base, n = int(texts["no"].iloc[0]), len(texts)
+    n = len(texts)
     terms = {t: i for i, t in enumerate(lists["term"])}
     parts = [question_and_answer(t) for t in texts["text"]]
-    items = np.concatenate(lists["items"].to_numpy()).astype(np.int64) - base
+    items = np.concatenate(lists["items"].to_numpy()).astype(np.int64)
     impacts = np.concatenate(lists["impacts"].to_numpy()) * (1 + 1e-9)  # sums in another order still reach the threshold
     lengths = np.array([len(x) for x in lists["items"]])
     width = -(-n // BLOCKS)
@@ -256,40 +283,50 @@ def shard_of(rows: pd.DataFrame) -> Shard | None:
 _REPORT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
+def rounds(index: DataFrame) -> Iterator[list[Shard]]:
+    """The shards, as many at once as may be broadcast together."""
+    last, now = index.agg(F.max("shard")).first()[0], []
+    for no in range(0 if last is None else last + 1):
+        shard = shard_of(index.where(F.col("shard") == no).toPandas())  # about ``shard_items`` items
+        if shard is not None:
+            if now and sum(s.bytes for s in now) + shard.bytes > ROUND_BYTES:
+                yield now
+                now = []
+            now.append(shard)
+    if now:
+        yield now
+
+
 def report(docs: DataFrame, items: DataFrame, *, share: float = SHARE, overlap: float = OVERLAP, text: str = "text", key: str = "doc_id", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every test item found in a document; score is the share of the item's own."""
     spark = docs.sparkSession
     index = cut(build(items, share=share, shard_items=shard_items))
-    last = index.agg(F.max("shard")).first()[0]
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     out = spark.createDataFrame([], _REPORT)
-    for no in range(0 if last is None else last + 1):
-        shard = shard_of(index.where(F.col("shard") == no).toPandas())  # at most ``shard_items`` items
-        if shard is None:
-            continue
-        shared = spark.sparkContext.broadcast(shard)
+    for shards in rounds(index):
+        shared = spark.sparkContext.broadcast(shards)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            s = shared.value
-            number = s.terms.get
             for pdf in batches:
-                ids, held, total, rows = [], [], 0, []
-
-                def flush() -> None:
-                    for d, item, score, passage in s.found_in(held):
-                        q, a = s.verified(item, passage, overlap)
-                        if q >= overlap and a >= overlap:
-                            rows.append((ids[d], s.ids[item], score * share, q, a))
-
-                for id_, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    w = words_of(t)
-                    ids.append(None if pd.isna(id_) else int(id_))
-                    held.append(np.fromiter(map(number, w, repeat(-1)), np.int64, len(w)))
-                    total += len(w)
-                    if total >= CHUNK_WORDS:
-                        flush()
-                        ids, held, total = [], [], 0
-                flush()
+                rows = []
+                for s in shared.value:
+                    ids, held, total = [], [], 0
+
+                    def flush(s=s) -> None:
+                        for d, item, score, passage in s.found_in(held):  # noqa: B023
+                            q, a = s.verified(item, passage, overlap)
+                            if q >= overlap and a >= overlap:
+                                rows.append((ids[d], s.ids[item], score * share, q, a))  # noqa: B023
+
+                    for id_, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                        for part in s.parts(t):
+                            ids.append(None if pd.isna(id_) else int(id_))
+                            held.append(part)
+                            total += len(part)
+                            if total >= CHUNK_WORDS:
+                                flush()
+                                ids, held, total = [], [], 0
+                    flush()
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64"})
 
         out = out.unionByName(body.mapInPandas(search, _REPORT))

@@ -60,6 +60,31 @@ def test_all_above_the_threshold_are_retrieved(spark, sf_dir):
     assert got == sorted(want) and len(want) > 20
 
 
+def test_items_in_a_long_document(spark, monkeypatch):
+    """An item at every place of a document that is worked on in parts; passages of parts are those of the whole."""
+    monkeypatch.setattr(decontam, "CHUNK_WORDS", 100)
+    monkeypatch.setattr(decontam, "LONG_TEXT", 1000)
+    index = decontam.build(spark.createDataFrame(ITEMS[:2], "item_id long, text string")).toPandas()
+    s = decontam.shard_of(index)
+    for words in (0, 1, s.stride, s.stride + 1, 2 * s.stride, 99, 100, 101, 117, 118, 119, 333):
+        text = " ".join(["the"] * words)
+        parts = s.parts(text)
+        step = 100 // s.stride * s.stride
+        assert all(len(p) <= step + s.stride for p in parts) and max(i * step + len(p) for i, p in enumerate(parts)) == words
+    for at in range(0, 260, 7):
+        words = ["filler"] * at + decontam.words_of(ITEMS[0][1]) + ["filler"] * (300 - at)
+        found = [(item, s.verified(item, p)) for _, item, _, p in s.found_in(s.parts(" ".join(words)))]
+        assert any(s.ids[item] == 1 and min(v) == 1 for item, v in found), at
+
+
+def test_short_answers():
+    q, a = decontam.question_and_answer("Which of these rivers is the longest one? It is a river in the east. Amber.")
+    assert a == ["it", "is", "a", "river", "in", "the", "east", "amber"] and q[-1] == "one"
+    q, a = decontam.question_and_answer("One two three. Four.")
+    assert (q, a) == (["one", "two", "three"], ["four"])
+    assert decontam.question_and_answer("") == ([], [])
+
+
 def test_in_order():
     assert decontam.in_order([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 0.75
     assert decontam.in_order([], [1]) == 1.0
