@@ -23,6 +23,8 @@ Empty tables give empty results; extra columns don't matter.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,8 +35,10 @@ from sparkloom.llm.linking import alike, bucket_of, buckets, least_share, link,
 
 PLACES = 160
 BAND = 5
-#: Shingles that are worked on at once.
+#: Shingles that are worked on at once, and bytes of a text that are split at once.
 CHUNK = 60_000
+BLOCK_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,16 +49,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.empty(0, np.uint64)
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, in order; a long text is split block by block."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + BLOCK_BYTES
+        end = m.start() if end < len(text) and (m := _SPACE.search(text, end)) else len(text)
+        if words := text[at:end].split():
+            out.append(pd.util.hash_array(np.array(words, dtype=object), categorize=False))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of a text's k-word shingles; with fewer words, of all its words as one."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())  # bytes: ASCII letters and white space only
+    if not len(h):
+        return h
     width = min(k, len(h))
     acc = h[: len(h) - width + 1].copy()
     for i in range(1, width):
@@ -65,32 +76,39 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     """One row of ``places`` 32-bit values for each set; those of an empty set are all ones."""
     out = np.full((len(sets), places), 0xFFFFFFFF, np.uint32)
-    flat, at = out.reshape(-1), 0
+    at = 0
     while at < len(sets):
         upto, total = at, 0
         while upto < len(sets) and (upto == at or total + len(sets[upto]) <= CHUNK):
             total += len(sets[upto])
             upto += 1
-        h = np.concatenate(sets[at:upto])
         doc = np.repeat(np.arange(at, upto), [len(s) for s in sets[at:upto]])
-        order = np.tile(np.arange(places, dtype=np.uint8), (len(h), 1))
-        live = np.arange(len(h))
-        for j in range(places):
-            if not len(live):
-                break
-            x = mixed(h[live] + np.uint64((j + 1) * int(_GOLDEN) % 2**64))
-            k = j + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(places - j)) >> np.uint64(32)).astype(np.int64)
-            place = order[live, k].astype(np.int64)
-            order[live, k] = order[live, j]
-            offer = (np.uint32(j) << np.uint32(24)) | (x >> np.uint64(40)).astype(np.uint32)
-            np.minimum.at(flat, doc[live] * places + place, offer)
-            open_ = out[at:upto].max(axis=1) >= (np.uint32(j + 1) << np.uint32(24) if j < 255 else 0)
-            if not open_.all():
-                live = live[open_[doc[live] - at]]
+        h = np.concatenate(sets[at:upto])
+        for lo in range(0, len(h), CHUNK):  # more than one for a long document alone
+            _offer(h[lo : lo + CHUNK], doc[lo : lo + CHUNK], out, at, upto)
         at = upto
     return out
 
 
+def _offer(h: np.ndarray, doc: np.ndarray, out: np.ndarray, at: int, upto: int) -> None:
+    """Take the offers of elements ``h`` of documents ``doc``, which are of ``at`` to ``upto``, into the rows of ``out``."""
+    places, flat = out.shape[1], out.reshape(-1)
+    order = np.tile(np.arange(places, dtype=np.uint8), (len(h), 1))
+    live = np.arange(len(h))
+    for j in range(places):
+        if not len(live):
+            break
+        x = mixed(h[live] + np.uint64((j + 1) * int(_GOLDEN) % 2**64))
+        k = j + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(places - j)) >> np.uint64(32)).astype(np.int64)
+        place = order[live, k].astype(np.int64)
+        order[live, k] = order[live, j]
+        offer = (np.uint32(j) << np.uint32(24)) | (x >> np.uint64(40)).astype(np.uint32)
+        np.minimum.at(flat, doc[live] * places + place, offer)
+        open_ = out[at:upto].max(axis=1) >= (np.uint32(j + 1) << np.uint32(24) if j < 255 else 0)
+        if not open_.all():
+            live = live[open_[doc[live] - at]]
+
+
 def node_key(s: np.ndarray) -> bytes:
     """128 bits of a set: two sums over its elements and its size."""
     n = np.uint64(len(s))

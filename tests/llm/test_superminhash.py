@@ -21,6 +21,17 @@ def test_signatures_estimate_jaccard():
     assert abs(np.mean(off)) < 0.012 and np.std(off) < 0.045
 
 
+def test_long_documents(monkeypatch):
+    """Worked on in blocks and slices, a text has the set and the signature that it has at once."""
+    texts = [" ".join(f"w{(i * i) % 997}\n" * (i % 3) + f"é{i % 71}" for i in range(3000)), "a b c", "", " \t\n ", "x" * 5000]
+    sets = [s.shingles(t, 2) for t in texts]
+    sig = s.signatures(sets)
+    monkeypatch.setattr(s, "BLOCK_BYTES", 97)
+    monkeypatch.setattr(s, "CHUNK", 50)
+    again = [s.shingles(t, 2) for t in texts]
+    assert all((a == b).all() for a, b in zip(sets, again, strict=True)) and (s.signatures(again) == sig).all()
+
+
 def by_hand(rows, k, percent=80):
     sets = {}
     for i, (d, t) in enumerate(rows):
