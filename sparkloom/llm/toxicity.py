@@ -7,8 +7,8 @@ weights are learned from document labels alone, by proximal gradient steps on th
 document likelihood, so that the sentences which explain a label are found on the way:
 ``locate`` returns them.
 
-The model is fitted on a bounded sample of the labelled rows, ``PER_LABEL`` documents of
-each label by a hash of the id, weighted back to the true shares; words and beginnings in
+The model is fitted on a bounded sample of the labelled rows, ``PER_LABEL`` documents and
+about ``MOST_WORDS`` words of each label by a hash of the id, weighted back to the true shares; words and beginnings in
 fewer than ``LEAST_DOCS`` documents of the sample are left out. Scoring reads every whole text.
 
 Defined cases: null and empty texts, and those without a word, score 0; labels without
@@ -27,16 +27,19 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut
+from sparkloom.llm.common import cut, word_count
 from sparkloom.llm.langid import sample
 
 PER_LABEL = 3000
 LEAST_DOCS = 4
 BEGINNINGS = (4, 5)
-STEPS = 160
-RATE = 0.1
+#: Words of the sample of a label; what comes after them, by a hash of the id, is left out of the fit.
+MOST_WORDS = 2_000_000
+STEPS = 80
+RATE = 0.2
 #: Words whose weight a worker remembers.
 REMEMBERED = 500_000
 #: Pull of a weight towards 0, as a share of the sample.
@@ -152,14 +155,19 @@ def fit(names: list[str], docs: pd.DataFrame, steps: int = STEPS, rate: float =
     return Model(float(theta[-1]), {w: float(x) for w, x in zip(names, theta[:-1], strict=True) if abs(x) > 1e-3})
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", *, per_label: int = PER_LABEL, least_docs: int = LEAST_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", *, per_label: int = PER_LABEL, least_docs: int = LEAST_DOCS, most_words: int = MOST_WORDS) -> Model:
     """Fit on a bounded sample of the documents that ``labels`` (key, label) marks. What reaches the driver is the sample as feature numbers."""
     marks = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
-    picked = cut(sample(marks, "y", "id", per_label).select(F.col("id").alias("_id"), "y"))
+    picked = cut(sample(marks, "y", "id", per_label).select(F.col("id").alias("_id"), "y", "_rank"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
-    taken = {r["y"]: r["count"] for r in picked.groupBy("y").count().collect()}
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    rows = cut(rows.join(F.broadcast(picked), F.col("id") == F.col("_id")).select("y", "text"))  # ``picked`` has at most per_label rows of each label
+    # ``picked`` has at most per_label rows of each label. Repeated rows teach once.
+    rows = cut(rows.join(F.broadcast(picked), F.col("id") == F.col("_id")).select("id", "y", "_rank", "text").dropDuplicates(["id", "text"]))
+    upto = F.sum("n").over(W.partitionBy("y").orderBy("_rank", "h").rowsBetween(W.unboundedPreceding, -1))
+    sizes = rows.select("id", "y", "_rank", F.xxhash64("text").alias("h"), word_count(F.col("text")).alias("n"))
+    fits = cut(sizes.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < most_words).select(F.col("id").alias("_id"), "h", F.col("y").alias("_y")))
+    taken = {r["_y"]: r["n"] for r in fits.groupBy("_y").agg(F.count_distinct("_id").alias("n")).collect()}
+    rows = rows.join(F.broadcast(fits), (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("h"))).select("y", "text")
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 
 from sparkloom.llm import toxicity
@@ -24,6 +27,22 @@ def test_sentences_are_located(spark):
     assert abs(whole - (1 - np.prod([1 - p for p in parts]))) < 1e-9
 
 
+def test_query_against_its_formula(spark, sf_dir):
+    """Scores of all documents, sentence by sentence from the weights of words and their beginnings; the fit is bounded in words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, least_docs=2)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs.select("doc_id", "text"), model).collect():
+        clear = 1.0
+        for s in re.split(r"[.!?\n]", texts[r.doc_id].lower()):
+            if words := set(re.findall(r"\w+", s)):
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w, *(f"{w[:n]}~" for n in (4, 5) if len(w) > n)])
+                clear *= 1 / (1 + math.exp(z))
+        assert abs(r.score - (1 - clear)) < 1e-9
+    assert toxicity.train(docs, labels, least_docs=2, most_words=200).weights != model.weights
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     for rows in (odd, none):
