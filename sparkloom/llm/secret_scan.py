@@ -36,6 +36,8 @@ MOST_ALTERNATIVES = 64
 #: Members up to which a character class is unfolded.
 MOST_MEMBERS = 5
 _GAP = "\0"
+#: Trigrams of an alternative that share a number.
+BITS = 60
 
 
 @dataclass(frozen=True)
@@ -149,10 +151,14 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     asked = []
     for r in rules:
         for n, s in enumerate(trigram_query(r.pattern) or ()):
-            asked += [F.struct(F.lit(t).alias("asked"), F.lit(r.kind).alias("kind"), F.lit(n).alias("n"), F.lit(1 << i).cast("long").alias("bit"), F.lit((1 << len(s)) - 1).cast("long").alias("all")) for i, t in enumerate(sorted(s))]
+            # Trigrams of an alternative are bits of as many words as they need.
+            words = [sorted(s)[i : i + BITS] for i in range(0, len(s), BITS)]
+            for w, own in enumerate(words):
+                asked += [F.struct(F.lit(t).alias("asked"), F.lit(r.kind).alias("kind"), F.lit(n).alias("n"), F.lit(w).alias("word"), F.lit(len(words)).alias("words"), F.lit(1 << i).cast("long").alias("bit"), F.lit((1 << len(own)) - 1).cast("long").alias("all")) for i, t in enumerate(own)]
     queries = postings.sparkSession.range(1).select(F.inline(F.array(*asked)))
     met = postings.join(F.broadcast(queries), F.col("trigram") == F.col("asked"))  # a row for each trigram of a rule
-    passed = met.groupBy("id", "h", "kind", "n").agg(F.bit_or("bit").alias("met"), F.first("all").alias("all")).where(F.col("met") == F.col("all"))
+    passed = met.groupBy("id", "h", "kind", "n", "word", "words", "all").agg(F.bit_or("bit").alias("met")).where(F.col("met") == F.col("all"))
+    passed = passed.groupBy("id", "h", "kind", "n", "words").agg(F.count(F.lit(1)).alias("whole")).where(F.col("whole") == F.col("words"))
     return passed.groupBy("id", "h").agg(F.collect_set("kind").alias("kinds"))
 
 

@@ -48,3 +48,11 @@ def test_queries():
     assert s.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert s.trigram_query("ab(cd|ef)?") is None
     assert s.trigram_query("abc(d|ef)") == [frozenset({"abc", "bcd"}), frozenset({"abc", "bce", "cef"})]
+
+
+def test_rules_of_any_length(spark):
+    long = "".join(chr(97 + i % 26) + chr(97 + i * i % 26) + str(i) for i in range(60))
+    rules = (s.Rule("long", long), s.Rule("short", "abcd"))
+    assert max(map(len, s.trigram_query(long))) > 2 * s.BITS
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, long[:-1]), (3, "abcd"), (1, f"x {long} y")], "doc_id long, text string")
+    assert {(r.id, r.kind, r.start) for r in s.spans(docs, rules).collect()} == {(1, "long", 2), (3, "short", 0)}
