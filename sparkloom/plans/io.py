@@ -47,10 +47,16 @@ def sink_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables are bucketed by the order's key once; joins on it then need no exchange."""
 
+    made = []
+
     def bucketed(name: str, *columns: str) -> DataFrame:
         path = shared_path(spark, f"{name}_by_order")
-        return files.write_bucketed(table(spark, sf_dir, name).select(*columns), path.rpartition("/")[2].replace("-", "_"), path, columns[:1], 8)
+        made.append(path.rpartition("/")[2].replace("-", "_"))
+        return files.write_bucketed(table(spark, sf_dir, name).select(*columns), made[-1], path, columns[:1], 8)
 
     orders, lines = bucketed("orders", "o_orderkey", "o_orderstatus"), bucketed("lineitem", "l_orderkey")
     rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    for name in made:  # the plan has their files; the catalog keeps no names of one call
+        spark.sql(f"DROP TABLE {name}")
+    return counted

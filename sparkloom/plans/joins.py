@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.asof import asof_join
 from sparkloom.operators.ranges import range_join
+from sparkloom.operators.skew import salted_join
 from sparkloom.plans.registry import query
 from sparkloom.plans.relational import day, net
 from sparkloom.sources.tables import table
@@ -125,17 +126,34 @@ def correlated_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("_mean", mean).where(F.col("l_quantity") < 0.2 * F.col("_mean")).select("l_orderkey", "l_partkey", "l_quantity")
 
 
-@query(
-    "asof_join",
-    """
+_LAST_VIEW = """
     SELECT p.event_id, p.user_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
-    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
-)
-def last_view_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+
+
+def _views_and_purchases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    left = events.where("event_type = 'purchase'").drop("event_type")
-    right = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
-    return asof_join(left, right, "ts", ["user_id"]).select("event_id", "user_id", "view_id")
+    return events.where("event_type = 'purchase'").drop("event_type"), events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+
+
+@query("asof_join", _LAST_VIEW)
+def last_view_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof_join(*_views_and_purchases(spark, sf_dir), "ts", ["user_id"]).select("event_id", "user_id", "view_id")
+
+
+@query("asof_join_split", _LAST_VIEW)
+def last_view_of_busy_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a user may have most events: users are split by day."""
+    return asof_join(*_views_and_purchases(spark, sf_dir), "ts", ["user_id"], cell=F.to_date("ts")).select("event_id", "user_id", "view_id")
+
+
+@query("salted_join", "SELECT r_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def salted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region's key has five values, each with a fifth of all rows: these are dealt over salts."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("r_regionkey"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(nations, "c_nationkey")
+    facts = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customers, "o_custkey").select("r_regionkey", "o_orderkey")
+    return salted_join(facts, table(spark, sf_dir, "region"), "r_regionkey").groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.quantiles import exact_quantiles
+from sparkloom.operators.skew import salted_distinct_count
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
 
@@ -101,12 +103,12 @@ def having(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM orders GROUP BY o_orderpriority""",
 )
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("o_totalprice")
-    return (
-        table(spark, sf_dir, "orders")
-        .groupBy("o_orderpriority")
-        .agg(F.round(F.stddev_samp(p), 4).alias("sd"), F.round(F.var_pop(p), 2).alias("var"), F.round(F.median(p), 4).alias("med"), F.round(F.percentile(p, 0.9), 4).alias("p90"), F.round(F.corr(p, F.col("o_custkey").cast("double")), 8).alias("r"))
-    )
+    """Moments by one aggregate, exact quantiles by two passes: no task holds a priority's orders."""
+    p, by = F.col("o_totalprice"), "o_orderpriority"
+    orders = table(spark, sf_dir, "orders")
+    moments = orders.groupBy(by).agg(F.round(F.stddev_samp(p), 4).alias("sd"), F.round(F.var_pop(p), 2).alias("var"), F.round(F.corr(p, F.col("o_custkey").cast("double")), 8).alias("r"))
+    quantiles = exact_quantiles(orders, by, "o_totalprice", {"med": 0.5, "p90": 0.9})
+    return moments.join(quantiles, by).select(by, "sd", "var", F.round("med", 4).alias("med"), F.round("p90", 4).alias("p90"), "r")
 
 
 @query(
@@ -178,6 +180,12 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot("p_partkey", ["size", "price"], "measure", "value")
 
 
+@query("salted_distinct", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
+def salted_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few keys with many rows each."""
+    return salted_distinct_count(table(spark, sf_dir, "events"), "event_type", "user_id")
+
+
 @query("approximate_distinct")
 def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct parts of each supplier status by HyperLogLog sketches that are merged: the estimate is engine-specific, so its error is tested instead."""

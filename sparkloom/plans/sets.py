@@ -1,4 +1,4 @@
-"""Set operations, sorting, limits, sampling and recursion."""
+"""Set operations, sorting, limits and recursion."""
 
 from __future__ import annotations
 

@@ -1,12 +1,15 @@
 """Joins by time and by range, skewed keys, files and vectors, on small rows."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors
 from sparkloom.operators.asof import asof_join
+from sparkloom.operators.quantiles import exact_quantiles
 from sparkloom.operators.ranges import range_join
 from sparkloom.operators.skew import salted_distinct_count, salted_join
 from sparkloom.sources import files
@@ -25,6 +28,28 @@ def test_asof(spark):
         asof_join(left, right.withColumn("n", F.lit(1)), "t", ["k"])
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_asof_in_cells(spark, size):
+    """Split or not, the same rows: ties, nulls, cells with one side alone, a hot key."""
+    r = random.Random(size)
+    key = lambda: r.choice(["hot"] * 6 + ["a", "b", None])
+    left = spark.createDataFrame([(n, r.choice([None, *range(-20, 60)]), key()) for n in range(200)], "n int, t int, k string")
+    right = spark.createDataFrame([(r.choice([None, *range(-20, 60)]), key(), n) for n in range(80)], "t int, k string, v int")
+    whole, split = (sorted(map(str, asof_join(left, right, "t", ["k"], cell=c).collect())) for c in (None, F.floor(F.col("t") / size)))
+    assert whole == split
+
+
+def test_exact_quantiles(spark):
+    r = random.Random(4)
+    rows = [("a", r.gauss(0, 1)) for _ in range(501)] + [("b", 7.0)] * 40 + [("c", float(r.choice([1, 1, 1, 1, 2, 1e9]))) for _ in range(100)] + [("d", None), (None, 3.0), ("e", -1e308), ("e", 1e308)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for cells in (1, 16, 1024):
+        got = {x.k: (x.p0, x.med, x.p9) for x in exact_quantiles(df, "k", "v", {"p0": 0.0, "med": 0.5, "p9": 0.9}, cells).collect()}
+        assert got.keys() == {"a", "b", "c", None, "e"}
+        for k in ("a", "b", "c", None):
+            assert got[k] == pytest.approx(np.quantile([v for x, v in rows if x == k and v is not None], [0, 0.5, 0.9]))
+
+
 @pytest.mark.parametrize("width", [1, 7, 100])
 def test_range(spark, width):
     spans = spark.createDataFrame([(0, -5, 5), (1, 5, 5), (2, 9, 3), (3, None, 4), (4, 0, 40)], "s int, low long, high long")
