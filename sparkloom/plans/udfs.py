@@ -37,18 +37,18 @@ def aggregate_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "grouped_map",
     """
-    SELECT user_id, ts::DATE AS day, round(list_reduce(list(value ORDER BY ts, event_id), lambda s, x: 0.7 * s + 0.3 * x), 8) AS smoothed
-    FROM events GROUP BY user_id, ts::DATE""",
+    SELECT user_id, date_trunc('week', ts)::DATE AS week, round(list_reduce(list(value ORDER BY ts, event_id), lambda s, x: 0.7 * s + 0.3 * x), 8) AS smoothed
+    FROM events GROUP BY ALL""",
 )
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential smoothing, in which each value needs the one before: a loop over the events of one user's day, a group that doesn't grow with the table."""
+    """Exponential smoothing, in which each value needs the one before: a loop over the events of one user's week, a group that doesn't grow with the table."""
 
     def smooth(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values(["ts", "event_id"])["value"].tolist()
-        return pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "smoothed": [reduce(lambda s, x: 0.7 * s + 0.3 * x, values)]})
+        return pd.DataFrame({"user_id": [key[0]], "week": [key[1]], "smoothed": [reduce(lambda s, x: 0.7 * s + 0.3 * x, values)]})
 
-    rows = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "value")
-    return rows.groupBy("user_id", "day").applyInPandas(smooth, "user_id long, day date, smoothed double").withColumn("smoothed", F.round("smoothed", 8))
+    rows = table(spark, sf_dir, "events").select("user_id", F.date_trunc("week", "ts").cast("date").alias("week"), "ts", "event_id", "value")
+    return rows.groupBy("user_id", "week").applyInPandas(smooth, "user_id long, week date, smoothed double").withColumn("smoothed", F.round("smoothed", 8))
 
 
 @query("table_function", "SELECT r_regionkey, unnest(string_split(r_name, 'A')) AS piece FROM region")
