@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline as P
 from sparkloom.llm.common import shared_path
 
@@ -18,3 +20,23 @@ def test_stages(spark, sf_dir):
     mixed = [r.doc_id for r in seen["mix"].collect()]
     assert sorted(mixed) == sorted(r.doc_id for r in seen["tokens"].collect())
     assert P.run(spark, sf_dir).count() == len(mixed)
+
+
+def test_stages_on_odd_rows(spark, odd, none, sf_dir):
+    """Nulls, empty and long texts, repeated rows, clashing names and an empty table, stage by stage."""
+    for name, stage in P.STAGES:
+        empty, got = stage(spark, none, sf_dir), stage(spark, odd, sf_dir)
+        assert empty.count() == 0, name
+        rows = got.collect()
+        if name == "tokens":
+            assert len(rows) == odd.count() and sum(r.n_tokens == 1 for r in rows) >= 3
+            continue
+        assert got.columns == odd.columns, name
+        left = Counter(map(str, rows)) - Counter(map(str, odd.collect()))
+        assert name == "mix" or not left, name
+        if name == "language":
+            assert not [r for r in rows if not (r.text or "").strip()]
+        if name == "near_duplicates":
+            assert {r.doc_id for r in rows} >= {1, 4, 5, 7, 8, 10} and not [r for r in rows if r.doc_id in (2, 11)]
+        if name == "decontaminate":
+            assert len(rows) == odd.count()
