@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import held, stored, tasks
-from sparkloom.llm.linking import BAND_BITS, BROADCAST_BUCKETS, alike, least_share, link
+from sparkloom.llm.linking import BAND_BITS, alike, least_share, link
 from sparkloom.llm.superminhash import mixed
 
 K = 5
@@ -47,9 +47,8 @@ CHUNK = 1 << 16
 #: Lines whose bands are put together before they are sent, and bands in a part.
 TOGETHER = 1 << 17
 PART = 1 << 20
-#: Nodes, and classes of lines, up to which their keys are broadcast; beyond that both sides are shuffled.
+#: Nodes up to which their keys are broadcast; beyond that both sides are shuffled.
 BROADCAST_NODES = 1_000_000
-BROADCAST_CLASSES = 200_000
 
 _BASE = np.uint64(0x100000001B3)
 #: White space but space and line feed, as ``str.split`` knows it.
@@ -203,27 +202,45 @@ def _met(key: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray)
 
 
 def band_buckets(lines: DataFrame, least: int) -> DataFrame:
-    """The buckets of ``linking.buckets``. Bands are put together by task and sent packed, those of a part in one row: there are 20 of them for each line, and almost all are alone in their bucket."""
+    """What meets in bands, in one pass: (bucket, a, b, pair) with the two nodes of each bucket of two (``pair``), and for
+    larger buckets each node ``b`` with a smaller one, ``a``, of the bucket, or itself.
+
+    Bands are put together by task and sent packed, those of a part in one row: there are 20 of them for each line, and
+    almost all are alone in their bucket. A task sends the smallest and the largest node of a bucket to the bucket's part;
+    those between are known to be of a bucket of three and more and go to parts by node, so that a bucket which holds a
+    third of all lines is in no one's memory.
+    """
     wanted = lines.where(F.col("sig").isNotNull() & (F.col("n") >= least)).select("a", "sig")
     parts = max(tasks(lines.sparkSession), -(-wanted.count() * (PLACES // BAND) // PART))
+    alone, several, between = 0, 1, 2
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, keys, total = [], [], 0
 
+        def part_of(x: np.ndarray) -> np.ndarray:
+            return (mixed(x.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
         def send() -> pa.RecordBatch:
-            key, node = np.concatenate(keys), np.concatenate(nodes)
-            node = np.repeat(node, PLACES // BAND)
-            key, low, high, count = _met(key.ravel(), node, node, np.ones(len(node), np.int32))
-            part = (mixed(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-            order = np.lexsort((count > 1, part))
-            edges = np.flatnonzero(np.diff(part[order].astype(np.int64) * 2 + (count[order] > 1), prepend=-1))
+            every = np.concatenate(keys).ravel()
+            node = np.repeat(np.concatenate(nodes), PLACES // BAND)
+            key, low, high, count = _met(every, node, node, np.ones(len(node), np.int32))
+            large = np.flatnonzero(count > 2)
+            at = np.searchsorted(key[large], every)
+            inside = np.flatnonzero(key[large[np.minimum(at, len(large) - 1)]] == every) if len(large) else np.empty(0, np.int64)
+            own = large[at[inside]]
+            inside, own = (x[(node[inside] != low[own]) & (node[inside] != high[own])] for x in (inside, own))
+            kind = np.concatenate([np.where(count > 1, several, alone), np.full(len(own), between)])
+            part = np.concatenate([part_of(key), part_of(node[inside])])
+            key, low, high, count = np.concatenate([key, key[own]]), np.concatenate([low, low[own]]), np.concatenate([high, node[inside]]), np.concatenate([count, np.zeros(len(own), np.int32)])
+            order = np.lexsort((kind, part))
+            edges = np.flatnonzero(np.diff(part[order].astype(np.int64) * 3 + kind[order], prepend=-1))
             rows = []
             for at in np.split(order, edges[1:]):
-                several = count[at[0]] > 1
+                which = int(kind[at[0]])
                 k = np.ascontiguousarray(key[at].astype("<i8").view(np.uint8).reshape(-1, 8)[:, : BAND + 1])  # all that isn't zero
-                rows.append((int(part[at[0]]), k.tobytes(), low[at].tobytes(), high[at].tobytes() if several else None, count[at].astype(np.uint8).tobytes() if several else None))
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "keys", "low", "high", "count"])
+                rows.append((int(part[at[0]]), which, k.tobytes(), low[at].tobytes(), None if which == alone else high[at].tobytes(), count[at].astype(np.uint8).tobytes() if which == several else None))
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "kind", "keys", "low", "high", "count"])
 
         for batch in batches:
             if batch.num_rows:
@@ -236,41 +253,32 @@ def band_buckets(lines: DataFrame, least: int) -> DataFrame:
         if total:
             yield send()
 
-    def unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(pdf["keys"]), np.uint8).reshape(-1, BAND + 1)
+    def numbers(column: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(column), np.int64)
+
+    def keys_of(column: pd.Series) -> np.ndarray:
+        raw = np.frombuffer(b"".join(column), np.uint8).reshape(-1, BAND + 1)
         key = np.zeros((len(raw), 8), np.uint8)
         key[:, : BAND + 1] = raw
-        low = np.frombuffer(b"".join(pdf["low"]), np.int64)
-        high = np.frombuffer(b"".join(low_ if high_ is None else high_ for low_, high_ in zip(pdf["low"], pdf["high"], strict=True)), np.int64)
-        count = np.frombuffer(b"".join(b"\1" * (len(low_) // 8) if c is None else c for low_, c in zip(pdf["low"], pdf["count"], strict=True)), np.uint8)
-        key, low, high, count = _met(key.view(np.int64).ravel(), low, high, count)
-        several = count > 1
-        return pd.DataFrame({"bucket": key[several], "first": low[several], "last": high[several], "members": count[several]})
-
-    rows = wanted.mapInArrow(packed, "part int, keys binary, low binary, high binary, count binary")
-    return rows.groupBy("part").applyInPandas(unpacked, "bucket long, first long, last long, members int")
-
-
-def members_of(lines: DataFrame, least: int, large: DataFrame) -> DataFrame:
-    """(bucket, first, node) of each node in the buckets ``large`` (bucket, first)."""
-    wanted = lines.where(F.col("sig").isNotNull() & (F.col("n") >= least)).select("a", "sig")
-    large = stored(large)
-    known = None
-    if large.count() <= BROADCAST_BUCKETS:
-        known = lines.sparkSession.sparkContext.broadcast(np.sort(np.array(large.select("bucket").toPandas()["bucket"], np.int64)))
+        return key.view(np.int64).ravel()
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = band_numbers(_matrix(batch))
-            if known is None:
-                row, band = np.divmod(np.arange(keys.size), keys.shape[1])
-            else:
-                at = np.searchsorted(known.value, keys)
-                row, band = np.nonzero(known.value[np.minimum(at, len(known.value) - 1)] == keys) if len(known.value) else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), pa.array(batch.column("a").to_numpy()[row])], ["bucket", "node"])
-
-    found = wanted.mapInArrow(of, "bucket long, node long")
-    return found.join(large if known is None else F.broadcast(large), "bucket").select("bucket", "first", "node")
+    def unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
+        inner, sent = pdf[pdf["kind"] == between], pdf[pdf["kind"] != between]
+        out = [pd.DataFrame({"bucket": keys_of(inner["keys"]), "a": numbers(inner["low"]), "b": numbers(inner["high"]), "pair": False})]
+        low, high = numbers(sent["low"]), numbers(sent["high"].where(sent["kind"] == several, sent["low"]))
+        count = np.frombuffer(b"".join(b"\1" * (len(x) // 8) if c is None else c for x, c in zip(sent["low"], sent["count"], strict=True)), np.uint8)
+        every = keys_of(sent["keys"])
+        key, first, last, count = _met(every, low, high, count)
+        out.append(pd.DataFrame({"bucket": key[count == 2], "a": first[count == 2], "b": last[count == 2], "pair": True}))
+        key, first = key[count > 2], first[count > 2]
+        at = np.searchsorted(key, every)
+        inside = np.flatnonzero(key[np.minimum(at, len(key) - 1)] == every) if len(key) else np.empty(0, np.int64)
+        at = np.concatenate([at[inside]] * 2)
+        out.append(pd.DataFrame({"bucket": key[at], "a": first[at], "b": np.concatenate([low[inside], high[inside]]), "pair": False}).drop_duplicates())
+        return pd.concat(out, ignore_index=True)
+
+    rows = wanted.mapInArrow(packed, "part int, kind int, keys binary, low binary, high binary, count binary")
+    return rows.groupBy("part").applyInPandas(unpacked, "bucket long, a long, b long, pair boolean")
 
 
 def _close(pairs: DataFrame, percent: int) -> DataFrame:
@@ -329,24 +337,24 @@ def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text
     def signed(nodes: DataFrame) -> DataFrame:
         return of_nodes(nodes, "n", "sig", "text").withColumnRenamed("text", "payload")
 
-    roots = link(band_buckets(lines, least), lambda large: members_of(lines, least, large), verify, signed, lambda line: line_set(line, k), percent=percent, band=BAND, kind=np.uint8)
+    met = stored(band_buckets(lines, least))
+    roots = link(met.where("pair").select("a", "b"), met.where("NOT pair").select("bucket", F.col("a").alias("first"), F.col("b").alias("node")), verify, signed, lambda line: line_set(line, k), percent=percent, band=BAND, kind=np.uint8)
     # Of lines that share the first half of their keys only the node's own is linked.
-    copies = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "line")
+    copies = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"))
     of_class = copies.join(roots, F.col("a") == F.col("node"), "left").where("root IS NOT NULL OR copies > 1")
     own = F.col("b") == F.min("b").over(W.partitionBy("a"))
-    of_class = of_class.select("a", "b", F.coalesce("root", "a").alias("root"), F.when(F.col("root").isNull() | ~own, F.col("b")).alias("other"))
-    of_class = held(stored(of_class), BROADCAST_CLASSES).withColumnsRenamed({"a": "ca", "b": "cb"})
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "line")
-    met = lines.select("id", "h", "line", "a", "b").join(of_class, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
-    first = met.groupBy("root", "other").agg(F.min(place).alias("first"))
-    found = of_class.join(first.select(F.col("root").alias("r"), F.col("other").alias("o"), "first"), (F.col("root") == F.col("r")) & F.col("other").eqNullSafe(F.col("o")))
-    return lines.select("id", "h", "line", "of", "a", "b"), stored(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "first"))
+    of_class = stored(of_class.select("a", "b", F.coalesce("root", "a").alias("root"), F.when(F.col("root").isNull() | ~own, F.col("b")).alias("other"), "first"))
+    first = of_class.groupBy(F.col("root").alias("r"), F.col("other").alias("o")).agg(F.min("first").alias("first"))
+    found = of_class.drop("first").join(first, (F.col("root") == F.col("r")) & F.col("other").eqNullSafe(F.col("o")))
+    return lines.select("id", "h", "line", "of", "a", "b"), stored(found.select("a", "b", "first"))
 
 
 def dropped(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """All lines that aren't blank, as from ``classes``, and (id, h, drop): the sorted numbers of the lines that go, of each text that loses some."""
     lines, found = classes(docs, k=k, percent=percent, text=text, key=key)
-    found = held(found.withColumnsRenamed({"a": "ca", "b": "cb"}), BROADCAST_CLASSES)
+    # The classes grow with the lines: both are shuffled, at every size.
+    found = found.withColumnsRenamed({"a": "ca", "b": "cb"}).hint("shuffle_merge")
     met = lines.join(found, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("line") == F.col("first.line"))
     return lines, met.where(~stays).groupBy("id", "h").agg(F.array_sort(F.collect_set("line")).alias("drop"))

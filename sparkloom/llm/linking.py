@@ -3,9 +3,9 @@
 A node is a distinct set of shingles. Nodes that agree in a band meet in a bucket. A
 bucket may hold a third of all nodes, so its pairs are never made into rows. Instead:
 
-1. every member is paired with the bucket's smallest member (a bucket of two is its
-   smallest and its largest, which one aggregate gives), and the pairs that a verifier
-   confirms are joined into components;
+1. every member is paired with a smaller one, as a rule the bucket's smallest (a bucket
+   of two is its smallest and its largest, which one aggregate gives), and the pairs that a
+   verifier confirms are joined into components;
 2. where a bucket still holds several components, the members outside its largest one
    are compared with all members, block by block: a task holds one block of either side,
    skips what is already in one component, compares signatures, makes the sets of what is
@@ -65,10 +65,12 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def buckets(bands: DataFrame) -> DataFrame:
-    """(bucket, first, last, members) of the buckets of (bucket, node) rows that hold two nodes and more; members may count repeats."""
+def buckets(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` and ``shared`` for ``link`` from all (bucket, node) rows."""
     met = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).cast("int").alias("members"))
-    return met.where(F.col("first") != F.col("last"))
+    met = stored(met.where(F.col("first") != F.col("last")))
+    large = held(stored(met.where("members > 2").select("bucket", "first")), BROADCAST_BUCKETS)
+    return met.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b")), stored(bands.join(large, "bucket").select("bucket", "first", "node"))
 
 
 def starts(rows: pd.DataFrame) -> np.ndarray:
@@ -137,22 +139,20 @@ def links_in(rows: pd.DataFrame, percent: int, band: int, kind: type, unpack: Ca
     return found
 
 
-def link(met: DataFrame, members: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], signed: Callable[[DataFrame], DataFrame], unpack: Callable, *, percent: int, band: int, kind: type) -> DataFrame:
+def link(pairs: DataFrame, shared: DataFrame, verify: Callable[[DataFrame], DataFrame], signed: Callable[[DataFrame], DataFrame], unpack: Callable, *, percent: int, band: int, kind: type) -> DataFrame:
     """(node, root) for each node linked with another.
 
-    ``met`` has the buckets (``buckets``), numbered as by ``bucket_of``, from bands of ``band`` signature places of type
-    ``kind``; ``members`` gets (bucket, first) rows and returns them with each of their nodes, (bucket, first, node);
-    ``verify`` gets distinct (a, b) pairs with a < b and returns those that are links; ``signed`` gets nodes and returns
+    Buckets come from bands of ``band`` signature places of type ``kind`` and are numbered as by ``bucket_of``. ``pairs``
+    has the two nodes (a, b) of each bucket of two, ``shared`` every node of the larger ones with another of the same
+    bucket that it is compared with first, (bucket, first, node), first <= node; both are stored tables. ``verify`` gets
+    distinct (a, b) pairs with a < b and returns those that are links; ``signed`` gets nodes and returns
     (node, n, sig, payload) of each, n the size of its set; ``unpack`` makes the sorted set of a payload, in the task.
     """
-    met = stored(met)
-    shared = stored(members(met.where("members > 2").select("bucket", "first")).distinct())
-    pairs = met.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
     stars = pairs.union(shared.where(F.col("node") != F.col("first")).select("first", "node")).distinct()
     roots = components(stored(verify(stars)))
 
     # A node without a link is a component of its own.
-    at = stored(_rooted(shared.select("bucket", "node"), roots))
+    at = stored(_rooted(shared.select("bucket", "node").distinct(), roots))
     counts = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     several = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
@@ -192,10 +192,5 @@ def link(met: DataFrame, members: Callable[[DataFrame], DataFrame], verify: Call
     return stored(final.select("node", F.coalesce("top", "root").alias("root")))
 
 
-def of_large(bands: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """``members`` for ``link`` from all (bucket, node) rows."""
-    return lambda large: bands.join(held(stored(large), BROADCAST_BUCKETS), "bucket").select("bucket", "first", "node")
-
-
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, small, stored
-from sparkloom.llm.linking import alike, bucket_of, buckets, least_share, link, of_large, signature_rows
+from sparkloom.llm.linking import alike, bucket_of, buckets, least_share, link, signature_rows
 
 PLACES = 160
 BAND = 5
@@ -203,7 +203,7 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text"
         few = nodes.join(wanted, "node", "left_semi")
         return sets_of(docs, few, k, text, key).withColumnRenamed("elements", "payload").join(few.select("node", F.col("n").cast("int"), "sig"), "node")
 
-    roots = link(buckets(wide), of_large(wide), verify, with_sets, unpack, percent=percent, band=BAND, kind=np.uint16)
+    roots = link(*buckets(wide), verify, with_sets, unpack, percent=percent, band=BAND, kind=np.uint16)
     grouped = nodes.select("node", "doc_id", "members").join(roots, "node", "left")
     grouped = grouped.where("members > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     ids = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -1,4 +1,6 @@
-from collections import Counter
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from sparkloom.llm import fuzzy_lines as f
 
@@ -59,3 +61,34 @@ def test_odd_rows(odd, none):
     assert kept[1, 1, 1] == 1 and kept[2, 1, 0] == 2 and kept[None, 1, 0] == 1 and kept[4, 0, 0] == 1
     assert f.deduplicated(odd).columns == [*odd.columns, "lines_dropped"]
     assert f.report(none).count() == 0 and f.deduplicated(none).count() == 0
+
+
+def test_band_buckets(spark):
+    """Buckets over several tasks against grouping: one of a third of all lines, repeated lines, buckets of two and of one."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for node in rng.integers(-(1 << 62), 1 << 62, 600).tolist():
+        sig = rng.integers(0, 256, f.PLACES, dtype=np.uint8)
+        if rng.random() < 0.35:
+            sig[: f.BAND] = 7
+        sig[f.BAND : 2 * f.BAND] = rng.integers(0, 250)
+        rows += [(node, sig.tobytes(), 40)] * int(rng.integers(1, 4))
+    rows += [(1, rows[0][1], 2), (2, None, 40)]
+    lines = spark.createDataFrame(rows, "a long, sig binary, n int").repartition(7)
+    met = defaultdict(set)
+    for node, sig, n in rows:
+        if sig and n >= 4:
+            for b in f.band_numbers(np.frombuffer(sig, np.uint8).reshape(1, -1))[0].tolist():
+                met[b].add(node)
+    got = f.band_buckets(lines, 4).collect()
+    assert sorted((r.bucket, r.a, r.b) for r in got if r.pair) == sorted((b, *sorted(m)) for b, m in met.items() if len(m) == 2)
+    found = defaultdict(set)
+    for r in got:
+        if not r.pair:
+            assert r.a <= r.b and r.a in met[r.bucket]
+            found[r.bucket].add(r.b)
+    assert found == {b: m for b, m in met.items() if len(m) > 2}
+    assert max(map(len, found.values())) > 150
+    # Each node but the smallest hangs on a smaller one, and so all of a bucket on its smallest.
+    hung = {(r.bucket, r.b) for r in got if not r.pair and r.a < r.b}
+    assert all((b, n) in hung for b, m in found.items() for n in m if n != min(m))
