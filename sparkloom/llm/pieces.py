@@ -10,7 +10,8 @@ and the texts are put together by position. A text
 with any other white space (doubled, leading or trailing, or next to other white space), or
 with the string of an added token, is encoded as it is.
 
-What a worker remembers is bounded in number and by the length of a piece.
+What a worker remembers is bounded in number and by the length of a piece; beyond the bound
+it keeps what the texts at hand have met again.
 """
 
 from __future__ import annotations
@@ -87,26 +88,27 @@ class Encoder:
             ids = self.ends[closing] = self._whole([closing])[0].tobytes()
         return ids
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces, but for those with white space that the rule doesn't cover. A closed word is put together from the word and its closing."""
-        line_break, found = np.uint32(self.line_break).tobytes(), {}
-        split = []
+    def _learn(self, new: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """The ids of pieces, but for those with white space that the rule doesn't cover: of words, to be remembered, and of closed words, put together from the word and its closing."""
+        words, closed = [], []
         for piece in new:
+            if piece.isalpha():
+                words.append(piece)
+                continue
             body = piece[1:] if piece[:1] == "\n" else piece
             if not body or body[0].isspace() or body[-1].isspace():
                 continue
-            word = piece.rstrip(_CLOSING) if body[-1] in _CLOSING else piece
-            split.append((piece, word if word != piece and word.lstrip("\n").isalpha() else piece))
-        plain = [w for w in dict.fromkeys(w for _, w in split) if w not in self.known]
-        after, heads = [w for w in plain if w[0] != "\n"], [w for w in plain if w[0] == "\n"]
+            if body[-1] in _CLOSING and (word := piece.rstrip(_CLOSING)).lstrip("\n").isalpha():
+                closed.append((piece, word))
+            else:
+                words.append(piece)
+        known = self.known
+        words = list(dict.fromkeys([*words, *[w for _, w in closed if w not in known]]))
+        after, heads = [w for w in words if w[0] != "\n"], [w for w in words if w[0] == "\n"]
         ids = dict(zip(after, self._each(after, " "), strict=True))
+        line_break = np.uint32(self.line_break).tobytes()
         ids |= {w: line_break + i for w, i in zip(heads, self._each([w[1:] for w in heads], ""), strict=True)}
-        for piece, word in split:
-            own = self.known.get(word)
-            if own is None:
-                own = ids[word]
-            found[piece] = own if word == piece else own + self._end(piece[len(word) :])
-        return found
+        return ids, {p: (ids[w] if w in ids else known[w]) + self._end(p[len(w) :]) for p, w in closed}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, in order."""
@@ -122,15 +124,16 @@ class Encoder:
         return out
 
     def _together(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         # Each text begins with a line break, whose id is left out again.
         pieces = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         edges, coded = pieces.offsets.to_numpy(), pieces.flatten().dictionary_encode()
         which, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.known.get, distinct))
-        new = self._learn([p for p, i in zip(distinct, ids, strict=True) if i is None])
-        ids = [new.get(p) if i is None else i for p, i in zip(distinct, ids, strict=True)]
+        if len(self.known) > REMEMBERED:
+            self.known = {p: i for p, i in zip(distinct, ids, strict=True) if i is not None}
+        new, closed = self._learn([p for p, i in zip(distinct, ids, strict=True) if i is None])
+        closed |= new
+        ids = [closed.get(p) if i is None else i for p, i in zip(distinct, ids, strict=True)]
         self.known.update((p, i) for p, i in new.items() if len(p) <= LONGEST)
 
         odd = np.array([i is None for i in ids])
