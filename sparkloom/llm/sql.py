@@ -106,3 +106,33 @@ FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 
 
 SQL["op5_secrets"] = _secret_sql()
+
+SQL["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS no
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT FOR _ IN range(8)]), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+p AS (
+  SELECT c.conv_id, 0 AS part, t.no, {'role': t.role, 'text': t.text} AS turn FROM c JOIN t ON t.conv_id = c.base AND t.no <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.no, {'role': t.role, 'text': t.text} FROM c JOIN t ON t.conv_id = c.conv_id AND t.no > c.h),
+r AS (
+  SELECT c.conv_id, coalesce(list(p.turn ORDER BY p.part, p.no) FILTER (p.conv_id IS NOT NULL), []) AS turns
+  FROM c LEFT JOIN p ON p.conv_id = c.conv_id GROUP BY c.conv_id),
+m AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r),
+v AS (
+  SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256, max(n) = any_value(depth) AS leaf
+  FROM m GROUP BY depth, turns[1:depth]),
+s AS (
+  SELECT a.depth, u.path[1:a.depth] AS path, sum((u.n_convs - 1) * CASE WHEN u.depth > 0 THEN length(u.path[u.depth].text) ELSE 0 END)::BIGINT AS saved_tokens,
+         sum(u.leaf::BIGINT)::BIGINT AS n_leaves, count(*) FILTER (u.depth = a.depth + 1) AS n_children
+  FROM v u, unnest(range(0, u.depth + 1)) AS a(depth) GROUP BY ALL)
+SELECT v.conv_id, v.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n_convs, s.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.depth = v.depth AND s.path = v.path LEFT JOIN v up ON up.depth = v.depth - 1 AND up.path = v.path[1:v.depth - 1]
+"""
