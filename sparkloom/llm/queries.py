@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, fuzzy_lines, langid, mixing, onebit, pii, prefix_trie, secret_scan, superminhash, tokenfile, toxicity, warc
+from sparkloom.llm import alignment, decontam, fuzzy_lines, langid, mixing, onebit, pii, prefix_trie, secret_scan, superminhash, tokenfile, toxicity, warc
 from sparkloom.llm.common import shared_path, text_batches
 from sparkloom.llm.sql import SQL  # noqa: F401
 from sparkloom.sources.tables import table
@@ -77,6 +77,11 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.groups(documents(spark, sf_dir), k=2, percent=80).drop("h")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align the tokens of two vocabularies over all documents."""
+    return alignment.report(documents(spark, sf_dir))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as whole gzip streams, normalise these, and read the archives back."""
     source, path = shared_path(spark, "warc-streams"), shared_path(spark, "warc")
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_superminhash": op10_superminhash,
+    "op11_token_alignment": op11_token_alignment,
     "op12_warc": op12_warc,
     "op13_prefix_trie": op13_prefix_trie,
 }
