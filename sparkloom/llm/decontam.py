@@ -5,14 +5,14 @@ each item's own score (that of the item asked for with its own words). Impacts a
 divided by ``share`` times the own score, so that one threshold, 1, serves all items: a
 passage finds an item if it earns that share of what the item itself would.
 
-Items are dealt by a hash to shards of about ``SHARD_ITEMS`` and numbered within them; the
-index of a shard is of bounded size. Shards are broadcast, as many at once as ``ROUND_BYTES``
+Items are dealt by a hash to shards of about ``SHARD_ITEMS`` items and ``SHARD_CHARACTERS`` and numbered
+within them; a shard is built in a task and stored. Shards are broadcast, as many at once as ``ROUND_BYTES``
 allows, so a benchmark of any size will do, and the corpus is read once for each such round.
 Within a shard items stand in blocks, and every term has its largest impact in each block.
 
-A document is cut into passages of ``2 * stride`` words, one for each ``stride`` words,
-where the stride is the length of the longest item of the shard: every run of words as
-long as an item lies whole in some passage. The block maxima of a passage's distinct
+A document is cut into passages of ``2.5 * stride`` words, one for each ``stride`` words,
+where the stride is the length of the longest item of the shard (made even): every window of words that
+verification may accept, one and a half item lengths, lies whole in some passage. The block maxima of a passage's distinct
 terms are summed for a batch of passages at once; blocks whose sum stays below 1 are
 skipped, and in the others WAND moves its cursors from pivot to pivot (Ding and Suel,
 2011). All items above the threshold come out, however many.
@@ -30,6 +30,7 @@ an empty table gives an empty report; extra columns don't matter.
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -43,9 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, small
+from sparkloom.columns import fresh
+from sparkloom.llm.common import cut, small, stored
 
 SHARD_ITEMS = 1024
+SHARD_CHARACTERS = 4 << 20
 #: Bytes (about) of the shards that are broadcast at once.
 ROUND_BYTES = 64 << 20
 BLOCKS = 32
@@ -57,7 +60,7 @@ SHARE = 0.6
 OVERLAP = 0.8
 #: Words that an answer has at least.
 LEAST_ANSWER = 5
-#: Words of documents that are worked on at once; a longer document is worked on in parts that overlap by a passage.
+#: Words of documents that are worked on at once; a longer document is worked on in parts that overlap by a window.
 CHUNK_WORDS = 100_000
 #: Characters from which the words of a text aren't listed but counted off.
 LONG_TEXT = 1 << 20
@@ -113,8 +116,8 @@ class Shard:
             all_ = np.fromiter(map(number, w, repeat(-1)), np.int32, len(w))
         else:
             all_ = np.fromiter((number(m.group(), -1) for m in _WORDS.finditer(low)), np.int32)
-        step = max(1, CHUNK_WORDS // self.stride) * self.stride
-        return [all_[at : at + step + self.stride] for at in range(0, max(1, len(all_) - self.stride), step)]
+        step, window = max(1, CHUNK_WORDS // self.stride) * self.stride, 3 * self.stride // 2
+        return [all_[at : at + step + window] for at in range(0, max(1, len(all_) - window), step)]
 
     def wand(self, terms: list[int], blocks: list[int]) -> list[tuple[int, float]]:
         """(item, score) of every item with a score of 1 or more for a set of terms, looking only into the given blocks."""
@@ -158,15 +161,21 @@ class Shard:
     def passages(self, docs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """For documents as term numbers (-1: not in the index): the distinct (passage, term) pairs, and each passage's document and first word."""
         lengths = np.array([len(d) for d in docs])
-        count = np.maximum(1, -(-lengths // self.stride) - 1)
+        # In halves of a stride a passage has five, from each second one on.
+        half = self.stride // 2
+        count = np.maximum(1, -(-(lengths - 3 * half) // self.stride))
         first = np.concatenate([[0], np.cumsum(count)])
         doc = np.repeat(np.arange(len(docs)), lengths)
         place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         term = np.concatenate(docs)
         known = term >= 0
-        doc, step, term = doc[known], place[known] // self.stride, term[known]
-        own, before = step < count[doc], step > 0
-        pairs = np.concatenate([(first[doc] + step)[own] * len(self.terms) + term[own], (first[doc] + step - 1)[before] * len(self.terms) + term[before]])
+        doc, at, term = doc[known], place[known] // half, term[known]
+        pairs = []
+        for back in range(3):
+            step = at // 2 - back
+            inside = (step >= 0) & (step < count[doc]) & (at - 2 * step < 5)
+            pairs.append((first[doc] + step)[inside] * len(self.terms) + term[inside])
+        pairs = np.concatenate(pairs)
         owner = np.repeat(np.arange(len(docs)), count)
         return np.unique(pairs), owner, (np.arange(first[-1]) - first[owner]) * self.stride
 
@@ -185,7 +194,7 @@ class Shard:
         for i in np.flatnonzero(open_.any(axis=1)):
             p = passage[edges[i]]
             for item, score in self.wand(term[edges[i] : ends[i]].tolist(), np.flatnonzero(open_[i]).tolist()):
-                yield owner[p], item, score, docs[owner[p]][begin[p] : begin[p] + 2 * self.stride]
+                yield owner[p], item, score, docs[owner[p]][begin[p] : begin[p] + 5 * self.stride // 2]
 
     def verified(self, item: int, passage: np.ndarray, overlap: float = OVERLAP) -> tuple[float, float]:
         """The shares of question and answer that stand in order in the best window of one and a half item lengths; 0, 0 where no window has the words for it."""
@@ -232,7 +241,8 @@ def build(items: DataFrame, *, share: float = SHARE, text: str = "text", key: st
     """The index as rows: shard, term, item numbers and impacts of its postings, and the items' own rows."""
     rows = items.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
     rows = cut(rows.withColumn("h", F.xxhash64("id", "text")))
-    shards = max(1, -(-rows.count() // shard_items))
+    count, characters = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    shards = max(1, -(-count // shard_items), -(-characters // SHARD_CHARACTERS))
     rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
     # The window sees numbers alone, not the texts.
     number = rows.select("shard", "id", "h").withColumn("no", F.row_number().over(W.partitionBy("shard").orderBy("id", "h")) - 1)
@@ -276,7 +286,7 @@ def shard_of(rows: pd.DataFrame) -> Shard | None:
     np.maximum.at(maxima, (np.repeat(np.arange(len(terms)), lengths), items // width), impacts)
     return Shard(
         terms, [int(x) for x in texts["id"]], [[terms[w] for w in q] for q, _ in parts], [[terms[w] for w in a] for _, a in parts],
-        np.concatenate([[0], np.cumsum(lengths)]), items.tolist(), impacts.tolist(), width, (maxima * (1 + 1e-6)).astype(np.float32), max(16, max(len(q) + len(a) for q, a in parts)),
+        np.concatenate([[0], np.cumsum(lengths)]), items.tolist(), impacts.tolist(), width, (maxima * (1 + 1e-6)).astype(np.float32), 2 * max(8, -(-max(len(q) + len(a) for q, a in parts) // 2)),
     )
 
 
@@ -284,17 +294,27 @@ _REPORT = "doc_id long, item_id long, score double, question_overlap double, ans
 
 
 def rounds(index: DataFrame) -> Iterator[list[Shard]]:
-    """The shards, as many at once as may be broadcast together."""
-    last, now = index.agg(F.max("shard")).first()[0], []
-    for no in range(0 if last is None else last + 1):
-        shard = shard_of(index.where(F.col("shard") == no).toPandas())  # about ``shard_items`` items
-        if shard is not None:
-            if now and sum(s.bytes for s in now) + shard.bytes > ROUND_BYTES:
-                yield now
-                now = []
-            now.append(shard)
+    """The shards, built in tasks and stored, as many at once as may be broadcast together: the driver holds one round."""
+
+    def built(rows: pd.DataFrame) -> pd.DataFrame:
+        shard = shard_of(rows)
+        out = [] if shard is None else [(int(rows["shard"].iloc[0]), shard.bytes, pickle.dumps(shard))]
+        return pd.DataFrame(out, columns=["no", "size", "shard"])
+
+    made = stored(index.groupBy("shard").applyInPandas(built, "no int, size long, shard binary"))
+    now, room = [], 0
+
+    def load() -> list[Shard]:
+        return [pickle.loads(r.shard) for r in made.where(F.col("no").isin(now)).orderBy("no").select("shard").collect()]
+
+    for no, size in made.select("no", "size").orderBy("no").toLocalIterator():
+        if now and room + size > ROUND_BYTES:
+            yield load()
+            now, room = [], 0
+        now.append(no)
+        room += size
     if now:
-        yield now
+        yield load()
 
 
 def report(docs: DataFrame, items: DataFrame, *, share: float = SHARE, overlap: float = OVERLAP, text: str = "text", key: str = "doc_id", shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -336,7 +356,8 @@ def report(docs: DataFrame, items: DataFrame, *, share: float = SHARE, overlap:
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents in which no test item was found. They are matched by a hash of the text, so rows without an id and repeated ids will do."""
-    named = docs.withColumn("_dc_key", F.xxhash64(F.col(text)))
-    bad = report(named.select("_dc_key", F.col(text)), items, text=text, key="_dc_key", **options)
-    bad = small(bad.select(F.col("doc_id").alias("_dc_bad")).distinct())
-    return named.join(bad, F.col("_dc_key") == F.col("_dc_bad"), "left_anti").drop("_dc_key")
+    (found,) = fresh(docs.columns, "_found")
+    rows = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("body"))
+    bad = report(rows, items, text="body", key="h", **options)
+    bad = small(bad.select(F.col("doc_id").alias(found)).distinct())
+    return docs.join(bad, F.xxhash64(F.col(text)) == F.col(found), "left_anti")

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.columns import fresh
 from sparkloom.llm.common import held, stored, tasks
 from sparkloom.llm.linking import BAND_BITS, alike, least_share, link
 from sparkloom.llm.superminhash import mixed
@@ -363,13 +364,13 @@ def dropped(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text
 def deduplicated(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, and ``lines_dropped``, how many; a column of that name is replaced."""
     _, go = dropped(docs, k=k, percent=percent, text=text, key=key)
-    go = go.withColumnsRenamed({"id": "_fl_id", "h": "_fl_h", "drop": "_fl_drop"})
-    rows = docs.withColumn("_fl_key", F.xxhash64(F.col(text)))
-    rows = rows.join(go, F.col(key).cast("long").eqNullSafe(F.col("_fl_id")) & (F.col("_fl_key") == F.col("_fl_h")), "left")
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("_fl_drop", i))
-    rest = F.when(F.col("_fl_drop").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
+    id_, h, drop = fresh(docs.columns, "_id", "_h", "_drop")
+    go = go.withColumnsRenamed({"id": id_, "h": h, "drop": drop})
+    rows = docs.join(go, F.col(key).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text)) == F.col(h)), "left")
+    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(drop, i))
+    rest = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
     own = [rest.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "lines_dropped"]
-    return rows.select(*own, F.coalesce(F.size("_fl_drop"), F.lit(0)).alias("lines_dropped"))
+    return rows.select(*own, F.coalesce(F.size(drop), F.lit(0)).alias("lines_dropped"))
 
 
 def report(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

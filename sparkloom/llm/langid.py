@@ -10,11 +10,13 @@ A batch of texts is a 0/1 matrix P over the n-gram places. Its kernel values wit
 landmarks, times the coefficients, are ``(P L') a``; because the product is
 associative, ``L' a`` is worked out once and each batch costs one matrix product.
 
-Training looks at a bounded sample: the ``MOST_LANGUAGES`` languages with the most distinct rows (about),
-at most ``PER_LANGUAGE`` documents of each for the regression, and ``LANDMARKS`` of those
-(fewer where there are so many languages that there would be more than ``MOST_LANDMARKS``)
-as landmarks, chosen by a hash of id and text. What the driver and a broadcast hold is
-bounded by these numbers. Scoring reads every whole text.
+Training looks at a bounded sample: at most ``PER_LANGUAGE`` documents of each language for the
+regression, and ``LANDMARKS`` of those (fewer where there are so many languages that there would be
+more than ``MOST_LANDMARKS``) as landmarks, chosen by a hash of id and text. All languages are learned:
+the Gram matrix is one for all, its parts and each language's sums are added up in tasks, and
+with more than ``FOLDED`` languages landmarks and coefficients stay apart, ``(P L') a`` in two
+products, so that a language costs one number for each landmark. More than ``MOST_LANGUAGES`` are an
+error. What the driver and a broadcast hold is bounded by these numbers. Scoring reads every whole text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no
 training rows every text is ``und``; null ids count as held out and teach nothing; rows
@@ -35,13 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.columns import fresh
 from sparkloom.llm.common import cut, small
 
 WIDTH = 1 << 16
 ORDERS = 4
 LANDMARKS = 40
 MOST_LANDMARKS = 640
-MOST_LANGUAGES = 128
+FOLDED = 128
+MOST_LANGUAGES = 10_000
+#: Parts of the regression sample, one Gram matrix each.
+PARTS = 16
 PER_LANGUAGE = 1000
 RIDGE = 1e-3
 BATCH = 32
@@ -75,8 +81,10 @@ def presence(texts: list[str]) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    #: WIDTH x (languages + 1): landmark coefficients, and ones for a text's own norm.
+    #: WIDTH x (languages + 1): landmark coefficients, and ones for a text's own norm; with many languages WIDTH x (landmarks + 1).
     weights: np.ndarray
+    #: With many languages, landmarks x languages.
+    coefficients: np.ndarray | None = None
 
     def outputs(self, texts: list[str]) -> np.ndarray:
         """Regression output of each text for each language."""
@@ -88,7 +96,8 @@ class Model:
             for row, text in zip(rows, part, strict=False):
                 mark(text, row)
             product = (rows[: len(part)] @ self.weights).astype(np.float64)
-            out[at : at + len(part)] = product[:, :-1] / np.sqrt(np.maximum(product[:, -1:], 1))
+            got = product[:, :-1] / np.sqrt(np.maximum(product[:, -1:], 1))
+            out[at : at + len(part)] = got if self.coefficients is None else got @ self.coefficients
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -118,18 +127,14 @@ def sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     return few.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_u", "_n", "_by")
 
 
-def sampled(docs: DataFrame, text: str, lang: str, key: str, per_language: int, most_languages: int) -> DataFrame:
+def sampled(docs: DataFrame, text: str, lang: str, key: str, per_language: int) -> DataFrame:
     """(text, lang, rank) of the training sample: distinct rows, told apart by hashes of id and text."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("h", F.xxhash64("id", "text"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    learned = [r.lang for r in counts]
-    if not learned:
-        return rows.where("false").select("text", "lang", F.lit(0).alias("rank"))
+    counts = rows.groupBy(F.col("lang").alias("_of")).agg(F.approx_count_distinct("h").alias("n"))
     u = (F.xxhash64("h", F.lit(8)) + F.lit(2.0**63)) / F.lit(2.0**64)
-    n = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, r.n)]), F.col("lang"))
     # A first cut by share bounds what is sorted. Repeated rows fall on one side of it together, and count once.
-    few = rows.where(F.col("lang").isin(learned)).where(u * n < 2 * per_language + 100).select("lang", "h").distinct()
+    few = rows.select("lang", "h").join(small(counts), F.col("lang") == F.col("_of")).where(u * F.col("n") < 2 * per_language + 100).select("lang", "h").distinct()
     ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("h", F.lit(8)), "h"))).where(F.col("rank") <= per_language)
     picked = small(ranked.select(F.col("h").alias("_h"), F.col("lang").alias("_lang"), "rank"))
     found = rows.join(picked, (F.col("h") == F.col("_h")) & (F.col("lang") == F.col("_lang"))).select("text", "lang", "rank", "h")
@@ -137,33 +142,49 @@ def sampled(docs: DataFrame, text: str, lang: str, key: str, per_language: int,
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, landmarks: int = LANDMARKS, per_language: int = PER_LANGUAGE, ridge: float = RIDGE, most_languages: int = MOST_LANGUAGES, most_landmarks: int = MOST_LANDMARKS) -> Model:
-    """Fit on the labelled rows of ``docs``. The driver sees the whole texts of the landmarks and, for the rest of the sample, one kernel value for each landmark."""
-    rows = sampled(docs, text, lang, key, per_language, most_languages)
+    """Fit on the labelled rows of ``docs``. The driver sees the whole texts of the landmarks, ``PARTS`` Gram matrices and one sum of kernel values for each language."""
+    rows = sampled(docs, text, lang, key, per_language)
     n_languages = rows.select("lang").distinct().count()
     if not n_languages:
         return Model([], np.zeros((WIDTH, 1), np.float32))
-    marks = rows.where(F.col("rank") <= max(1, min(landmarks, most_landmarks // n_languages))).select("lang", "text").toPandas()
-    marks = marks.sort_values(["lang", "text"])
+    if n_languages > most_languages:
+        raise ValueError(f"{n_languages} languages, more than {most_languages}")
+    marks = rows.where(F.col("rank") <= max(1, min(landmarks, most_landmarks // n_languages))).select("lang", "text")
+    # With more languages than landmarks some have none of their own.
+    marks = marks.orderBy(F.xxhash64("lang"), "lang", "text").limit(most_landmarks).toPandas().sort_values(["lang", "text"])
     at = presence(list(marks["text"]))
     at /= np.sqrt(np.maximum(at.sum(axis=1, keepdims=True), 1))
     shared = rows.sparkSession.sparkContext.broadcast(at)
 
-    def kernels(batches):
+    def sums(batches):
+        """A part's Gram matrix of kernel values, and for each language the number of its rows and the sum of these."""
+        gram, each = np.zeros((len(at_ := shared.value), len(at_))), {}
         for pdf in batches:
             for lo in range(0, len(pdf), BATCH):
                 part = pdf.iloc[lo : lo + BATCH]
                 p = presence(list(part["text"]))
-                k = (p @ shared.value.T) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
-                yield pd.DataFrame({"lang": part["lang"].to_numpy(), "k": [r.tobytes() for r in k.astype(np.float32)]})
-
-    got = rows.select("lang", "text").mapInPandas(kernels, "lang string, k binary").toPandas().sort_values(["lang", "k"])
-    languages = sorted(set(got["lang"]))
-    knm = np.frombuffer(b"".join(got["k"]), np.float32).reshape(len(got), -1).astype(np.float64)
-    y = (got["lang"].to_numpy()[:, None] == np.array(languages, object)[None, :]).astype(np.float64)
+                k = ((p @ at_.T) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))).astype(np.float64)
+                gram += k.T @ k
+                for name, row in zip(part["lang"], k, strict=True):
+                    n, total = each.get(name, (0, 0.0))
+                    each[name] = n + 1, total + row
+        names = sorted(each)
+        yield pd.DataFrame({"lang": [None, *names], "n": [0, *[each[x][0] for x in names]], "sums": [gram.tobytes(), *[each[x][1].tobytes() for x in names]]})
+
+    # By language and in a fixed order: what is added up doesn't depend on how rows arrive.
+    parts = rows.select("lang", "text").repartition(PARTS, "lang").sortWithinPartitions("lang", "text").mapInPandas(sums, "lang string, n long, sums binary")
+    got = cut(parts.select(F.spark_partition_id().alias("part"), "*"))
+    per = got.where("lang IS NOT NULL").orderBy("lang").toPandas()
+    grams = got.where("lang IS NULL").orderBy("part").toLocalIterator()
+    gram = sum((np.frombuffer(r.sums, np.float64).reshape(len(at), -1) for r in grams), np.zeros((len(at), len(at))))
+    languages, n = list(per["lang"]), int(per["n"].sum())
     kmm = (at @ at.T).astype(np.float64)
-    left = knm.T @ knm + ridge * len(knm) * kmm + 1e-6 * np.eye(len(kmm))
-    coefficients = np.linalg.solve(left, knm.T @ y)
-    return Model(languages, np.hstack([at.T @ coefficients.astype(np.float32), np.ones((WIDTH, 1), np.float32)]).astype(np.float32))
+    left = gram + ridge * n * kmm + 1e-6 * np.eye(len(kmm))
+    coefficients = np.linalg.solve(left, np.frombuffer(b"".join(per["sums"]), np.float64).reshape(len(per), -1).T)
+    ones = np.ones((WIDTH, 1), np.float32)
+    if len(languages) <= FOLDED:
+        return Model(languages, np.hstack([at.T @ coefficients.astype(np.float32), ones]).astype(np.float32))
+    return Model(languages, np.hstack([at.T, ones]).astype(np.float32), coefficients)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -176,10 +197,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
         return pd.DataFrame({pred: named, score: got})
 
     own = [F.col(f"`{c}`") for c in docs.columns if c not in (pred, score)]
-    return docs.select(*own, of(F.col(text)).alias("_found")).select(*own, f"_found.{pred}", f"_found.{score}")
+    (found,) = fresh(docs.columns, "_found")
+    return docs.select(*own, of(F.col(text)).alias(found)).select(*own, f"{found}.{pred}", f"{found}.{score}")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language: not ``und``, and scored ``least`` or more."""
-    found = predict(docs, model, text, "_li_lang", "_li_score")
-    return found.where((F.col("_li_lang") != "und") & (F.col("_li_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = fresh(docs.columns, "_lang", "_score")
+    found = predict(docs, model, text, lang, score)
+    return found.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

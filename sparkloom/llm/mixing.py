@@ -20,7 +20,7 @@ documents of the last cell (about one in a million) are put in order.
 Defined cases: a null text has size 0 and is taken for 0 words; a null source is a
 source of its own, last in order; a null id hashes the text instead; rows that agree
 in id and size share a rank and enter together; empty tables give empty results;
-extra columns are carried and may have any name (working columns start with ``_mix_``).
+extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,16 +123,20 @@ def decisions(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
     ratio = F.when(F.col("_mix_words") > 0, F.col("_mix_target") / F.col("_mix_words")).otherwise(0.0)
     targets = targets.withColumn("_mix_k", F.least(F.floor(ratio + 1e-12), F.lit(cap)))
     targets = targets.withColumn("_rest", F.when(F.col("_mix_k") < cap, F.greatest(F.col("_mix_target") - F.col("_mix_k") * F.col("_mix_words"), F.lit(0.0))).otherwise(0.0))
-    factors = cut(inclusion(rows, targets))
+    # A source whose copies make up its target needs no sample: its documents stay off the rank axis.
+    wanting = targets.where("_rest > 0")
+    factors = cut(inclusion(rows, wanting))
     rows = cut(ranked(rows, factors))
 
-    level1 = _same(rows.groupBy("_mix_source", "_mix_c1").agg(F.sum("_mix_size").alias("_words")), targets.select("_mix_source", "_rest"))
+    level1 = _same(rows.groupBy("_mix_source", "_mix_c1").agg(F.sum("_mix_size").alias("_words")), wanting.select("_mix_source", "_rest"))
     cut1 = cut(_first_over(level1, "_mix_c1"))
     inside1 = _same(rows, cut1).where(F.col("_mix_c1") == F.col("_mix_cut1"))
     cut2 = cut(_first_over(inside1.groupBy("_mix_source", "_mix_c2", "_mix_cut1", "_rest").agg(F.sum("_mix_size").alias("_words")), "_mix_c2"))
     cell = cut1.drop("_rest").join(cut2.withColumnRenamed("_mix_source", "_s"), F.col("_mix_source").eqNullSafe(F.col("_s"))).drop("_s")
     inside2 = _same(rows, cell).where((F.col("_mix_c1") == F.col("_mix_cut1")) & (F.col("_mix_c2") == F.col("_mix_cut2")))
-    upto = F.sum("_mix_size").over(W.partitionBy("_mix_source").orderBy("_mix_rank").rangeBetween(W.unboundedPreceding, 0))
+    # Certain documents share a rank, and are one row here.
+    inside2 = inside2.groupBy("_mix_source", "_mix_rank", "_mix_cut1", "_mix_cut2", "_rest").agg(F.sum("_mix_size").alias("_words"))
+    upto = F.sum("_words").over(W.partitionBy("_mix_source").orderBy("_mix_rank"))
     last = (
         inside2.withColumn("_upto", upto)
         .groupBy("_mix_source")
@@ -163,15 +167,17 @@ def with_copies(rows: DataFrame, found: DataFrame, cap: int = CAP) -> DataFrame:
 
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as the mix takes it."""
-    rows = keyed(docs, text, source, key)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row")
+    rows = keyed(docs.select(own, F.col(text).alias("_mix_text"), F.col(source).alias("_mix_from"), F.col(key).alias("_mix_key")), "_mix_text", "_mix_from", "_mix_key")
     _, found = decisions(cut(rows.select("_mix_source", "_mix_size", "_mix_m", "_mix_odds")), weights, cap)
     found = cut(found)
     out = with_copies(ranked(rows, found.select("_mix_source", "_mix_c")), found, cap).where(F.col("_mix_copies") > 0)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")).drop("_mix_copy")
+    return out.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")).select("_mix_row.*")
 
 
 def mix_report(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row for each document: key, size, source_size, target and taken, the words that the mix takes of it."""
-    rows = keyed(docs, text, source, key).select(F.col(key).alias("_mix_key"), "_mix_source", "_mix_size", "_mix_m", "_mix_odds")
+    rows = keyed(docs.select(F.col(text).alias("_mix_text"), F.col(source).alias("_mix_from"), F.col(key).alias("_mix_key")), "_mix_text", "_mix_from", "_mix_key")
+    rows = rows.select("_mix_key", "_mix_source", "_mix_size", "_mix_m", "_mix_odds")
     out = with_copies(*decisions(cut(rows), weights, cap), cap)
     return out.select(F.col("_mix_key").alias(key), F.col("_mix_size").alias("size"), F.col("_mix_words").cast("long").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).cast("long").alias("taken"))

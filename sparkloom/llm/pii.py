@@ -47,6 +47,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.columns import fresh
+
 ROUNDS = 10
 #: For tests and demonstrations; a deployment passes its own.
 DEMO_KEY = b"not a secret"
@@ -375,5 +377,6 @@ def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text") ->
                 out.append((t, ""))
         return pd.DataFrame(out, columns=["text", "pii"])
 
-    own = [F.col("_pii.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "pii"]
-    return docs.withColumn("_pii", of(F.col(text))).select(*own, "_pii.pii")
+    (found,) = fresh(docs.columns, "_pii")
+    own = [F.col(f"{found}.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "pii"]
+    return docs.withColumn(found, of(F.col(text))).select(*own, f"{found}.pii")

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.columns import fresh
 from sparkloom.llm.common import cut, small, stored
 from sparkloom.llm.linking import alike, bucket_of, buckets, least_share, link, signature_rows
 
@@ -216,5 +217,6 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text"
 def kept(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without those of each group that aren't its first."""
     gone = groups(docs, k=k, percent=percent, text=text, key=key).where("NOT kept")
-    gone = small(gone.select(F.col("doc_id").alias("_smh_id"), F.col("h").alias("_smh_h")).distinct())
-    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_smh_id")) & (F.xxhash64(F.col(text)) == F.col("_smh_h")), "left_anti")
+    id_, h = fresh(docs.columns, "_id", "_h")
+    gone = small(gone.select(F.col("doc_id").alias(id_), F.col("h").alias(h)).distinct())
+    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text)) == F.col(h)), "left_anti")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.columns import fresh
 from sparkloom.llm.common import cut, word_count
 from sparkloom.llm.langid import sample
 
@@ -208,7 +209,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pd.DataFrame(out, columns=["score", "spans"])
 
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "spans")]
-    return docs.select(*own, of(F.col(text)).alias("_tox")).select(*own, "_tox.score", "_tox.spans")
+    (found,) = fresh(docs.columns, "_tox")
+    return docs.select(*own, of(F.col(text)).alias(found)).select(*own, f"{found}.score", f"{found}.spans")
 
 
 def locate(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", least: float = OFFENDING) -> DataFrame:

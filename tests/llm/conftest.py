@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, t string, node string, score string, kind string, rank string, part string, root string"
-_EXTRA = ("x",) * 9
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, t string, node string, score string, kind string, rank string, part string, root string, _found string, _tox string, _pii string, _dc_key string, _id string, _h string, _lang string, _mix_size string, _mix_row string, _rest string"
+_EXTRA = ("x",) * 19
 
 LONG = " ".join(f"word{i % 977} tail{i}" for i in range(60_000))
 PROSE = "The quick brown fox jumps over the lazy dog, and then it rests. Nobody knows why it does so every morning."

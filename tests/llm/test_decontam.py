@@ -50,8 +50,8 @@ def test_all_above_the_threshold_are_retrieved(spark, sf_dir):
     got = sorted((int(d), item, len(p)) for d, item, _, p in s.found_in(docs))
     want = []
     for d, words in enumerate(docs):
-        for at in range(0, max(1, -(-len(words) // s.stride) - 1)):
-            passage = words[at * s.stride : (at + 2) * s.stride]
+        for at in range(0, max(1, -(-(len(words) - 3 * s.stride // 2) // s.stride))):
+            passage = words[at * s.stride : at * s.stride + 5 * s.stride // 2]
             score = Counter()
             for t in set(passage.tolist()) - {-1}:
                 for p in range(s.start[t], s.start[t + 1]):
@@ -70,13 +70,30 @@ def test_items_in_a_long_document(spark, monkeypatch):
         text = " ".join(["the"] * words)
         parts = s.parts(text)
         step = 100 // s.stride * s.stride
-        assert all(len(p) <= step + s.stride for p in parts) and max(i * step + len(p) for i, p in enumerate(parts)) == words
+        assert all(len(p) <= step + 3 * s.stride // 2 for p in parts) and max(i * step + len(p) for i, p in enumerate(parts)) == words
     for at in range(0, 260, 7):
         words = ["filler"] * at + decontam.words_of(ITEMS[0][1]) + ["filler"] * (300 - at)
         found = [(item, s.verified(item, p)) for _, item, _, p in s.found_in(s.parts(" ".join(words)))]
         assert any(s.ids[item] == 1 and min(v) == 1 for item, v in found), at
 
 
+def test_a_stretched_item_is_found_wherever_it_lies(spark):
+    """60 words in order with one more after every second: as long as a window may be, at every offset."""
+    words = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, f"{' '.join(words[:45])}. {' '.join(words[45:])}."), (2, " ".join(f"v{i}" for i in range(21)) + ". v0 v1 v2 v3 v4.")], "item_id long, text string")
+    stretched = [x for i, w in enumerate(words) for x in ([w, "more"] if i % 2 else [w])]
+    docs = spark.createDataFrame([(at, " ".join(["filler"] * at + stretched + ["filler"] * 200)) for at in range(131)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.report(docs, items).collect()} == {(at, 1) for at in range(131)}
+
+
+def test_rounds(spark, sf_dir, monkeypatch):
+    """Shards in many rounds find what one finds."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    one = sorted(map(tuple, decontam.report(docs, items).select("doc_id", "item_id").collect()))
+    monkeypatch.setattr(decontam, "ROUND_BYTES", 1)
+    assert sorted(map(tuple, decontam.report(docs, items, shard_items=15).select("doc_id", "item_id").collect())) == one and len(one) >= 3
+
+
 def test_short_answers():
     q, a = decontam.question_and_answer("Which of these rivers is the longest one? It is a river in the east. Amber.")
     assert a == ["it", "is", "a", "river", "in", "the", "east", "amber"] and q[-1] == "one"

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import langid
@@ -31,9 +32,8 @@ def test_repeated_rows_teach_once(spark):
     text = [f"voici un texte en francais numero {i}" for i in range(300)] + [f"this is an english text number {i}" for i in range(30)]
     rows = [(7, t, "fr") for t in text[:300]] + [(i, t, "en") for i, t in enumerate(text[300:])] + [(1, "one and the same", "en")] * 300 + [(None, "nobody", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = langid.sampled(docs, "text", "lang", "doc_id", 50, 10).collect()
+    got = langid.sampled(docs, "text", "lang", "doc_id", 50).collect()
     assert Counter(r.lang for r in got) == {"fr": 50, "en": 31} and len({(r.lang, r.rank) for r in got}) == 81
-    assert {r.lang for r in langid.sampled(docs, "text", "lang", "doc_id", 50, 1).collect()} == {"fr"}
     model = langid.train(docs, per_language=50, most_landmarks=8)
     assert model.weights.shape == (langid.WIDTH, 3)
 
@@ -42,7 +42,7 @@ def test_outputs_against_the_kernel(spark):
     """Scores of the query's model, from kernel values of every text with every landmark by sets of n-grams."""
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("text", F.substring("text", 1, 400))
-    sample = langid.sampled(docs, "text", "lang", "doc_id", 30, 9).collect()
+    sample = langid.sampled(docs, "text", "lang", "doc_id", 30).collect()
     model = langid.train(docs, per_language=30, landmarks=5)
 
     def grams(t):
@@ -60,6 +60,22 @@ def test_outputs_against_the_kernel(spark):
     assert np.abs(model.outputs(texts) - kernel([grams(t) for t in texts], marks) @ a).max() < 1e-3
 
 
+def test_many_languages(spark):
+    """200 made languages, each with letters of its own, are all learned and predicted; too many are an error."""
+    texts = [(i, 10 * i + j, "".join(chr(0x4E00 + 7 * i + (j + k) % 7) for k in range(30))) for i in range(200) for j in range(4)]
+    docs = spark.createDataFrame([(n, t, f"l{i:03}") for i, n, t in texts], "doc_id long, text string, lang string")
+    for most in (langid.MOST_LANDMARKS, 250):
+        model = langid.train(docs, most_landmarks=most)
+        assert len(model.languages) == 200 and model.weights.shape[1] <= most + 1
+        assert sum(r.lang_pred == r.lang for r in langid.predict(docs, model).collect()) >= 0.99 * len(texts)
+    folded = langid.Model(model.languages, np.hstack([model.weights[:, :-1] @ model.coefficients.astype(np.float32), model.weights[:, -1:]]))
+    some = [t for _, _, t in texts[::50]]
+    assert np.abs(folded.outputs(some) - model.outputs(some)).max() < 1e-3
+    assert len(langid.train(docs, most_landmarks=20).languages) == 200
+    with pytest.raises(ValueError, match="200 languages"):
+        langid.train(docs, most_languages=199)
+
+
 def test_kernel_values():
     a, b = langid.presence(["abcd", "abce"])
     grams = lambda s: {s[i : i + n] for n in range(1, 5) for i in range(len(s) - n + 1)}

@@ -80,6 +80,19 @@ def test_mix_repeats_rows(odd):
     assert mixed.where("doc_id = 8").count() == taken[8, 19] // 19
 
 
+def test_a_source_at_its_target_is_not_ordered(spark):
+    """A capped source, and documents that are certain, stand in no window: no cell's order has more than a few rows."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 23 + 1).cast("int")).alias("text"), F.when(F.col("id") % 20 == 0, "c").when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    rows = mixing.keyed(docs)
+    ranked, found = mixing.decisions(rows.select("_mix_source", "_mix_size", "_mix_m", "_mix_odds"))
+    ends = {r._mix_source: r for r in found.collect()}
+    assert ends["c"]._mix_target == 3 * ends["c"]._mix_words and ends["c"]._mix_cut1 is None and ends["c"]._mix_closing is None
+    for s in "ab":
+        r = ends[s]
+        assert ranked.where((F.col("_mix_source") == s) & (F.col("_mix_c1") == r._mix_cut1) & (F.col("_mix_c2") == r._mix_cut2)).select("_mix_rank").distinct().count() < 10
+    assert all(r.taken == 3 * r["size"] for r in mixing.mix_report(docs).where("doc_id % 20 = 0").collect())
+
+
 def test_empty(none):
     assert mixing.mix_report(none).count() == 0
     assert mixing.mix(none).count() == 0
