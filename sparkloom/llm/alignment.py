@@ -6,6 +6,8 @@ both vocabularies and says which white space characters those are (a space and a
 feed, as it turns out, and not a carriage return). Segments then have the same tokens alone as in their text, for both
 tokenizers, and every cut is an offset at which tokens of both end.
 
+An alignment goes as the ids of its links in order, each id once, with two bits for each link that say which side moved on.
+
 Documents are put into blocks of about ``BLOCK`` characters as numbers into the block's distinct segments. A segment
 comes at most once from each block, so none is hot: all rows of a segment are sorted behind each other, it is tokenised and
 aligned once, and each of its rows takes the alignment back to its block. Both tables are bucketed by
@@ -45,7 +47,7 @@ from sparkloom.llm.common import shared_path, stored, tasks
 from sparkloom.llm.pieces import vocabulary
 
 #: Characters of the texts of a block.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 #: Characters from which the segments of a text aren't listed but counted off.
 LONG_TEXT = 1 << 20
 #: (document, segment) pairs whose links are listed at once.
@@ -78,53 +80,57 @@ class Aligner:
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in pieces]
         self.space = self.b.piece_to_id(_SPACE)
+        self.ids = "<u2" if max(max(self.a_bytes), len(self.b_bytes)) < 1 << 16 else "<u4"
         self.breaks = safe_breaks([x.decode("utf-8", "ignore") for x in self.a_bytes.values()], [p.replace(_SPACE, " ") for i, p in pieces if not self.b.is_byte(i)])
         white = re.escape(WHITE)
         begin = re.escape("".join(sorted(self.breaks)))
         other = re.escape("".join(sorted(set(WHITE) - self.breaks)))
         # A run begins a segment if its first character is safe; other runs go on in the segment they stand in.
-        self.pattern = re.compile(f"[{begin}][{white}]*[^{white}]*(?:[{other}][{white}]*[^{white}]*)*")
-
-    def split(self, text: str) -> Iterator[str]:
-        """The segments of a space and a text."""
-        whole = " " + text
-        return map(re.Match.group, self.pattern.finditer(whole)) if len(whole) > LONG_TEXT else iter(self.pattern.findall(whole))
+        self.pattern = f"[{begin}][{white}]*[^{white}]*(?:[{other}][{white}]*[^{white}]*)*"
 
     def _b_ids(self, segments: list[str]) -> list[list[int]]:
         """B's ids of segments, without the space that it adds where a segment has none at its beginning."""
         found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         return [(ids or [self.space]) if s[0] == " " else ids[1:] for s, ids in zip(segments, found, strict=True)]
 
-    def align(self, segments: list[str]) -> list[tuple[bool, int, int, int, str, bytes]]:
-        """For each segment: whether both give it back, tokens of A and of B, groups, their ids, and the linked ids."""
+    def align(self, segments: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """For each segment its links, how they go on (two bits each: A's next token, B's, or both, which begins a group) and the ids that come in; no links where a tokenizer doesn't give the segment back."""
         a_bytes, b_bytes, out = self.a_bytes, self.b_bytes, []
         for s, e, b in zip(segments, self.a.encode_batch_fast(segments, add_special_tokens=False), self._b_ids(segments), strict=True):
             a, body = e.ids, s.encode()
             x, y = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
             if b"".join(x) != body or b"".join(y) != body:
-                out.append((False, 0, 0, 0, "", b""))
+                out.append((0, b"", b""))
                 continue
-            groups, links, i, j, at_i, at_j, from_i, from_j = [], [], 0, 0, len(x[0]), len(y[0]), 0, 0
+            i, j, at_i, at_j, links, bits, ids = 0, 0, len(x[0]), len(y[0]), 1, 3, [a[0], b[0]]
             while True:
-                links += (a[i], b[j])
                 if at_i < at_j:
-                    i += 1
+                    i, moved = i + 1, 1
                     at_i += len(x[i])
+                    ids.append(a[i])
                 elif at_j < at_i:
-                    j += 1
+                    j, moved = j + 1, 2
                     at_j += len(y[j])
+                    ids.append(b[j])
                 else:
-                    i, j = i + 1, j + 1
-                    groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
+                    i, j, moved = i + 1, j + 1, 3
                     if i == len(a):
                         break
-                    from_i, from_j = i, j
                     at_i += len(x[i])
                     at_j += len(y[j])
-            out.append((True, len(a), len(b), len(groups), ";".join(groups), np.array(links, "<u4").tobytes()))
+                    ids += (a[i], b[j])
+                bits |= moved << 2 * links
+                links += 1
+            out.append((links, bits.to_bytes(-(-links // 4), "little"), np.array(ids, self.ids).tobytes()))
         return out
 
 
+def split(pattern: re.Pattern, text: str) -> Iterator[str]:
+    """The segments of a space and a text."""
+    whole = " " + text
+    return map(re.Match.group, pattern.finditer(whole)) if len(whole) > LONG_TEXT else iter(pattern.findall(whole))
+
+
 def safe_breaks(a: list[str], b: list[str]) -> frozenset[str]:
     """The white space characters before which a text may be cut, where something stands that isn't white space: in no entry of either vocabulary does such a character follow one that isn't white space, nor, but for the space, anything at all."""
     unsafe = set()
@@ -150,12 +156,12 @@ def _bucketed(df: DataFrame, name: str) -> DataFrame:
     return spark.table(table)
 
 
-def blocks(docs: DataFrame, a: str, b: str, *, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def blocks(docs: DataFrame, pattern: str, *, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """(block, doc_id, codes, segments): a row for each document with the numbers of its segments, and one for each block with these."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = aligner(a, b).split
+        cut = re.compile(pattern)
         # As monotonically_increasing_id has it: a task done again gives the same numbers.
         number, size = TaskContext.get().partitionId() << 33, 0
         segments: dict[str, int] = defaultdict(itertools.count().__next__)
@@ -170,7 +176,7 @@ def blocks(docs: DataFrame, a: str, b: str, *, text: str = "text", key: str = "d
         for pdf in batches:
             done = []
             for doc_id, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                codes = np.fromiter(map(segments.__getitem__, split(t)), "<u4") if t else np.empty(0, "<u4")
+                codes = np.fromiter(map(segments.__getitem__, split(cut, t)), "<u4") if t else np.empty(0, "<u4")
                 done.append((number, None if pd.isna(doc_id) else int(doc_id), codes.tobytes(), None))
                 size += len(t)
                 if size >= block:
@@ -182,11 +188,11 @@ def blocks(docs: DataFrame, a: str, b: str, *, text: str = "text", key: str = "d
     return _bucketed(rows.mapInPandas(coded, "block long, doc_id long, codes binary, segments array<string>"), "blocks")
 
 
-_ALIGNED = "block long, idx int, ok boolean, n_a int, n_b int, n_groups int, groups string, links binary"
+_ALIGNED = "block long, idx int, n int, moves binary, ids binary"
 
 
 def aligned(coded: DataFrame, a: str, b: str) -> DataFrame:
-    """(block, idx, ok, n_a, n_b, n_groups, groups, links) of every segment of every block, each distinct one aligned once."""
+    """(block, idx, n, moves, ids), as ``Aligner.align`` has it, of every segment of every block, each distinct one aligned once."""
     rows = coded.where("segments IS NOT NULL").select("block", F.posexplode("segments").alias("idx", "segment"))
     n = tasks(coded.sparkSession)
     rows = rows.repartition(n, "segment").sortWithinPartitions("segment")
@@ -204,9 +210,9 @@ def aligned(coded: DataFrame, a: str, b: str) -> DataFrame:
             if len(new) < len(distinct):
                 found[last[0]] = last[1]
             last = segments[-1], found[segments[-1]]
-            ok, n_a, n_b, n_groups, groups, links = zip(*[found[s] for s in segments], strict=True)
-            columns = [batch.column("block"), batch.column("idx"), pa.array(ok), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(n_groups, pa.int32()), pa.array(groups, pa.string()), pa.array(links, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "idx", "ok", "n_a", "n_b", "n_groups", "groups", "links"])
+            links, moves, ids = zip(*[found[s] for s in segments], strict=True)
+            columns = [batch.column("block"), batch.column("idx"), pa.array(links, pa.int32()), pa.array(moves, pa.binary()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "idx", "n", "moves", "ids"])
 
     return _bucketed(rows.mapInArrow(of, _ALIGNED).repartition(n, "block"), "aligned")
 
@@ -214,19 +220,27 @@ def aligned(coded: DataFrame, a: str, b: str) -> DataFrame:
 class _Block:
     """The documents of a block, as numbers of its segments, and the links of these as numbers of its distinct pairs."""
 
-    def __init__(self, docs: pd.DataFrame, segments: pd.DataFrame):
-        self.segments = segments.sort_values("idx")
+    def __init__(self, docs: pd.DataFrame, segments: pd.DataFrame, ids: str):
         self.docs = [np.frombuffer(c, "<u4") for c in docs["codes"]]
         lengths = np.array([len(d) for d in self.docs])
         self.codes = np.concatenate(self.docs).astype(np.int64) if len(self.docs) else np.empty(0, np.int64)
         self.ends = np.cumsum(lengths)
         self.owner = np.repeat(np.arange(len(lengths)), lengths)
-        linked = np.frombuffer(b"".join(self.segments["links"]), "<u8").astype(np.int64)
-        self.pairs, self.pair = np.unique(linked, return_inverse=True)
-        self.each = np.array([len(x) // 8 for x in self.segments["links"]], np.int64)
+        segments = segments.sort_values("idx")
+        self.each = segments["n"].to_numpy(np.int64)
         self.start = np.cumsum(self.each) - self.each
-        ok = self.segments["ok"].to_numpy(bool)
-        self.good = self.sums((~ok).astype(np.int64)) == 0
+        raw = np.frombuffer(b"".join(segments["moves"]), np.uint8)
+        held = -(-self.each // 4)
+        place = np.arange(self.each.sum()) - np.repeat(self.start, self.each)
+        move = raw[np.repeat(np.cumsum(held) - held, self.each) + place // 4] >> (2 * (place % 4)).astype(np.uint8) & 3
+        came = np.frombuffer(b"".join(segments["ids"]), ids).astype(np.int64)
+        both = (move == 3).astype(np.int64)
+        at = np.cumsum(1 + both) - 1 - both
+        self.new_a, self.new_b, self.both = move & 1, move >> 1, both
+        self.a, self.b = came[at[self.new_a > 0]], came[(at + both)[self.new_b > 0]]
+        linked = self.b[np.cumsum(self.new_b, dtype=np.int64) - 1] << 32 | self.a[np.cumsum(self.new_a, dtype=np.int64) - 1] if len(move) else np.empty(0, np.int64)
+        self.pairs, self.pair = np.unique(linked, return_inverse=True)
+        self.good = self.sums((self.each == 0).astype(np.int64)) == 0
 
     def sums(self, of_segment: np.ndarray) -> np.ndarray:
         """For each document the sum over its segments."""
@@ -254,29 +268,43 @@ class _Block:
             at = upto
         return out
 
-    def per_segment(self, of_pair: np.ndarray) -> np.ndarray:
+    def per_segment(self, of_link: np.ndarray) -> np.ndarray:
         """For each segment the sum over its links."""
-        upto = np.concatenate([[0], np.cumsum(of_pair[self.pair])])
+        upto = np.concatenate([[0], np.cumsum(of_link, dtype=np.int64)])
         return upto[self.start + self.each] - upto[self.start]
 
+    def groups(self) -> list[str]:
+        """The groups of each segment as text."""
+        edges = np.append(np.flatnonzero(self.both), len(self.both))
+        sides = []
+        for ids, new in ((self.a, self.new_a), (self.b, self.new_b)):
+            upto = np.concatenate([[0], np.cumsum(new, dtype=np.int64)])[edges].tolist()
+            ids = list(map(str, ids.tolist()))
+            sides.append([",".join(ids[i:j]) for i, j in zip(upto, upto[1:], strict=False)])
+        each = list(map("|".join, zip(*sides, strict=True)))
+        ends = np.cumsum(self.per_segment(self.both)).tolist()
+        return [";".join(each[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
 
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def report(docs: DataFrame, *, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document."""
-    coded = blocks(docs, a, b, text=text, key=key, block=block)
+    tools = aligner(a, b)
+    ids = tools.ids
+    coded = blocks(docs, tools.pattern, text=text, key=key, block=block)
     found = aligned(coded, a, b)
     rows = coded.where("segments IS NULL").select("block", "doc_id", "codes")
 
     def counted(own: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
         if own.empty or segments.empty:
             return pd.DataFrame({"block": [], "pair": [], "docs": []})
-        x = _Block(own, segments)
+        x = _Block(own, segments, ids)
         n = x.documents()
         return pd.DataFrame({"block": own["block"].iloc[0], "pair": x.pairs[n > 0], "docs": n[n > 0]})
 
-    met = stored(rows.groupBy("block").cogroup(found.select("block", "idx", "ok", "links").groupBy("block")).applyInPandas(counted, "block long, pair long, docs long"))
+    met = stored(rows.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(counted, "block long, pair long, docs long"))
     counts = met.groupBy("pair").agg(F.sum("docs").alias("n"))
     # The pairs of an id are as many as the other vocabulary has entries, at most.
     best = F.col("n") == F.max("n").over(W.partitionBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))))
@@ -286,7 +314,7 @@ def report(docs: DataFrame, *, a: str = "byte_bpe_50k.json", b: str = "piece_bpe
     right = found.join(of_block, (F.col("block") == F.col("of")) & (F.col("idx") < 1), "left").drop("of")
 
     def composed(own: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
-        x = _Block(own, segments) if len(own) and len(segments) else None
+        x = _Block(own, segments, ids) if len(own) and len(segments) else None
         out = {"doc_id": own["doc_id"].astype("Int64")}
         names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
         if x is None:
@@ -296,9 +324,9 @@ def report(docs: DataFrame, *, a: str = "byte_bpe_50k.json", b: str = "piece_bpe
             if c is not None and len(c):
                 at = np.searchsorted(x.pairs, np.array([r["pair"] for r in c]))
                 n[at], best[at] = [r["n"] for r in c], [r["best"] for r in c]
-        of = [x.segments[c].to_numpy(np.int64) for c in names[:3]] + [x.each, x.per_segment(best), x.per_segment(n)]
+        of = [x.per_segment(v) for v in (x.new_a, x.new_b, x.both)] + [x.each, x.per_segment(best[x.pair]), x.per_segment(n[x.pair])]
         out |= {name: np.where(x.good, x.sums(v), 0) for name, v in zip(names, of, strict=True)}
-        groups = x.segments["groups"].tolist()
+        groups = x.groups()
         out["groups_sha256"] = [hashlib.sha256(";".join(map(groups.__getitem__, d.tolist())).encode()).hexdigest() if good and len(d) else "" for d, good in zip(x.docs, x.good, strict=True)]
         return pd.DataFrame(out)
 
