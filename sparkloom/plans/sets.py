@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.reach import reachable
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
 
@@ -67,11 +68,18 @@ def offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "recursive",
     """
-    WITH RECURSIVE t(depth, amount) AS (SELECT 0, 1::BIGINT UNION ALL SELECT depth + 1, amount * 3 FROM t WHERE depth < 12)
-    SELECT depth, amount FROM t""",
+    WITH RECURSIVE e AS (SELECT l_orderkey * 2 AS o, l_partkey * 2 + 1 AS p FROM lineitem WHERE l_quantity >= 47),
+    t(node, steps) AS (
+      SELECT DISTINCT p, 0 FROM e WHERE p < 40
+      UNION
+      SELECT x.b, t.steps + 1 FROM t JOIN (SELECT o AS a, p AS b FROM e UNION ALL SELECT p, o FROM e) x ON x.a = t.node WHERE t.steps < 12)
+    SELECT (node - 1) // 2 AS part, (min(steps) // 2)::BIGINT AS orders FROM t WHERE node % 2 = 1 GROUP BY node""",
 )
 def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("WITH RECURSIVE t(depth, amount) AS (SELECT 0, 1L UNION ALL SELECT depth + 1, amount * 3 FROM t WHERE depth < 12) SELECT depth, amount FROM t")
+    """Parts that large order lines connect with the first twenty, through six orders at most: orders and parts are nodes."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 47").select((F.col("l_orderkey") * 2).alias("o"), (F.col("l_partkey") * 2 + 1).alias("p"))
+    found = reachable(lines.unionByName(lines.select(F.col("p").alias("o"), F.col("o").alias("p"))), lines.where("p < 40").select("p"), most_steps=12)
+    return found.where("node % 2 = 1").select(F.expr("(node - 1) div 2").alias("part"), F.expr("steps div 2").alias("orders"))
 
 
 @query(

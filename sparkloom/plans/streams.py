@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.plans.registry import query
 from sparkloom.sources.paths import shared_path
 from sparkloom.streaming import jobs
+from sparkloom.streaming.visits import capped_visits, keyed_state_store
 
 
 def _run(spark: SparkSession, sf_dir: str, job, mode: str = "append", batch=None) -> DataFrame:
@@ -61,3 +62,22 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _run(spark, sf_dir, jobs.spending, "update")
     last = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("n")))
     return rows.withColumn("_last", last).where("_last = 1").select("user_id", "n", F.round("total", 8).alias("total"))
+
+
+@query(
+    "stream_visits",
+    """
+    WITH RECURSIVE e AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events),
+    v AS (
+      SELECT user_id, no, ts, value, ts AS began FROM e WHERE no = 1
+      UNION ALL
+      SELECT e.user_id, e.no, e.ts, e.value, CASE WHEN e.ts - v.ts <= INTERVAL 12 HOUR AND e.ts - v.began <= INTERVAL 1 DAY THEN v.began ELSE e.ts END
+      FROM v JOIN e ON e.user_id = v.user_id AND e.no = v.no + 1)
+    SELECT user_id, began, max(ts) AS ended, count(*) AS n, round(sum(value), 8) AS total FROM v GROUP BY user_id, began
+    HAVING least(max(ts) + INTERVAL 12 HOUR, began + INTERVAL 1 DAY) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits of a day at most, by keyed state with timers."""
+    with keyed_state_store(spark):
+        rows = _run(spark, sf_dir, lambda e: capped_visits(e, 12 * 3600, 24 * 3600))
+    return rows.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n", F.round("total", 8).alias("total"))

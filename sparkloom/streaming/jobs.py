@@ -2,7 +2,8 @@
 
 Each function takes a streaming (or batch) DataFrame of events and returns one, to be
 started with any sink; ``available`` runs a job over all files that are there, into a
-Parquet table, and stops. State is bounded by the watermark.
+Parquet table, and stops. State is bounded by the watermark, but for ``spending``, which keeps a row for each
+user for ever; ``visits`` has keyed state that expires.
 """
 
 from __future__ import annotations
