@@ -3,39 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators import scan
 
-def exact_quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], cells: int = 1024) -> DataFrame:
-    """(key, names of ``shares``): interpolated quantiles of the non-null values of each key, in two passes.
 
-    The first counts values over ``cells`` equal parts of each key's range; the second looks only at the parts that
-    hold a wanted rank, as distinct values with counts. No task holds all values of a key. Null is a key like others;
-    keys without a value are left out; a key's range must be finite.
+def exact_quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], partitions: int | None = None) -> DataFrame:
+    """(key, names of ``shares``): interpolated quantiles of the non-null values of each key.
+
+    Repeated values are counted first; the distinct ones are dealt by ranges of (key, value), so no task holds all values of a key however
+    they are spread, and their counts are added up by a prefix scan, which says which of them stand at the wanted ranks.
+    Null is a key like others; keys without a value are left out.
     """
     rows = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    ends = rows.groupBy("_k").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_n"))
-    ends = ends.select(F.col("_k").alias("_k2"), "_low", "_high", "_n")
-    part = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2) * cells), F.lit(cells - 1))).otherwise(F.lit(0).cast("long"))
-    counted = rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c"))  # repeated values count as one row from here on
-    counted = counted.join(ends, F.col("_k").eqNullSafe(F.col("_k2"))).withColumn("_cell", part)
-    per_cell = counted.groupBy("_k", "_n", "_cell").agg(F.sum("_c").alias("_c"))
-    upto = W.partitionBy("_k").orderBy("_cell")
-    per_cell = per_cell.withColumn("_upto", F.sum("_c").over(upto))
-    # The two ranks (from 0) around each share, and the cell of each.
+    counted = rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = scan.in_order(counted, ["_k"], ["_v"], partitions).scan(_upto=scan.total("_c"), _n=scan.total("_c", "all")).result()
+    # The two ranks (from 0) around each share.
     at = {name: (F.col("_n") - 1) * F.lit(p) for name, p in shares.items()}
-    ranks = F.array(*[r for x in at.values() for r in (F.floor(x), F.ceil(x))])
-    held = per_cell.where(F.exists(ranks, lambda r: (r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto"))))
-    held = held.select(F.col("_k").alias("_k3"), F.col("_cell").alias("_cell3"), (F.col("_upto") - F.col("_c")).alias("_before"))
-    inside = counted.join(held, F.col("_k").eqNullSafe(F.col("_k3")) & (F.col("_cell") == F.col("_cell3")))
-    inside = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(W.partitionBy("_k", "_cell").orderBy("_v")))
 
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")), F.col("_v")))
+    def here(rank: Column) -> Column:
+        return (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
 
+    ranks = F.array(*[r for x in at.values() for r in (F.floor(x), F.ceil(x))])
+    held = counted.where(F.exists(ranks, here))
     found = []
     for name, x in at.items():
-        low, high = value_at(F.floor(x)), value_at(F.ceil(x))
+        low, high = (F.max(F.when(here(r), F.col("_v"))) for r in (F.floor(x), F.ceil(x)))
         found.append((low + (high - low) * F.max(x - F.floor(x))).alias(name))
-    return inside.groupBy(F.col("_k").alias(key)).agg(*found)
+    return held.groupBy(F.col("_k").alias(key)).agg(*found)

@@ -109,7 +109,7 @@ class Sorted:
     place: str
 
     def with_rows(self, rows: DataFrame) -> Sorted:
-        """The same order with other columns; keys and place must be as they were, no row may be added."""
+        """The same order with other columns, or fewer rows; keys and place must be as they were, no row may be added."""
         return Sorted(rows, self.keys, self.place)
 
     def result(self) -> DataFrame:
@@ -126,9 +126,11 @@ class Sorted:
         rows = self.rows.withColumn(block, F.shiftright(place, _BLOCK_BITS)).withColumns({o: f.of for (_, f), o, _ in each})
 
         # The keys that blocks open with: one row for each block at most.
-        opening = rows.where(place.bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)) == 0).select(*[F.col(k).alias(t) for k, t in zip(self.keys, there, strict=True)]).distinct()
         same = reduce(and_, [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(self.keys, there, strict=True)], F.lit(True))
-        spanning = rows.join(F.broadcast(opening), same, "left_semi") if self.keys else rows
+        spanning = rows
+        if self.keys:
+            first = F.min_by(F.struct(*[F.col(k).alias(t) for k, t in zip(self.keys, there, strict=True)]), place).alias(to)
+            spanning = rows.join(F.broadcast(rows.groupBy(block).agg(first).select(f"{to}.*").distinct()), same, "left_semi")
         parts = spanning.groupBy(block, *self.keys).agg(*[_aggregate(f.kind, F.col(o), -place if f.frame == "after" else place).alias(o) for (_, f), o, _ in each])
         by = W.partitionBy(*self.keys)
         frames = {"upto": by.orderBy(block).rowsBetween(W.unboundedPreceding, -1), "before": by.orderBy(block).rowsBetween(W.unboundedPreceding, -1), "after": by.orderBy(F.desc(block)).rowsBetween(W.unboundedPreceding, -1), "all": by}

@@ -11,6 +11,7 @@ from sparkloom.functions import vectors
 from sparkloom.operators.asof import asof_join
 from sparkloom.operators.quantiles import exact_quantiles
 from sparkloom.operators.ranges import range_join
+from sparkloom.operators.scan import in_order
 from sparkloom.operators.skew import salted_distinct_count, salted_join
 from sparkloom.sources import files
 from sparkloom.sources.paths import shared_path
@@ -43,13 +44,21 @@ def test_exact_quantiles(spark):
     r = random.Random(4)
     rows = [("a", r.gauss(0, 1)) for _ in range(501)] + [("b", 7.0)] * 40 + [("c", float(r.choice([1, 1, 1, 1, 2, 1e9]))) for _ in range(100)] + [("d", None), (None, 3.0), ("e", -1e308), ("e", 1e308)]
     df = spark.createDataFrame(rows, "k string, v double")
-    for cells in (1, 16, 1024):
-        got = {x.k: (x.p0, x.med, x.p9) for x in exact_quantiles(df, "k", "v", {"p0": 0.0, "med": 0.5, "p9": 0.9}, cells).collect()}
+    for partitions in (1, 16, None):
+        got = {x.k: (x.p0, x.med, x.p9) for x in exact_quantiles(df, "k", "v", {"p0": 0.0, "med": 0.5, "p9": 0.9}, partitions).collect()}
         assert got.keys() == {"a", "b", "c", None, "e"}
         for k in ("a", "b", "c", None):
             assert got[k] == pytest.approx(np.quantile([v for x, v in rows if x == k and v is not None], [0, 0.5, 0.9]))
 
 
+def test_quantiles_beside_an_outlier(spark):
+    """One far value doesn't put the others into one task: the blocks that the scan runs over stay near their share."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.when(F.col("id") == 0, 2e9).otherwise(F.col("id") / 7).alias("v"))
+    blocks = in_order(df, ["k"], ["v"], 20)
+    assert blocks.rows.groupBy(F.shiftright(blocks.place, 33)).count().agg(F.max("count")).first()[0] < 3000
+    assert exact_quantiles(df, "k", "v", {"med": 0.5}, 20).first().med == pytest.approx((10_000 + 10_001) / 2 / 7)
+
+
 @pytest.mark.parametrize("width", [1, 7, 100])
 def test_range(spark, width):
     spans = spark.createDataFrame([(0, -5, 5), (1, 5, 5), (2, 9, 3), (3, None, 4), (4, 0, 40)], "s int, low long, high long")

@@ -32,6 +32,16 @@ def test_folds(spark, parts, keys):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_rows_left_out_between_scans(spark):
+    """Blocks whose first rows are gone still take over what lies before them."""
+    df = rows(spark)
+    s = scan.in_order(df, ["k"], ["t", "n"], 40).scan(no=scan.count())
+    got = s.with_rows(s.rows.where("no % 3 = 0")).scan(sum=scan.total("no"), rest=scan.count("after")).result()
+    w = W.partitionBy("k").orderBy("no")
+    want = got.select("n", F.sum("no").over(w).alias("sum"), F.count(F.lit(1)).over(w.rowsBetween(1, W.unboundedFollowing)).alias("rest"))
+    assert sorted(map(tuple, got.select("n", "sum", "rest").collect())) == sorted(map(tuple, want.collect())) and got.count() > 150
+
+
 def test_no_block_holds_a_hot_key(spark):
     """With nine tenths of the rows in one key, and these all tied, blocks stay near their share."""
     df = rows(spark, 3000).withColumn("t", F.when(F.col("k") == "hot", 1).otherwise(F.col("t")))

@@ -1,4 +1,4 @@
-"""Patterns, maintained aggregates, bitmaps, reachability and visits against small brute force."""
+"""Patterns, maintained aggregates, bitmaps, reachability, visits, histories and layouts against small brute force."""
 
 import datetime as dt
 import random
@@ -13,6 +13,8 @@ from sparkloom.operators.bitmaps import bitmap_table, distinct_by, merged
 from sparkloom.operators.maintained import MaintainedAggregate
 from sparkloom.operators.patterns import Step, match_events, steps_of
 from sparkloom.operators.reach import reachable
+from sparkloom.operators.versions import history, temporal_join
+from sparkloom.sources.layout import files_for, read_by_curve, write_by_curve
 from sparkloom.sources.paths import shared_path
 from sparkloom.streaming import jobs
 from sparkloom.streaming.visits import capped_visits, keyed_state_store
@@ -164,3 +166,61 @@ def test_visits_across_batches(spark):
     assert sorted((x.began, x.ended, x.n, x.total) for x in got.collect()) == sorted(map(tuple, want))
     left = spark.read.format("statestore").option("path", state).option("stateVarName", "visit").load()
     assert [x.key[0] for x in left.select("key").collect()] in ([], [3])
+
+
+def test_histories(spark):
+    """Against a walk over every moment: ties, repeated values, gaps, open ends, long versions, a hot key."""
+    r = random.Random(4)
+
+    def changes(n, values):
+        return [(r.choice(["hot"] * 5 + ["u", "v", None]), r.choice([None, *range(200)]), i, r.choice(values)) for i in range(n)]
+
+    def walk(rows):
+        last = {}
+        for k, t, i, v in rows:
+            if k is not None and t is not None and i >= last.get((k, t), (-1, None))[0]:
+                last[k, t] = (i, v)
+        at, now = {}, {}
+        for t in range(201):
+            for k in ("hot", "u", "v"):
+                if (k, t) in last:
+                    now[k] = last[k, t][1]
+                at[k, t] = now.get(k)
+        return at
+
+    a, b = changes(120, ["x", "y", None]), changes(25, [1, 2, None])
+    frames = [spark.createDataFrame(rows, f"k string, t int, i int, {c} {kind}").repartition(3) for rows, c, kind in ((a, "p", "string"), (b, "q", "int"))]
+    for parts in (1, 11):
+        one, two = (history(df, ["k"], "t", [c], ["i"], parts) for df, c in zip(frames, "pq", strict=True))
+        for got, rows, c in ((one, a, "p"), (two, b, "q")):
+            found, want = {}, {x: v for x, v in walk(rows).items() if v is not None}
+            for x in got.collect():
+                for t in range(x.since, 201 if x.until is None else x.until):
+                    assert (x.k, t) not in found
+                    found[x.k, t] = x[c]
+            assert found == want
+        pieces, wa, wb = temporal_join(one, two, ["k"], parts).collect(), walk(a), walk(b)
+        found = {}
+        for x in pieces:
+            for t in range(x.since, 201 if x.until is None else x.until):
+                assert (x.k, t) not in found
+                found[x.k, t] = (x.p, x.q)
+        assert found == {x: (wa[x], wb[x]) for x in wa if wa[x] is not None and wb[x] is not None} and len(pieces) > 20
+    with pytest.raises(ValueError, match="both sides"):
+        temporal_join(one, one, ["k"])
+
+
+def test_curve_opens_few_files(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    path = shared_path(spark, "curve")
+    write_by_curve(lines, path, ["l_shipdate", "l_extendedprice"], 64)
+    ranges = {"l_shipdate": (dt.datetime(1997, 1, 1), dt.datetime(1997, 6, 30)), "l_extendedprice": (20000.0, 26000.0)}
+    files, all_ = files_for(spark, path, ranges)
+    assert all_ >= 50 and len(files) <= all_ * 0.15
+    got = read_by_curve(spark, path, ranges)
+    assert got.count() == lines.where("l_shipdate BETWEEN '1997-01-01' AND '1997-06-30' AND l_extendedprice BETWEEN 20000 AND 26000").count() > 0
+    assert got.columns == lines.columns and spark.read.parquet(path).count() == lines.count()
+    assert read_by_curve(spark, path, {"l_extendedprice": (-2.0, -1.0)}).count() == 0
+    few = spark.createDataFrame([(None, 1), (2.0, None), (None, None)], "x double, y int")
+    write_by_curve(few, path := shared_path(spark, "curve"), ["x", "y"], 3)
+    assert read_by_curve(spark, path, {"x": (0, 9)}).count() == 1
