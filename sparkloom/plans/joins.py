@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.asof import asof_join
 from sparkloom.operators.ranges import range_join
-from sparkloom.operators.skew import salted_join
+from sparkloom.operators.skew import hot_key_join, salted_join
 from sparkloom.plans.registry import query
 from sparkloom.plans.relational import day, net
 from sparkloom.sources.tables import table
@@ -167,3 +167,16 @@ def purchases_after_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = events.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("at").alias("low"), (F.col("at") + 600_000_000).alias("high"))
     points = events.where("event_type = 'purchase'").select("at")
     return range_join(points, spans, "at", "low", "high", width=600_000_000).groupBy("error_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "hot_key_join",
+    """
+    SELECT event_id, users, round(value / total, 9) AS share FROM events
+    JOIN (SELECT event_type AS t, count(DISTINCT user_id) AS users, sum(value) AS total FROM events GROUP BY event_type) ON t = event_type""",
+)
+def events_of_their_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with figures of its type; each of the few types holds a fifth of all rows, and is found to be hot."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    types = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.sum("value").alias("total"))
+    return hot_key_join(events, types, ["event_type"]).select("event_id", "users", F.round(F.col("value") / F.col("total"), 9).alias("share"))

@@ -2,17 +2,20 @@
 
 import math
 import random
+import warnings
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sparkloom.functions import vectors
 from sparkloom.operators.asof import asof_join
 from sparkloom.operators.quantiles import exact_quantiles
 from sparkloom.operators.ranges import range_join
 from sparkloom.operators.scan import in_order
 from sparkloom.operators.skew import salted_distinct_count, salted_join
+from sparkloom.plans.udfs import exact_sum, jaro_winkler
 from sparkloom.sources import files
 from sparkloom.sources.paths import shared_path
 from sparkloom.sources.tables import table
@@ -100,3 +103,26 @@ def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
     got = row.select(vectors.dot(F.col("a"), F.col("b")), vectors.norm(F.col("a")), vectors.cosine(F.col("a"), F.col("b")), vectors.cosine(F.col("a"), F.col("z")), vectors.distance(F.col("a"), F.col("b"))).first()
     assert got[:4] == (24.0, 5.0, 0.96, None) and math.isclose(got[4], math.sqrt(2))
+
+
+def test_exact_sums(spark):
+    r = random.Random(9)
+    rows = [(k, v) for k in ("a", "b", None) for v in [1e308, -1e308, 1e-320, 0.1, -0.1, 1e16, 1.0, -1e16, *[r.uniform(-1, 1) * 10.0 ** r.randrange(-30, 30) for _ in range(200)]]] + [("c", None), ("a", math.inf), ("d", 5e-324), ("d", -0.0)]
+    r.shuffle(rows)
+    got = {x.k: x.total for x in exact_sum(spark.createDataFrame(rows, "k string, v double").repartition(7), "k", "v").collect()}
+    assert got == {k: math.fsum(v for x, v in rows if x == k and v is not None and math.isfinite(v)) for k in ("a", "b", None, "d")}
+
+
+def test_jaro_winkler():
+    assert jaro_winkler("", "") == 1 and jaro_winkler("a", "") == 0 and jaro_winkler("ab", "cd") == 0 and jaro_winkler("same", "same") == 1
+    assert math.isclose(jaro_winkler("MARTHA", "MARHTA"), 0.9611111, rel_tol=1e-6) and math.isclose(jaro_winkler("DIXON", "DICKSONX"), 0.8133333, rel_tol=1e-6)
+
+
+def test_broken_optional_modules_are_told(monkeypatch, tmp_path):
+    (tmp_path / "broken_part.py").write_text("import nothing_of_this_name\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.warns(UserWarning, match="broken_part"):
+        assert entry._optional("broken_part") is None
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert entry._optional("sparkloom.gone.queries") is None
