@@ -1,4 +1,4 @@
-"""Stored states: aggregates under corrections, bitmaps, histories, layouts."""
+"""Stored states: aggregates under corrections, bitmaps, histories, layouts, sketches."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.bitmaps import bitmap_table, distinct_by
 from sparkloom.operators.maintained import MaintainedAggregate
+from sparkloom.operators.sketches import frequent_items, sketch_table
 from sparkloom.operators.versions import history, temporal_join
 from sparkloom.plans.registry import query
 from sparkloom.sources.layout import read_by_curve, write_by_curve
@@ -89,3 +90,17 @@ def curve_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "curve")
     write_by_curve(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"), path, ["l_shipdate", "l_extendedprice"], files=64)
     return read_by_curve(spark, path, {"l_shipdate": (dt.datetime(1997, 1, 1), dt.datetime(1997, 6, 30)), "l_extendedprice": (20000.0, 26000.0)})
+
+
+@query(
+    "frequent_items",
+    """
+    SELECT l_returnflag, l_partkey, count(*) AS rows FROM lineitem JOIN (SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1) ON f = l_returnflag
+    GROUP BY l_returnflag, l_partkey HAVING count(*) > 0.0008 * any_value(n)""",
+)
+def frequent_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with more than 0.08 % of the lines of their flag: candidates from sketches stored by flag and year, counted exactly."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", "l_extendedprice", F.year("l_shipdate").alias("year"))
+    path = shared_path(spark, "sketches")
+    sketch_table(lines, ["l_returnflag", "year"], "l_partkey", "l_extendedprice", 0.0008).write.parquet(path)
+    return frequent_items(spark.read.parquet(path), lines, ["l_returnflag"], "l_partkey", 0.0008)

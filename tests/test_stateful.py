@@ -13,6 +13,7 @@ from sparkloom.operators.bitmaps import bitmap_table, distinct_by, merged
 from sparkloom.operators.maintained import MaintainedAggregate
 from sparkloom.operators.patterns import Step, match_events, steps_of
 from sparkloom.operators.reach import reachable
+from sparkloom.operators.sketches import frequent_items, merged_quantiles, sketch_table
 from sparkloom.operators.versions import history, temporal_join
 from sparkloom.sources.layout import files_for, read_by_curve, write_by_curve
 from sparkloom.sources.paths import shared_path
@@ -224,3 +225,21 @@ def test_curve_opens_few_files(spark, sf_dir):
     few = spark.createDataFrame([(None, 1), (2.0, None), (None, None)], "x double, y int")
     write_by_curve(few, path := shared_path(spark, "curve"), ["x", "y"], 3)
     assert read_by_curve(spark, path, {"x": (0, 9)}).count() == 1
+
+
+def test_sketches(spark):
+    """Frequent items are exact after merging; quantiles keep their bound."""
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), r.randrange(5), r.choice([None, *[int(r.paretovariate(0.6)) % 5000] * 9]), r.gauss(0, 1)) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "g string, d int, item long, x double")
+    table = sketch_table(df, ["g", "d"], "item", "x", 0.01)
+    of = defaultdict(lambda: defaultdict(int))
+    for g, _, i, _ in rows:
+        if i is not None:
+            of[g][i] += 1
+    want = {(g, i, n) for g, c in of.items() for i, n in c.items() if n > 0.01 * sum(c.values())}
+    assert {tuple(x) for x in frequent_items(table, df, ["g"], "item", 0.01).collect()} == want and len(want) > 20
+    for x in merged_quantiles(table, ["g"], [0.1, 0.5, 0.99]).collect():
+        own = sorted(v for g, _, _, v in rows if g == x.g)
+        assert abs(sum(v <= x.value for v in own) / len(own) - x.share) < 0.03
+    assert frequent_items(sketch_table(df.limit(0), ["g"], "item", "x", 0.01), df, ["g"], "item", 0.01).count() == 0
