@@ -1,3 +1,7 @@
+import datetime
+import re
+from collections import Counter
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,3 +104,34 @@ def test_odd_rows(spark, odd, none):
     docs = spark.createDataFrame([(1, "a 97.51.17.173 b"), (2, "97.51.17.173")], "doc_id long, text string")
     one, two = (r.text for r in pii.pseudonymised(docs).orderBy("doc_id").collect())
     assert one == f"a {two} b" and two != "97.51.17.173"
+
+
+def test_query_against_a_plain_scan(spark, sf_dir):
+    """What plain patterns and checks find in the documents is among the query's values, with the same bounds."""
+    def luhn_ok(s):
+        d = [int(c) for c in s if c.isdigit()][::-1]
+        return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+    def day_ok(s):
+        try:
+            return bool(datetime.date.fromisoformat(s))
+        except ValueError:
+            return False
+
+    plain = {
+        "card": (r"(?<![\w.-])(?<!\d )(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{16})(?![\w-])(?! \d)", luhn_ok),
+        "ip": (r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)", lambda s: all(int(x) < 256 and x == str(int(x)) for x in s.split("."))),
+        "date": (r"(?<![\w-])\d{4}-\d\d-\d\d(?![\w-])", lambda s: day_ok(s) and s[:2] in ("19", "20")),
+        "email": (r"(?<![\w.+-])[a-z0-9]+(?:\.[a-z0-9]+)?@[a-z0-9]+\.(?:example\.)?(?:com|org|net)(?![\w.-])", lambda s: True),
+        "ssn": (r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])", lambda s: True),
+    }
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    met = Counter()
+    for r in op7_feistel_pseudonyms(spark, sf_dir).collect():
+        spans = set(filter(None, r.pii.split(",")))
+        for kind, (pattern, fine) in plain.items():
+            for m in re.finditer(pattern, texts[r.doc_id]):
+                if fine(m.group()):
+                    met[kind] += 1
+                    assert f"{kind}:{m.start()}:{m.end()}" in spans, (kind, m.group(), r.pii)
+    assert sum(met.values()) >= 5, met
