@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query
 from sparkloom.sources import files
+from sparkloom.sources.ipc import register
 from sparkloom.sources.paths import shared_path
 from sparkloom.sources.tables import table
 
@@ -60,3 +61,14 @@ def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in made:  # the plan has their files; the catalog keeps no names of one call
         spark.sql(f"DROP TABLE {name}")
     return counted
+
+
+@query("ipc_source", "SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 1100 AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def ipc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a Python data source and back; the filters skip files there. Written twice, the second time over the first."""
+    register(spark)
+    path = shared_path(spark, "ipc")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    orders.limit(10).write.format("arrow_ipc").mode("append").save(path)
+    orders.repartitionByRange(8, "o_orderkey").write.format("arrow_ipc").mode("overwrite").save(path)
+    return spark.read.format("arrow_ipc").load(path).where("o_orderkey BETWEEN 100 AND 1100 AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
