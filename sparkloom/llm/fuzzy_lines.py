@@ -46,8 +46,8 @@ BAND = 6
 #: Characters of lines that are worked on at once.
 CHUNK = 1 << 16
 #: Lines whose bands are put together before they are sent, and bands in a part.
-TOGETHER = 1 << 17
-PART = 1 << 20
+TOGETHER = 1 << 16
+PART = 1 << 19
 #: Nodes up to which their keys are broadcast; beyond that both sides are shuffled.
 BROADCAST_NODES = 1_000_000
 
