@@ -10,8 +10,11 @@ return the columns of ``documents``.
     mix             sources are taken to their target weights; a document may come several times
     tokens          texts are encoded and written as directly addressable codes
 
-Nulls: a document with a null text has no language and goes in the first stage; rows with a
-null id stay where their group has no id. Empty tables give empty results.
+Defined cases, stage by stage: a document with a null or empty text, or one without a letter, has no
+language and goes in the first stage. Of rows that agree in id and text, all stay or all go in the first three
+stages, and each is taken equally often by the mix; of a group of near duplicates the rows of the smallest id stay,
+and rows without an id where no row of the group has one. Ties of language go to the first in order. Texts of any length are read whole. Columns of any
+names besides those of ``documents`` are carried up to the last stage. Empty tables give empty results.
 """
 
 from __future__ import annotations
