@@ -97,13 +97,15 @@ def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "gap_fill",
     """
-    WITH d AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS day),
+    WITH d AS (SELECT unnest(generate_series(low, high, INTERVAL 1 DAY)) AS day FROM (SELECT min(date_trunc('day', ts))::TIMESTAMP AS low, max(date_trunc('day', ts))::TIMESTAMP AS high FROM events)),
     c AS (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE event_type = 'error' AND user_id < 3 GROUP BY 1)
     SELECT d.day::TIMESTAMP AS day, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (ORDER BY d.day)::BIGINT AS so_far FROM d LEFT JOIN c ON c.day = d.day""",
 )
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each day of a fixed span: the last window runs over thirty rows."""
-    days = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-30', interval 1 day)")).alias("day"))
-    errors = table(spark, sf_dir, "events").where("event_type = 'error' AND user_id < 3").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    """One row for each day that the table spans: the last window runs over one row a day."""
+    events = table(spark, sf_dir, "events")
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    days = events.agg(F.min(day).alias("low"), F.max(day).alias("high")).select(F.explode(F.expr("sequence(low, high, interval 1 day)")).alias("day"))
+    errors = events.where("event_type = 'error' AND user_id < 3").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     rows = days.join(errors, F.col("day") == F.col("at"), "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
     return rows.withColumn("so_far", F.sum("n").over(W.orderBy("day")))
