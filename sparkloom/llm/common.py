@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of a few short columns may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a table with a column of any size may be broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Rows of whole texts in an Arrow batch.
 TEXT_ROWS = 1000
 
@@ -49,10 +51,9 @@ def stored(df: DataFrame, **options) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Cut ``df`` and mark it for broadcast if it has at most ``limit`` rows; beyond that Spark picks the join."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """Cut ``df`` and mark it for broadcast if it is ``held``; beyond that Spark picks the join."""
+    return held(cut(df), limit, size)
 
 
 def text_batches(spark: SparkSession) -> SparkSession:
@@ -63,9 +64,13 @@ def text_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def held(df: DataFrame, limit: int) -> DataFrame:
-    """``df``, a stored table, marked for broadcast if it has at most ``limit`` rows of a few numbers; beyond that Spark picks the join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def held(df: DataFrame, limit: int, size: Column | None = None) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if it has at most ``limit`` rows; beyond that Spark picks the join.
+
+    Rows are a few numbers, or ``size`` says how many bytes a row's column of any size has: all of them must be at most ``BROADCAST_BYTES``.
+    """
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and total <= BROADCAST_BYTES else df
 
 
 def word_count(text: Column) -> Column:

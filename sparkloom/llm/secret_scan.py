@@ -200,15 +200,16 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     base = [r.kind for r in rules if r.base]
     one = F.struct("start", order[F.col("kind")].alias("at"), F.concat_ws(":", "kind", "start", "end").alias("s"))
     joined = lambda c: F.array_join(F.array_sort(c)["s"], ",")
+    digest = lambda c: F.sha2(c, 256)
     per = spans(docs, rules, text, key).groupBy("id", "h").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in base],
-        joined(F.collect_list(F.when(F.col("kind").isin(base), one))).alias("base"),
+        digest(joined(F.collect_list(F.when(F.col("kind").isin(base), one)))).alias("base"),
         joined(F.collect_list(one)).alias("spans"),
     )
-    per = small(per.withColumnsRenamed({"id": "pid", "h": "ph"}))
+    per = small(per.withColumnsRenamed({"id": "pid", "h": "ph"}), size=F.octet_length("spans"))
     rows = _rows(docs, text, key).select("id", "h")
     out = rows.join(per, F.col("id").eqNullSafe(F.col("pid")) & (F.col("h") == F.col("ph")), "left")
     return out.select(
         F.col("id").alias(key), *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in base],
-        F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
+        F.coalesce("base", digest(F.lit(""))).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
     )
