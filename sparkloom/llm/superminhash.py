@@ -24,6 +24,7 @@ Empty tables give empty results; extra columns don't matter.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,9 @@ BAND = 5
 #: Shingles that are worked on at once, and bytes of a text that are split at once.
 CHUNK = 60_000
 BLOCK_BYTES = 1 << 20
+#: Texts whose sets are held at once, and their characters (a longer text is alone).
+TEXTS = 256
+TOGETHER = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,6 +78,20 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(mixed(acc + np.uint64(width)))
 
 
+def sets_by_size(texts: pd.Series, k: int) -> Iterator[list[np.ndarray]]:
+    """The shingles of each text, in lists whose texts have at most ``TOGETHER`` characters."""
+    sets, total = [], 0
+    for t in texts:
+        t = t if isinstance(t, str) else ""
+        if sets and (len(sets) == TEXTS or total + len(t) > TOGETHER):
+            yield sets
+            sets, total = [], 0
+        sets.append(shingles(t, k))
+        total += len(t)
+    if sets:
+        yield sets
+
+
 def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     """One row of ``places`` 32-bit values for each set; those of an empty set are all ones."""
     out = np.full((len(sets), places), 0xFFFFFFFF, np.uint32)
@@ -123,8 +141,7 @@ def signed(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id", lea
     @F.pandas_udf("struct<n: long, node: binary, sig: binary>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for lo in range(0, len(texts), 256):
-            sets = [shingles(t if isinstance(t, str) else None, k) for t in texts.iloc[lo : lo + 256]]
+        for sets in sets_by_size(texts, k):
             sig = ((signatures([s if len(s) >= least else s[:0] for s in sets]) * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
             out += [(len(s), node_key(s) if len(s) else None, r.tobytes() if len(s) >= max(1, least) else None) for s, r in zip(sets, sig, strict=True)]
         return pd.DataFrame(out, columns=["n", "node", "sig"])
@@ -141,9 +158,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text: str = "text", key:
 
     def of(batches):
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                sets = [s for t in pdf["text"].iloc[lo : lo + 256] if len(s := shingles(t if isinstance(t, str) else None, k))]
-                if sets:
+            for sets in sets_by_size(pdf["text"], k):
+                if sets := [s for s in sets if len(s)]:
                     yield pd.DataFrame({"node": [node_key(s) for s in sets], "elements": [s.tobytes() for s in sets]})
 
     found = rows.mapInPandas(of, "node binary, elements binary")
