@@ -14,8 +14,11 @@ k + 1 rows of largest estimate; the least of their exact cosines is a bar that t
 best reaches for certain. Then every row whose upper bound (``sigmas`` standard deviations)
 reaches the query's bar is reranked: its vector is fetched and its exact cosine taken.
 
-Codes are dealt to shards and queries to blocks, both of bounded size, and each shard
-meets each block once in a task that holds one of either. Of equal vectors only the k + 1
+Codes are dealt to shards and queries, as bit planes, to blocks, both of bounded size
+whatever the vectors' length up to ``BITS``, and each shard meets each block once in a
+task that holds one of either. A code is sent once for each block of queries, a query
+once for each shard, so N rows and M queries shuffle about ``N * M * (100 / BLOCK_ROWS +
+300 / SHARD_ROWS)`` bytes. Of equal vectors only the k + 1
 smallest ids can be among anyone's k nearest, so the rest of a group of copies isn't
 searched, and queries with equal vectors are searched once.
 
@@ -30,6 +33,7 @@ returned; an empty table gives an empty result; extra columns don't matter.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,12 +46,12 @@ from sparkloom.llm.common import held, stored, tasks
 
 BITS = 512
 PLANES = 4
-SHARD_ROWS = 65_536
-BLOCK_ROWS = 4096
+SHARD_ROWS = 131_072
+BLOCK_ROWS = 32_768
 #: Rows from which a shard is worth a task of its own.
 LEAST_ROWS = 2048
-#: Query vectors up to which they are broadcast to be reranked; beyond that Spark picks the join.
-BROADCAST_QUERIES = 10_000
+#: Query vectors, of 64 MB together, up to which they are broadcast to be reranked; beyond that Spark picks the join.
+BROADCAST_QUERIES = 200_000
 SIGMAS = 3.0
 SEED = 20240607
 
@@ -86,11 +90,15 @@ def rounded(queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def estimate(codes: np.ndarray, fit: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines (queries x codes) and their standard deviations, from the bits that codes and planes have in common."""
+    """Estimated cosines (queries x codes) and their standard deviations."""
+    return estimate_rounded(codes, fit, *rounded(queries))
+
+
+def estimate_rounded(codes: np.ndarray, fit: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of ``rounded`` queries, from the bits that codes and planes have in common."""
     bits = codes.shape[1] * 64
-    planes, low, step, total = rounded(queries)
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int32)
-    out = np.empty((len(queries), len(codes)), np.float32)
+    out = np.empty((len(planes), len(codes)), np.float32)
     for i, own in enumerate(planes):
         common = sum(np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int32) << p for p, plane in enumerate(own))
         out[i] = (2 * (low[i] * ones + step[i] * common) - total[i]) / np.float32(math.sqrt(bits)) / fit
@@ -128,34 +136,50 @@ def index(rows: DataFrame) -> DataFrame:
     return rows.select("id", "h", "vector", "dim").mapInPandas(coded, "id long, h long, vector array<double>, dim int, code binary, fit double")
 
 
+def planed(asked: DataFrame) -> DataFrame:
+    """The queries (qid, qh, vector, dim) as they are sent to the codes: qid, qh, dim, planes, low, step, total."""
+
+    def of(batches):
+        for pdf in batches:
+            for _, part in pdf.groupby("dim"):
+                planes, low, step, total = rounded(np.stack(part["vector"].to_numpy()))
+                yield part[["qid", "qh", "dim"]].assign(planes=[p.tobytes() for p in planes], low=low, step=step, total=total)
+
+    return asked.select("qid", "qh", "vector", "dim").mapInPandas(of, "qid long, qh long, dim int, planes binary, low float, step float, total float")
+
+
 _FOUND = ["qid", "qh", "id", "h"]
 
 
-def _scan(codes: DataFrame, asked: DataFrame, shards: int, blocks: int, pick) -> DataFrame:
-    """(qid, qh, id, h, near) of the rows that ``pick`` chooses of each shard for each query."""
-    left = codes.withColumn("shard", F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("qh", "qid"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+def _scan(codes: DataFrame, sent: DataFrame, shards: int, blocks: int, pick) -> DataFrame:
+    """(qid, qh, id, h, near) of the rows that ``pick`` chooses of each shard for each query. A task holds one shard's codes and one block's queries; what it finds leaves it after every 16 queries."""
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    nothing = F.lit(None).cast("float")
+    left = codes.withColumn("shard", F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
+    left = left.select("dim", "shard", "block", F.lit(False).alias("asks"), "id", "h", F.col("code").alias("bits"), F.col("fit").cast("float").alias("fit"), *[nothing.alias(c) for c in ("low", "step", "total", "bar")])
+    right = sent.withColumn("block", F.pmod(F.xxhash64("qh", "qid"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
+    right = right.select("dim", "shard", "block", F.lit(True).alias("asks"), F.col("qid").alias("id"), F.col("qh").alias("h"), F.col("planes").alias("bits"), nothing.alias("fit"), "low", "step", "total", "bar")
 
-    def both(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        base, queries = rows[~rows["asks"]], rows[rows["asks"]]
         if len(base) and len(queries):
-            codes = np.frombuffer(b"".join(base["code"]), np.uint64).reshape(len(base), -1)
-            fit = base["fit"].to_numpy(np.float32)
+            codes = np.frombuffer(b"".join(base["bits"]), np.uint64).reshape(len(base), -1)
+            fit, ids, hashes = base["fit"].to_numpy(np.float32), base["id"].to_numpy(), base["h"].to_numpy()
             for at in range(0, len(queries), 16):
                 part = queries.iloc[at : at + 16]
-                near, sd = estimate(codes, fit, np.stack(part["vector"].to_numpy()))
-                q, x = pick(near, sd, part)
-                out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[q], "qh": part["qh"].to_numpy()[q], "id": base["id"].to_numpy()[x], "h": base["h"].to_numpy()[x], "near": near[q, x].astype(np.float64)}))
-        return pd.concat(out) if out else pd.DataFrame([], columns=[*_FOUND, "near"]).astype("int64")
+                planes = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(len(part), PLANES, -1)
+                near, sd = estimate_rounded(codes, fit, planes, *[part[c].to_numpy(np.float32) for c in ("low", "step", "total")])
+                q, x = pick(near, sd, part["bar"].to_numpy(np.float32))
+                yield pd.DataFrame({"qid": part["id"].to_numpy()[q], "qh": part["h"].to_numpy()[q], "id": ids[x], "h": hashes[x], "near": near[q, x].astype(np.float64)})
 
-    keys = ("dim", "shard", "block")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, "qid long, qh long, id long, h long, near double")
+    return left.unionByName(right).groupBy("dim", "shard", "block").applyInPandas(both, "qid long, qh long, id long, h long, near double")
 
 
 def _exact(found: DataFrame, coded: DataFrame, asked: DataFrame) -> DataFrame:
     """(qid, qh, id, score): the exact cosines of what was found."""
     vectors = coded.select("id", "h", F.col("vector").alias("x"))
-    queries = held(asked.select("qid", "qh", F.col("vector").alias("q")), BROADCAST_QUERIES)
+    queries = held(asked.select("qid", "qh", F.col("vector").alias("q")), BROADCAST_QUERIES, 8 * F.size("q"))
     rows = found.select(*_FOUND).join(vectors, ["id", "h"]).join(queries, ["qid", "qh"]).select("qid", "qh", "id", "x", "q")
 
     def scored(batches):
@@ -188,20 +212,21 @@ def chosen(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "ve
     shards = max(1, -(-n // SHARD_ROWS), min(tasks(rows.sparkSession), n // LEAST_ROWS))
     blocks = max(1, -(-m // BLOCK_ROWS))
     codes = coded.select("id", "h", "dim", "code", "fit")
+    sent = stored(planed(asked))
 
-    def best(near: np.ndarray, sd: np.ndarray, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def best(near: np.ndarray, sd: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if near.shape[1] <= k + 1:
             return tuple(x.ravel() for x in np.indices(near.shape))
         x = np.argpartition(-near, k, axis=1)[:, : k + 1]
         return np.repeat(np.arange(len(near)), k + 1), x.ravel()
 
-    def open_(near: np.ndarray, sd: np.ndarray, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return np.nonzero(near + sigmas * sd >= part["bar"].to_numpy(np.float32)[:, None])
+    def open_(near: np.ndarray, sd: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(near + sigmas * sd >= bar[:, None])
 
-    first = _first(_scan(codes, asked, shards, blocks, best), ("qid", "qh"), (F.desc("near"), "id", "h"), k + 1)
+    first = _first(_scan(codes, sent.withColumn("bar", F.lit(None).cast("float")), shards, blocks, best), ("qid", "qh"), (F.desc("near"), "id", "h"), k + 1)
     least = _exact(first, coded, asked).groupBy("qid", "qh").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     bars = stored(least.select("qid", "qh", F.when(F.col("n") > k, F.col("least") - 1e-6).otherwise(-2.0).alias("bar")))
-    found = stored(_scan(codes, asked.join(bars, ["qid", "qh"]), shards, blocks, open_))
+    found = stored(_scan(codes, sent.join(bars, ["qid", "qh"]), shards, blocks, open_))
     return coded, named, asked, found
 
 

@@ -67,3 +67,19 @@ def test_odd_vectors(spark):
     got = [tuple(r) for r in onebit.nearest(table, F.col("id") % 50 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 4, 1.0), (0, 2, 5, 1.0)]
     assert onebit.nearest(table.where("false"), F.col("id") % 50 == 0).count() == 0
+
+
+def test_many_shards_and_blocks(spark, monkeypatch):
+    """Every shard meets every block; what is found doesn't depend on how rows are dealt, nor on whether queries are broadcast."""
+    monkeypatch.setattr(onebit, "SHARD_ROWS", 100)
+    monkeypatch.setattr(onebit, "BLOCK_ROWS", 8)
+    monkeypatch.setattr("sparkloom.llm.common.BROADCAST_BYTES", 100)
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(16 if i % 4 else 7).tolist()) for i in range(700)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.vec_id) for x in onebit.nearest(table, F.col("id") % 20 == 0, 5, sigmas=6.0).collect()}
+    want = set()
+    for dim in (7, 16):
+        same = [(i, np.array(v)) for i, v in rows if len(v) == dim]
+        want |= brute(same, 5, 20)
+    assert got == want and len(got) == 35 * 5

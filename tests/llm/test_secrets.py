@@ -56,3 +56,12 @@ def test_rules_of_any_length(spark):
     assert max(map(len, s.trigram_query(long))) > 2 * s.BITS
     docs = spark.createDataFrame([(1, f"x {long} y"), (2, long[:-1]), (3, "abcd"), (1, f"x {long} y")], "doc_id long, text string")
     assert {(r.id, r.kind, r.start) for r in s.spans(docs, rules).collect()} == {(1, "long", 2), (3, "short", 0)}
+
+
+def test_spans_too_large_to_broadcast(spark, monkeypatch):
+    """The same report where spans take more bytes than may be broadcast."""
+    rows = [(i, "token=abcdefgh12 " * (i % 5)) for i in range(40)] + [(None, "AKIA" + "A" * 12), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, s.report(docs).collect()))
+    monkeypatch.setattr("sparkloom.llm.common.BROADCAST_BYTES", 10)
+    assert sorted(map(repr, s.report(docs).collect())) == want and len(want) == 42

@@ -110,3 +110,12 @@ def test_components(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 3).alias("b"))
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {n: n % 3 for n in range(203)}
+
+
+def test_sets_are_held_by_size(monkeypatch):
+    monkeypatch.setattr(s, "TOGETHER", 50)
+    texts = pd.Series(["a b c", None, "x " * 100, "", "a b", "c d e f " * 5, "g h i"])
+    lists = list(s.sets_by_size(texts, 2))
+    assert [len(x) for x in lists] == [2, 1, 3, 1]
+    for got, t in zip([y for x in lists for y in x], texts, strict=True):
+        assert (got == s.shingles(t, 2)).all()
