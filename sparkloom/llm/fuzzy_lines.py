@@ -43,7 +43,7 @@ from sparkloom.llm.superminhash import mixed
 K = 5
 PLACES = 120
 BAND = 6
-#: Characters of lines that are worked on at once.
+#: Characters of lines, and shingles of a longer line, that are worked on at once.
 CHUNK = 1 << 16
 #: Lines whose bands are put together before they are sent, and bands in a part.
 TOGETHER = 1 << 16
@@ -94,6 +94,16 @@ def shingle_hashes(lines: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray
     return mixed(h[inside[:n]]), count
 
 
+def pieces(lines: list[str], k: int = K) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """All lines that have at most ``CHUNK`` characters, then each longer one in parts of ``CHUNK`` shingles: the numbers of the lines and what is to be hashed. A shingle is in one part."""
+    short = np.array([i for i, x in enumerate(lines) if len(x) <= CHUNK], np.int64)
+    yield short, [lines[i] for i in short]
+    for i, x in enumerate(lines):
+        if len(x) > CHUNK:
+            for at in range(0, len(x) - k + 1, CHUNK):
+                yield np.array([i]), [x[at : at + CHUNK + k - 1]]
+
+
 @cache
 def _walks(places: int) -> np.ndarray:
     """For each place the order in which it looks at the others for a value; the same everywhere."""
@@ -102,11 +112,14 @@ def _walks(places: int) -> np.ndarray:
 
 def signatures(lines: list[str], k: int = K, places: int = PLACES) -> tuple[np.ndarray, np.ndarray]:
     """Signatures (8-bit places) of normalised lines that aren't empty, and the number of shingles of each."""
-    h, count = shingle_hashes(lines, k)
     out = np.full(len(lines) * places, 0xFFFFFFFF, np.uint32)
-    place = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
-    place += np.repeat(np.arange(len(lines)) * places, count)
-    np.minimum.at(out, place, (h >> np.uint64(32)).astype(np.uint32))
+    count = np.zeros(len(lines), np.int64)
+    for own, parts in pieces(lines, k):
+        h, n = shingle_hashes(parts, k)
+        place = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
+        place += np.repeat(own * places, n)
+        np.minimum.at(out, place, (h >> np.uint64(32)).astype(np.uint32))
+        np.add.at(count, own, n)
     out = out.reshape(-1, places)
     filled = out.copy()
     row, col = np.nonzero(out == 0xFFFFFFFF)
@@ -123,7 +136,8 @@ def signatures(lines: list[str], k: int = K, places: int = PLACES) -> tuple[np.n
 
 def line_set(line: str, k: int = K) -> np.ndarray:
     """The sorted distinct shingle hashes of a normalised line."""
-    return np.unique(shingle_hashes([line], k)[0])
+    parts = [np.unique(shingle_hashes(own, k)[0]) for _, own in pieces([line], k) if own]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
 def _chunks(lines: list[str]) -> Iterator[slice]:

@@ -92,3 +92,15 @@ def test_band_buckets(spark):
     # Each node but the smallest hangs on a smaller one, and so all of a bucket on its smallest.
     hung = {(r.bucket, r.b) for r in got if not r.pair and r.a < r.b}
     assert all((b, n) in hung for b, m in found.items() for n in m if n != min(m))
+
+
+def test_long_lines_are_hashed_in_parts(monkeypatch):
+    """A line hashed in parts has the signature, the number of shingles and the set that it has as a whole."""
+    r = np.random.default_rng(3)
+    lines = ["".join(r.choice(list("abcde "), n)) for n in (3, 5, 64, 63, 65, 68, 69, 70, 500, 129, 1, 128)]
+    whole, counts = f.signatures(lines)
+    sets = [f.line_set(x) for x in lines]
+    monkeypatch.setattr(f, "CHUNK", 64)
+    parts, again = f.signatures(lines)
+    assert (parts == whole).all() and (again == counts).all()
+    assert all((f.line_set(x) == y).all() for x, y in zip(lines, sets, strict=True))

@@ -113,7 +113,7 @@ def test_components(spark):
 
 
 def test_sets_are_held_by_size(monkeypatch):
-    monkeypatch.setattr(s, "TOGETHER", 50)
+    monkeypatch.setattr(s, "TOGETHER", 45)
     texts = pd.Series(["a b c", None, "x " * 100, "", "a b", "c d e f " * 5, "g h i"])
     lists = list(s.sets_by_size(texts, 2))
     assert [len(x) for x in lists] == [2, 1, 3, 1]
