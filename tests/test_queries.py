@@ -3,6 +3,7 @@
 import io
 from contextlib import redirect_stdout
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,23 @@ def test_bucketed_join_has_no_exchange_below_it(spark, sf_dir):
     with redirect_stdout(io.StringIO()) as out:
         QUERIES["bucketed_join"](spark, sf_dir).explain("formatted")
     assert "hashpartitioning(o_orderkey" not in out.getvalue() and "hashpartitioning(l_orderkey" not in out.getvalue()
+
+
+def test_smoothing_over_many_batches_and_odd_values(spark, tmp_path):
+    """Groups go over the ends of batches; null and NaN values stay what they are, null users and times are groups; no data frame for each group."""
+    duckdb.sql(f"""
+        COPY (
+          SELECT i AS event_id, CASE WHEN i % 97 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (i * 7919 % 40) HOUR * 10 END AS ts, CASE WHEN i % 31 <> 0 THEN i % 13 END AS user_id,
+                 'view' AS event_type, CASE i % 150 WHEN 7 THEN NULL WHEN 20 THEN 'nan'::DOUBLE WHEN 33 THEN 'inf'::DOUBLE ELSE i * 0.37 END AS value, '' AS props
+          FROM range(600) r(i)
+        ) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        same(QUERIES["grouped_map"](spark, str(tmp_path)), SQL["grouped_map"], str(tmp_path))
+    finally:
+        spark.conf.set(name, before)
+    with redirect_stdout(io.StringIO()) as out:
+        QUERIES["grouped_map"](spark, str(tmp_path)).explain()
+    assert "FlatMapGroups" not in out.getvalue()
