@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from sparkloom.columns import fresh
 from sparkloom.llm.common import held, stored, tasks
 from sparkloom.llm.linking import BAND_BITS, alike, least_share, link
-from sparkloom.llm.superminhash import mixed
 
 K = 5
 PLACES = 120
@@ -77,21 +76,49 @@ def shingle_hashes(lines: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray
     """Hashes of all shingles of normalised lines, joined, and the number of each line's; an empty line has none."""
     size = np.array([len(x) for x in lines], np.int64)
     count = np.where(size >= k, size - k + 1, (size > 0).astype(np.int64))
-    c = np.frombuffer("".join(x if len(x) >= k or not x else x.ljust(k, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if not len(c):
+    c = "".join(x if len(x) >= k or not x else x.ljust(k, "\0") for x in lines)
+    if not c:
         return np.empty(0, np.uint64), count
+    h = _rolled(c, k)
+    if len(lines) == 1:
+        return _mixed_in_place(h), count
+    # What begins in one line and ends in the next is no shingle.
+    n, inside = len(h), np.ones(len(c), bool)
+    ends = np.cumsum(np.where(size > 0, np.maximum(size, k), 0))[size > 0]
+    for i in range(1, k):
+        inside[ends - i] = False
+    return _mixed_in_place(h[inside[:n]]), count
+
+
+def _rolled(text: str, k: int) -> np.ndarray:
+    """A polynomial of each ``k`` characters that follow each other."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(c) - k + 1
     h = c[:n] * _BASE
     for i in range(1, k):
         h += c[i : n + i]
         if i < k - 1:
             h *= _BASE
-    # What begins in one line and ends in the next is no shingle.
-    inside = np.ones(len(c), bool)
-    ends = np.cumsum(np.where(size > 0, np.maximum(size, k), 0))[size > 0]
-    for i in range(1, k):
-        inside[ends - i] = False
-    return mixed(h[inside[:n]]), count
+    return h
+
+
+def _mixed_in_place(x: np.ndarray) -> np.ndarray:
+    """``superminhash.mixed``, over the array itself with one buffer beside it."""
+    beside = x >> np.uint64(30)
+    for times, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+        x ^= beside
+        x *= np.uint64(times)
+        np.right_shift(x, np.uint64(shift), out=beside)
+    x ^= beside
+    return x
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes; a plain sort, which is several times as fast as ``np.unique`` on the few hundred of a line."""
+    h = np.sort(h)
+    keep = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
 
 
 def pieces(lines: list[str], k: int = K) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -116,9 +143,11 @@ def signatures(lines: list[str], k: int = K, places: int = PLACES) -> tuple[np.n
     count = np.zeros(len(lines), np.int64)
     for own, parts in pieces(lines, k):
         h, n = shingle_hashes(parts, k)
-        place = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
+        halves = h.astype("<u8", copy=False).view("<u4").reshape(-1, 2)
+        place = np.multiply(halves[:, 0], places, dtype=np.int64)
+        place >>= 32
         place += np.repeat(own * places, n)
-        np.minimum.at(out, place, (h >> np.uint64(32)).astype(np.uint32))
+        np.minimum.at(out, place, np.ascontiguousarray(halves[:, 1]))
         np.add.at(count, own, n)
     out = out.reshape(-1, places)
     filled = out.copy()
@@ -136,8 +165,9 @@ def signatures(lines: list[str], k: int = K, places: int = PLACES) -> tuple[np.n
 
 def line_set(line: str, k: int = K) -> np.ndarray:
     """The sorted distinct shingle hashes of a normalised line."""
-    parts = [np.unique(shingle_hashes(own, k)[0]) for _, own in pieces([line], k) if own]
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+    if len(line) <= CHUNK:
+        return distinct(_mixed_in_place(_rolled(line if len(line) >= k else line.ljust(k, "\0"), k))) if line else np.empty(0, np.uint64)
+    return distinct(np.concatenate([distinct(shingle_hashes(own, k)[0]) for _, own in pieces([line], k) if own]))
 
 
 def _chunks(lines: list[str]) -> Iterator[slice]:
@@ -152,14 +182,16 @@ def _chunks(lines: list[str]) -> Iterator[slice]:
 
 
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).where("t IS NOT NULL")
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
 
 
 _SIGNED = "id long, h long, line int, of int, a long, b long, n int, sig binary, text string"
 
 
 def signed_lines(docs: DataFrame, k: int = K, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, h, line, of, a, b, n, sig, text) of every line that isn't blank: its number, how many its text has, its key, its signature and itself, normalised; the last two are null where the same batch has had the line before."""
+    """(id, h, line, of, a, b, n, sig, text) of every line that isn't blank: its number, how many its text has (at the first of them, else null), its key, its signature and itself, normalised; the last two are null where the same batch has had the line before. A document without such lines has one row, with ``of`` 0 and nulls."""
+
+    names = ["id", "h", "line", "of", "a", "b", "n", "sig", "text"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,25 +199,32 @@ def signed_lines(docs: DataFrame, k: int = K, text: str = "text", key: str = "do
             lines: dict[str, int] = {}
             for t in batch.column("t").to_pylist():
                 before = len(which)
-                for no, line in enumerate(normal_lines(t)):
+                for no, line in enumerate(normal_lines(t) if t is not None else ()):
                     if line:
                         numbers.append(no)
                         which.append(lines.setdefault(line, len(lines)))
                 each.append(len(which) - before)
+            each = np.array(each, np.int64)
+            if len(without := np.flatnonzero(each == 0)):
+                none = {"id": batch.column("id").take(pa.array(without)), "h": batch.column("h").take(pa.array(without)), "of": pa.array(np.zeros(len(without), np.int32))}
+                kinds = {"line": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int32(), "sig": pa.binary(), "text": pa.string()}
+                yield pa.RecordBatch.from_arrays([none[c] if c in none else pa.nulls(len(without), kinds[c]) for c in names], names)
             if not which:
                 continue
             unique = list(lines)
             keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in unique]), np.int64).reshape(-1, 2)
             found, counts = zip(*[signatures(unique[s], k) for s in _chunks(unique)], strict=True)
             sig, counts = np.concatenate(found), np.concatenate(counts).astype(np.int32)
-            which, each = np.array(which), np.array(each)
+            which = np.array(which)
             own = pa.array(np.repeat(np.arange(len(each)), each))
             first = np.zeros(len(which), bool)
             first[np.unique(which, return_index=True)[1]] = True
             place = pa.array(np.where(first, which, 0), mask=~first)
-            columns = [batch.column("id").take(own), batch.column("h").take(own), pa.array(numbers, pa.int32()), pa.array(np.repeat(each, each).astype(np.int32))]
+            begins = np.zeros(len(which), bool)
+            begins[(np.cumsum(each) - each)[each > 0]] = True
+            columns = [batch.column("id").take(own), batch.column("h").take(own), pa.array(numbers, pa.int32()), pa.array(np.repeat(each, each).astype(np.int32), mask=~begins)]
             columns += [pa.array(keys[which, 0]), pa.array(keys[which, 1]), pa.array(counts[which]), pa.array([r.tobytes() for r in sig], pa.binary()).take(place), pa.array(unique, pa.string()).take(place)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "line", "of", "a", "b", "n", "sig", "text"])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return _rows(docs, text, key).mapInArrow(of, _SIGNED)
 
@@ -205,15 +244,31 @@ def band_numbers(sig: np.ndarray) -> np.ndarray:
 
 
 def _met(key: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Keys, smallest and largest node, and how many nodes there are at least (3: more than two), of rows of the same."""
-    order = np.argsort(key, kind="stable")
-    key, low, high, count = key[order], low[order], high[order], count[order]
+    """Keys, smallest and largest node, and how many nodes there are at least (3: more than two), of rows of the same; then, for the keys of more than two, the numbers of their rows, and of the key that each of these has."""
+    order = np.argsort(key)
+    key = key[order]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least, most = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
     each = np.diff(np.append(at, len(key)))
-    other = lambda v: (v != np.repeat(least, each)) & (v != np.repeat(most, each))
-    more = np.logical_or.reduceat((count > 2) | other(low) | other(high), at)
-    return key[at], least, most, np.where(more, 3, 1 + (least != most)).astype(np.int32)
+
+    def rows_of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of these keys, where each key's begin among them, and their number."""
+        n = each[which]
+        begin = np.cumsum(n) - n
+        return order[np.repeat(at[which] - begin, n) + np.arange(n.sum())], begin, n
+
+    first = order[at]
+    least, most = low[first], high[first]
+    found = np.where(count[first] > 2, 3, 1 + (least != most)).astype(np.int32)
+    if len(several := np.flatnonzero(each > 1)):  # most keys have one row
+        rows, begin, n = rows_of(several)
+        lo, hi = low[rows], high[rows]
+        least[several], most[several] = np.minimum.reduceat(lo, begin), np.maximum.reduceat(hi, begin)
+        a, z = np.repeat(least[several], n), np.repeat(most[several], n)
+        more = np.logical_or.reduceat((count[rows] > 2) | ((lo != a) & (lo != z)) | ((hi != a) & (hi != z)), begin)
+        found[several] = np.where(more, 3, 1 + (least[several] != most[several]))
+    large = np.flatnonzero(found > 2)
+    rows, _, n = rows_of(large)
+    return key[at], least, most, found, rows, np.repeat(large, n)
 
 
 def band_buckets(lines: DataFrame, least: int) -> DataFrame:
@@ -233,22 +288,19 @@ def band_buckets(lines: DataFrame, least: int) -> DataFrame:
         nodes, keys, total = [], [], 0
 
         def part_of(x: np.ndarray) -> np.ndarray:
-            return (mixed(x.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            return ((_mixed_in_place(x.view(np.uint64).copy()) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
         def send() -> pa.RecordBatch:
             every = np.concatenate(keys).ravel()
             node = np.repeat(np.concatenate(nodes), PLACES // BAND)
-            key, low, high, count = _met(every, node, node, np.ones(len(node), np.int32))
-            large = np.flatnonzero(count > 2)
-            at = np.searchsorted(key[large], every)
-            inside = np.flatnonzero(key[large[np.minimum(at, len(large) - 1)]] == every) if len(large) else np.empty(0, np.int64)
-            own = large[at[inside]]
+            key, low, high, count, inside, own = _met(every, node, node, np.ones(len(node), np.int32))
             inside, own = (x[(node[inside] != low[own]) & (node[inside] != high[own])] for x in (inside, own))
             kind = np.concatenate([np.where(count > 1, several, alone), np.full(len(own), between)])
             part = np.concatenate([part_of(key), part_of(node[inside])])
             key, low, high, count = np.concatenate([key, key[own]]), np.concatenate([low, low[own]]), np.concatenate([high, node[inside]]), np.concatenate([count, np.zeros(len(own), np.int32)])
-            order = np.lexsort((kind, part))
-            edges = np.flatnonzero(np.diff(part[order].astype(np.int64) * 3 + kind[order], prepend=-1))
+            place = part.astype(np.int64) * 3 + kind
+            order = np.argsort(place.astype(np.uint16) if 3 * parts <= 1 << 16 else place, kind="stable")  # 16 bits are sorted by radix
+            edges = np.flatnonzero(np.diff(place[order], prepend=-1))
             rows = []
             for at in np.split(order, edges[1:]):
                 which = int(kind[at[0]])
@@ -283,12 +335,9 @@ def band_buckets(lines: DataFrame, least: int) -> DataFrame:
         low, high = numbers(sent["low"]), numbers(sent["high"].where(sent["kind"] == several, sent["low"]))
         count = np.frombuffer(b"".join(b"\1" * (len(x) // 8) if c is None else c for x, c in zip(sent["low"], sent["count"], strict=True)), np.uint8)
         every = keys_of(sent["keys"])
-        key, first, last, count = _met(every, low, high, count)
+        key, first, last, count, inside, own = _met(every, low, high, count)
         out.append(pd.DataFrame({"bucket": key[count == 2], "a": first[count == 2], "b": last[count == 2], "pair": True}))
-        key, first = key[count > 2], first[count > 2]
-        at = np.searchsorted(key, every)
-        inside = np.flatnonzero(key[np.minimum(at, len(key) - 1)] == every) if len(key) else np.empty(0, np.int64)
-        at = np.concatenate([at[inside]] * 2)
+        at = np.concatenate([own, own])
         out.append(pd.DataFrame({"bucket": key[at], "a": first[at], "b": np.concatenate([low[inside], high[inside]]), "pair": False}).drop_duplicates())
         return pd.concat(out, ignore_index=True)
 
@@ -320,7 +369,7 @@ def _links(pairs: DataFrame, k: int, percent: int) -> DataFrame:
                 upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, side="right")))
                 texts = {t: i for i, t in enumerate(dict.fromkeys([*pdf["text_a"].iloc[at:upto], *pdf["text_b"].iloc[at:upto]]))}
                 h, count = shingle_hashes(list(texts), k)
-                sets = [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+                sets = [distinct(h[end - n : end]) for n, end in zip(count.tolist(), np.cumsum(count).tolist(), strict=True)]
                 ok[at:upto] = [alike(sets[texts[x]], sets[texts[y]], percent) for x, y in zip(pdf["text_a"].iloc[at:upto], pdf["text_b"].iloc[at:upto], strict=True)]
                 at = upto
             yield pdf.loc[ok, ["a", "b"]]
@@ -329,7 +378,7 @@ def _links(pairs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """All lines that aren't blank, (id, h, line, of, a, b), and the classes of more than one, (a, b, first): the struct (last, id, h, line) of the line that stays. h is a hash of the text, (a, b) the key of the line, ``of`` the number of such lines of the text."""
+    """All lines that aren't blank and the documents without any, (id, h, line, of, a, b) as from ``signed_lines``, and the classes of more than one, (a, b, first): the struct (last, id, h, line) of the line that stays. h is a hash of the text, (a, b) the key of the line, ``of`` the number of such lines of the text, once for each document."""
     lines = stored(signed_lines(docs, k, text, key), compression="zstd")
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30  # a smaller set has no partner but its equals
 
@@ -356,7 +405,7 @@ def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text
     roots = link(met.where("pair").select("a", "b"), met.where("NOT pair").select("bucket", F.col("a").alias("first"), F.col("b").alias("node")), verify, signed, lambda line: line_set(line, k), percent=percent, band=BAND, kind=np.uint8)
     # Of lines that share the first half of their keys only the node's own is linked.
     place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "line")
-    copies = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"))
+    copies = lines.where("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"))
     of_class = copies.join(roots, F.col("a") == F.col("node"), "left").where("root IS NOT NULL OR copies > 1")
     own = F.col("b") == F.min("b").over(W.partitionBy("a"))
     of_class = stored(of_class.select("a", "b", F.coalesce("root", "a").alias("root"), F.when(F.col("root").isNull() | ~own, F.col("b")).alias("other"), "first"))
@@ -366,7 +415,7 @@ def classes(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text
 
 
 def dropped(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """All lines that aren't blank, as from ``classes``, and (id, h, drop): the sorted numbers of the lines that go, of each text that loses some."""
+    """All lines, as from ``classes``, and (id, h, drop): the sorted numbers of the lines that go, of each text that loses some."""
     lines, found = classes(docs, k=k, percent=percent, text=text, key=key)
     # The classes grow with the lines: both are shuffled, at every size.
     found = found.withColumnsRenamed({"a": "ca", "b": "cb"}).hint("shuffle_merge")
@@ -390,11 +439,8 @@ def deduplicated(docs: DataFrame, *, k: int = K, percent: int = 80, text: str =
 def report(docs: DataFrame, *, k: int = K, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each document: key, n_lines (not blank), n_kept, and the numbers of the lines that go, comma-joined."""
     lines, go = dropped(docs, k=k, percent=percent, text=text, key=key)
-    counted = lines.groupBy("id", "h").agg(F.max("of").alias("n"))
-    each = counted.join(go.withColumnsRenamed({"id": "gid", "h": "gh"}), F.col("id").eqNullSafe(F.col("gid")) & (F.col("h") == F.col("gh")), "left")
-    each = each.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "n", "drop")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"))
-    out = rows.join(each, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-    n = F.coalesce("n", F.lit(0)).cast("long")
+    rows = lines.where("of IS NOT NULL").select("id", "h", F.col("of").alias("n"))  # one for each document
+    out = rows.join(go.withColumnsRenamed({"id": "gid", "h": "gh"}), F.col("id").eqNullSafe(F.col("gid")) & (F.col("h") == F.col("gh")), "left")
+    n = F.col("n").cast("long")
     gone = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))
     return out.select(F.col("id").alias(key), n.alias("n_lines"), (n - gone).cast("long").alias("n_kept"), F.coalesce(F.array_join(F.transform("drop", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped"))

@@ -104,3 +104,36 @@ def test_long_lines_are_hashed_in_parts(monkeypatch):
     parts, again = f.signatures(lines)
     assert (parts == whole).all() and (again == counts).all()
     assert all((f.line_set(x) == y).all() for x, y in zip(lines, sets, strict=True))
+
+
+def test_report_reads_the_documents_once(spark, tmp_path):
+    """What the stored lines have is enough; documents without lines, rows of the same id and text, and null ids each keep their row."""
+    line = "a line of some length that stands in two of the documents"
+    rows = [(1, line), (2, f"{line}\n\nanother one"), (2, f"{line}\n\nanother one"), (3, None), (3, None), (4, ""), (5, " \n\t"), (None, line), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs_once")
+    found = f.report(spark.read.parquet(f"{tmp_path}/docs_once"))
+    assert not any("docs_once" in x for x in found.inputFiles())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_kept, r.dropped) for r in found.collect())
+    assert got == [(-1, 0, 0, ""), (-1, 1, 0, "0"), (1, 1, 1, ""), (2, 2, 1, "0"), (2, 2, 1, "0"), (3, 0, 0, ""), (3, 0, 0, ""), (4, 0, 0, ""), (5, 0, 0, "")]
+
+
+def test_keys_that_meet():
+    """Against plain code: sizes of buckets up to three, and the rows of the larger ones."""
+    rng = np.random.default_rng(5)
+    key = np.concatenate([rng.integers(0, 300, 400), rng.integers(1000, 1400, 300)])
+    low = rng.integers(0, 4, 700)
+    high = low + rng.integers(0, 2, 700)
+    count = np.where(low == high, 1, rng.integers(2, 4, 700)).astype(np.int32)
+    keys, least, most, found, rows, own = f._met(key, low, high, count)
+    assert keys.tolist() == sorted(set(key.tolist()))
+    for k, a, z, n in zip(keys, least, most, found, strict=True):
+        here = key == k
+        nodes = {*low[here].tolist(), *high[here].tolist()}
+        assert (a, z) == (min(nodes), max(nodes))
+        assert n == (3 if len(nodes) > 2 or (count[here] > 2).any() else len(nodes))
+    assert sorted(rows.tolist()) == np.flatnonzero(np.isin(key, keys[found > 2])).tolist() and (keys[own] == key[rows]).all()
+
+
+def test_sets_of_lines():
+    for line in ("", "ab", "abcde", "a line, a line, a line of some words", "\U0001f600" * 9, "x" * 70_000 + "y"):
+        assert f.line_set(line).tolist() == np.unique(f.shingle_hashes([line, "other"])[0][: len(f.shingle_hashes([line])[0])]).tolist()
