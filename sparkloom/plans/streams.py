@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query
 from sparkloom.sources.paths import shared_path
+from sparkloom.sources.tables import table
 from sparkloom.streaming import jobs
 from sparkloom.streaming.visits import capped_visits, keyed_state_store
 
+#: Events for each group of users that shares a state.
+GROUP_EVENTS = 1 << 14
+
 
 def _run(spark: SparkSession, sf_dir: str, job, mode: str = "append", batch=None) -> DataFrame:
     stream = job(jobs.event_stream(spark, sf_dir, "events.parquet"))
@@ -77,7 +81,8 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     HAVING least(max(ts) + INTERVAL 12 HOUR, began + INTERVAL 1 DAY) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits of a day at most, by keyed state with timers."""
+    """Visits of a day at most, by keyed state with timers; the file is one micro-batch, so the groups grow with it."""
+    groups = max(64, -(-table(spark, sf_dir, "events").count() // GROUP_EVENTS))
     with keyed_state_store(spark):
-        rows = _run(spark, sf_dir, lambda e: capped_visits(e, 12 * 3600, 24 * 3600))
+        rows = _run(spark, sf_dir, lambda e: capped_visits(e, 12 * 3600, 24 * 3600, groups=groups))
     return rows.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n", F.round("total", 8).alias("total"))

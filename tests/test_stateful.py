@@ -169,6 +169,37 @@ def test_visits_across_batches(spark):
     assert [x.key[0] for x in left.select("key").collect()] in ([], [3])
 
 
+def test_visits_of_many_users_share_states(spark):
+    """Users of one group go on, close and wait at different times, over batches; there are as many states as groups, not as users."""
+    r = random.Random(3)
+    events = [(n, T0 + dt.timedelta(minutes=r.randrange(600)), r.randrange(60), "view", float(n), "{}") for n in range(500)]
+    gap, cap = dt.timedelta(minutes=30), dt.timedelta(minutes=60)
+    want = []
+    for u in range(60):
+        visit = None
+        for t, _, v in sorted((e[1], e[0], e[4]) for e in events if e[2] == u):
+            if visit and t - visit[2] <= gap and t - visit[1] <= cap:
+                visit = [u, visit[1], t, visit[3] + 1, visit[4] + v]
+            else:
+                want += [visit] if visit else []
+                visit = [u, t, t, 1, v]
+        want += [visit] if visit else []
+    folder, state, out = (shared_path(spark, n) for n in ("in", "state", "out"))
+    events.sort(key=lambda e: e[1] + dt.timedelta(minutes=r.randrange(50)))
+
+    def run(name, rows):
+        spark.createDataFrame(rows, jobs.EVENTS).coalesce(1).write.parquet(f"{folder}/{name}")
+        stream = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*").withColumn("ts", F.col("ts").cast("timestamp"))
+        with keyed_state_store(spark):
+            return jobs.available(capped_visits(stream, 1800, 3600, "1 hour", groups=3), out, state)
+
+    run("a", events[:300])
+    left = spark.read.format("statestore").option("path", state).option("stateVarName", "visit").load().select("key.*", "list_element.*").collect()
+    assert {x.of for x in left} <= {0, 1, 2} and len({x.user for x in left}) > 3
+    got = run("b", [*events[300:], (1000, T0 + dt.timedelta(days=1), 99, "view", 0.0, "{}")])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
 def test_histories(spark):
     """Against a walk over every moment: ties, repeated values, gaps, open ends, long versions, a hot key."""
     r = random.Random(4)
